@@ -57,3 +57,43 @@ def gapless_index(df: DataFrame, group: list[str], order: list[str], out: str, b
     offsets = counts.select(*group, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     rank = F.row_number().over(Window.partitionBy(*group, "__b").orderBy(*order))
     return d.withColumn("__r", rank).join(offsets, [*group, "__b"]).withColumn(out, F.col("__off") + F.col("__r") - 1).drop("__b", "__off", "__r")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node reachable over edges (a, b), for each node with an edge.
+
+    Alternating large-star and small-star rounds; each round's edges are checkpointed in the shared folder. Minima are combined before
+    they are shuffled and hubs are split by adaptive skew joins, so no neighbourhood is gathered in one task. Null ends are ignored.
+    """
+    pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    seen = None
+    for _ in range(max_rounds):
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).alias("e")).select("e.*").distinct()
+        pairs = small.checkpoint()
+        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if now == seen:
+            break
+        seen = now
+    else:
+        raise RuntimeError("components did not settle")
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def by_row(function, columns: list[str]):
+    """For mapInArrow: call function(row values) -> list of output rows (dicts), batch by batch, in slices of bounded size."""
+
+    def run(batches, schema):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                out = [y for x in zip(*(part.column(c).to_pylist() for c in columns)) for y in function(*x)]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return run

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, url_filters
+from . import decontamination, mixing, sharding, simhash, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
+    "op4_simhash": simhash.op4,
     "op6_sharding": sharding.op6,
+    "op9_decontamination": decontamination.op9,
     "op10_mixing": mixing.op10,
 }
 
-SQL = {"op1_url_filters": url_filters.SQL}
+SQL = {"op1_url_filters": url_filters.SQL, "op9_decontamination": decontamination.SQL}
