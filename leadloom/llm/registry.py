@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, sharding, simhash, url_filters
+from . import archives, decontamination, media, mixing, quality, sharding, simhash, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
+    "op2_warc": archives.op2,
+    "op3_suffix_dedup": suffix_dedup.op3,
     "op4_simhash": simhash.op4,
+    "op5_media": media.op5,
     "op6_sharding": sharding.op6,
+    "op7_toxicity": toxicity.op7,
+    "op8_quality": quality.op8,
     "op9_decontamination": decontamination.op9,
     "op10_mixing": mixing.op10,
 }

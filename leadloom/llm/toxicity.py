@@ -18,15 +18,14 @@ count as toxic; repeated rows score alike; with no toxic or no clean training ro
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 SAMPLE = 4000
-LANDMARKS = 400
+LANDMARKS = 600
+COST = 4000.0
 DECAY = 0.75
 SPAN = 4
 GAPS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
@@ -167,8 +166,7 @@ def svm(x, y, cost, rounds: int = 400):
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])
     v, t = w.copy(), 1.0
-    scale = np.sqrt(cost)[:, None] * x1
-    step = 1.0 / (1.0 + 2 * np.linalg.norm(scale, 2) ** 2)
+    step = 1.0 / (1.0 + 2 * np.linalg.eigvalsh((x1 * cost[:, None]).T @ x1)[-1])
     for _ in range(rounds):
         slack = np.maximum(0, 1 - y * (x1 @ v))
         grad = v - 2 * x1.T @ (cost * y * slack)
@@ -197,79 +195,87 @@ def sigmoid_fit(f, y, rounds: int = 100):
     return max(a, 0.1), b
 
 
-def fit(texts: list[bytes], labels: list[int]) -> dict:
-    """The model of labelled texts: a weight for each letter triple, bias, slope and offset."""
+def vocabulary(texts: list[bytes]):
+    """(strings, word, doc, context): the distinct words, and for each place its word, document and a hash of its neighbours."""
     import numpy as np
     import pyarrow as pa
 
     from . import words as w_
 
+    text, starts = w_.raw(pa.array(texts, pa.binary()))
+    first, end, doc = word_spans(text, starts)
+    end = np.minimum(end, first + 64)
+    h = w_.word_hashes(w_.lowered(text), first, end)
+    _, place, word = np.unique(h, return_index=True, return_inverse=True)
+    data = w_.lowered(text).tobytes()
+    strings = [data[a:b] for a, b in zip(first[place].tolist(), end[place].tolist())]
+    before, after = np.concatenate([h[:1], h[:-1]]), np.concatenate([h[1:], h[-1:]])
+    return strings, word, doc, w_.mixed(h + w_.mixed(before) * np.uint64(3) + w_.mixed(after) * np.uint64(5))
+
+
+def fit(texts: list[bytes], labels: list[int]) -> dict:
+    """The model of labelled texts: a weight for each letter triple, bias, slope and offset."""
+    import numpy as np
+    import pyarrow as pa
+
     y = np.array(labels)
     share = float(y.mean()) if len(y) else 0.0
+    nothing = {"weights": np.zeros(1 << 15, np.float32), "bias": 0.0, "slope": 0.0, "offset": 0.0, "constant": share}
     if not len(y) or y.min() == y.max():
-        return {"weights": np.zeros(1 << 15, np.float32), "bias": 0.0, "slope": 0.0, "offset": 0.0, "constant": share}
-    # distinct words with the number of toxic and clean documents that have them
-    toxic, clean, of = Counter(), Counter(), []
-    for text, label in zip(texts, labels):
-        t = np.frombuffer(text, np.uint8)
-        first, end, _ = word_spans(t, np.array([0, len(t)]))
-        own = {text[a:b][:64].lower() for a, b in zip(first.tolist(), end.tolist())}
-        of.append(own)
-        (toxic if label else clean).update(own)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    lift = {s: np.log((k + 0.1) / (n1 + 1)) - np.log((clean[s] + 0.1) / (n0 + 1)) for s, k in toxic.items()}
-    certain = {s for s, x in lift.items() if toxic[s] >= 3 and x > 2.5}
-    witness = set(certain)
+        return nothing
+    strings, word, doc, context = vocabulary(texts)
+    n = len(strings)
+    # in how many distinct contexts a word occurs in toxic and in clean documents: copies of a document count once
+    seen = []
+    for label in (1, 0):
+        mine = np.flatnonzero(y[doc] == label)
+        _, at = np.unique(context[mine], return_index=True)
+        seen.append(np.bincount(word[mine[at]], minlength=n))
+    toxic, clean = seen
+    lift = np.log((toxic + 0.1) / (toxic.sum() + 1)) - np.log((clean + 0.1) / (clean.sum() + 1))
+    certain = (toxic >= 3) & (lift > 2.0)
+    witness = certain.copy()
     rng = np.random.default_rng(11)
-    common = [s for s, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
-    rest = common[2000:]
-    negative = common[:2000] + [rest[i] for i in rng.permutation(len(rest))[:10_000]]
-    hard: list[bytes] = []
+    negative = np.zeros(n, bool)
+    only = np.flatnonzero(clean > 0)
+    negative[only[np.argsort(-clean[only], kind="stable")[:1500]]] = True
+    negative[rng.permutation(only)[:4000]] = True
+    hard = np.zeros(n, bool)
+    blob = np.frombuffer(b" ".join(strings), np.uint8)
+    size = np.array([len(s) for s in strings])
+    begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     model = {}
     for _ in range(ROUNDS):
-        positive = sorted(witness)[:6000]
-        strings = positive + [s for s in dict.fromkeys(negative + hard) if s not in witness]
-        if not positive:
-            return {"weights": np.zeros(1 << 15, np.float32), "bias": 0.0, "slope": 0.0, "offset": 0.0, "constant": share}
-        target = np.array([1.0] * len(positive) + [-1.0] * (len(strings) - len(positive)))
-        weight = np.array([toxic[s] for s in positive] + [1.0 + np.log1p(clean[s]) for s in strings[len(positive) :]], float)
-        for sign in (1, -1):
-            weight[target == sign] *= 2000.0 / max(1e-9, weight[target == sign].sum())
-        ranked = sorted(range(len(positive)), key=lambda i: (-toxic[positive[i]], positive[i]))[: LANDMARKS // 2]
-        others = len(positive) + rng.permutation(len(strings) - len(positive))[: LANDMARKS - len(ranked)]
-        chosen = [*ranked, *others.tolist()]
+        pos = np.flatnonzero(witness)
+        pos = pos[np.argsort(-toxic[pos], kind="stable")[:4000]]
+        neg = np.flatnonzero((negative | hard) & ~witness & (clean > 0))
+        if not len(pos) or not len(neg):
+            return nothing
+        chosen = np.concatenate([pos[: LANDMARKS // 2], rng.permutation(np.flatnonzero(hard & ~witness))[: LANDMARKS // 4]])
+        chosen = np.concatenate([chosen, rng.permutation(neg)[: LANDMARKS - len(chosen)]])
         rows, codes, values = features([strings[i] for i in chosen])
-        dense = np.zeros((len(chosen), 1 << 15))
+        dense = np.zeros((len(chosen), 1 << 15), np.float32)
         np.add.at(dense, (rows, codes), values)
-        kernel = dense @ dense.T
-        size, base = np.linalg.eigh(kernel + 1e-6 * np.eye(len(kernel)))
-        root = base / np.sqrt(np.maximum(size, 1e-4)) @ base.T
-        x = gram(features(strings), len(strings), dense) @ root
-        w, bias = svm(x, target, weight)
-        weights = (root @ w) @ dense
-        model = {"weights": weights.astype(np.float32), "bias": float(bias)}
-        # the machine's own witnesses: the words of toxic documents that it takes for toxic, unless clean documents have them too; and clean words that it takes for toxic
-        def score(group):
-            group = sorted(group)
-            out = np.zeros(len(group))
-            t = np.frombuffer(b" ".join(group), np.uint8)
-            length = np.array([len(s) for s in group])
-            first = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
-            for i in range(0, len(group), 20_000):
-                a, b = first[i : i + 20_000], (first + length)[i : i + 20_000]
-                out[i : i + 20_000] = word_scores(t[a[0] : b[-1]], a - a[0], b - a[0], model["weights"]) + bias
-            return dict(zip(group, out.tolist()))
-
-        in_toxic, in_clean = score(toxic), score(clean)
-        hard = sorted((s for s, v in in_clean.items() if v > -0.5 and s not in certain), key=lambda s: (-in_clean[s], s))[:4000]
-        witness = set(certain)
-        for own, label in zip(of, labels):
-            if label and not own & certain:
-                best = max(own, key=lambda s: (in_toxic[s], s), default=None)
-                if best is not None and in_toxic[best] > 0 and lift[best] > 1.5:
-                    witness.add(best)
-    column = pa.array(texts, pa.binary())
-    f = text_scores(column, model["weights"], model["bias"])
+        spread, base = np.linalg.eigh((dense @ dense.T).astype(float))
+        root = base / np.sqrt(np.maximum(spread, 1e-3)) @ base.T
+        both = np.concatenate([pos, neg])
+        x = gram(features([strings[i] for i in both]), len(both), dense) @ root
+        target = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
+        cost = np.concatenate([COST * toxic[pos] / toxic[pos].sum(), COST * np.log1p(clean[neg]) / np.log1p(clean[neg]).sum()]) + 0.02
+        w, bias = svm(x, target, cost)
+        weights = ((root @ w) @ dense).astype(np.float32)
+        model = {"weights": weights, "bias": float(bias)}
+        score = np.concatenate([word_scores(blob[begin[i] : begin[min(i + 20_000, n) - 1] + size[min(i + 20_000, n) - 1]], begin[i : i + 20_000] - begin[i], (begin + size)[i : i + 20_000] - begin[i], weights) for i in range(0, n, 20_000)]) + bias
+        # clean words that the machine takes for toxic, and the worst word of toxic documents without a certain witness
+        far = np.flatnonzero((clean > 0) & ~certain & (score > -0.6))
+        hard[far[np.argsort(-score[far], kind="stable")[:3000]]] = True
+        witness = certain.copy()
+        lost = np.ones(len(y), bool)
+        lost[doc[certain[word]]] = False
+        mine = np.flatnonzero((y[doc] == 1) & lost[doc] & (clean[word] == 0) & (score[word] > 0))
+        order = mine[np.lexsort((-score[word[mine]], doc[mine]))]
+        witness[word[order[np.flatnonzero(np.concatenate([[True], doc[order][1:] != doc[order][:-1]]))]] if len(order) else []] = True
+    f = text_scores(pa.array(texts, pa.binary()), model["weights"], model["bias"])
     slope, offset = sigmoid_fit(f, np.where(y > 0, 1.0, -1.0))
     return model | {"slope": slope, "offset": offset, "constant": None}
 
