@@ -1,7 +1,7 @@
 """Suffix-array deduplication: remove every byte covered by a LENGTH-byte string that starts anywhere else too.
 
-1. Anchors. Of every LENGTH-byte window the k-gram with the least hash is its anchor. Equal windows have equal anchors, so a window whose anchors
-   occur once in the corpus is not repeated. Texts that are equal as a whole are looked up by digest and sorted once.
+1. Anchors. Of every LENGTH-byte window the k-gram with the least hash is its anchor. Equal windows have equal anchors, so a window whose anchor
+   is an anchor once in the corpus is not repeated. Texts that are equal as a whole are looked up by digest and sorted once.
 2. Contexts. The windows of each repeated anchor, one run of bytes for each place, meet by anchor.
 3. Suffix array. In pieces of about a megabyte (whole anchor groups) the contexts are sorted by the difference-cover algorithm: sampled positions
    (1 and 2 modulo 3) are sorted by triples, their names are sorted recursively, the remaining suffixes are merged in, and neighbours in suffix order are compared over
@@ -157,16 +157,11 @@ def contexts(text, hits: dict[int, int]):
     import numpy as np
 
     data = np.frombuffer(text, np.uint8)
-    h, at, first, last = anchors(data)
+    h, _, first, last = anchors(data)
     known = np.isin(h.view(np.int64), np.fromiter(hits, np.int64, len(hits)))
-    bad = at[~known]
-    left = np.concatenate([[-1], bad])[np.searchsorted(bad, at)]
-    right = np.concatenate([bad, [len(data) + LENGTH]])[np.searchsorted(bad, at)]
-    # windows that hold an anchor found nowhere else are not repeated
-    first, last = np.maximum(first, left + 1), np.minimum(last, right - WINDOW)
     seen: dict[bytes, int] = {}
     rows, marked, twice = [], [], set()
-    for i in np.flatnonzero(known & (first <= last)).tolist():
+    for i in np.flatnonzero(known).tolist():
         a, b = int(first[i]), int(last[i]) + LENGTH
         run = text[a:b]
         if run in seen:
