@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .toxicity import fold
@@ -187,9 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     rows = [(i, 1) for i in least(good.join(docs.select("doc_id"), "doc_id", "left_semi"), 1, positives)] + [(i, 0) for i in least(docs.select("doc_id").distinct(), 2, unlabelled)]
     if not rows:
         return fit([], [])
-    small = spark.createDataFrame(rows, docs.select("doc_id").schema.add("positive", "int"))
+    small = spark.createDataFrame(rows, docs.select("doc_id").schema.add("positive", T.IntegerType()))
     picked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(small), "doc_id")
-    found = picked.mapInArrow(_feature_rows, docs.select("doc_id").schema.add("positive", "int").add("x", "array<double>")).collect()
+    found = picked.mapInArrow(_feature_rows, docs.select("doc_id").schema.add("positive", T.IntegerType()).add("x", T.ArrayType(T.DoubleType()))).collect()
     found.sort(key=lambda r: (r[1], r[0]))
     x, y = np.array([r[2] for r in found]), np.array([r[1] for r in found])
     return fit(x[y == 1], x[y == 0]) if len(found) else fit([], [])

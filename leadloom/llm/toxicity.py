@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -306,7 +307,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, name: str, parts: int, held
     rows = [(r[0], r[1]) for r in chosen.collect()]  # at most `most` ids of each value
     if not rows:
         return []
-    small = docs.sparkSession.createDataFrame(rows, docs.select("doc_id").schema.add("label", "int"))
+    small = docs.sparkSession.createDataFrame(rows, docs.select("doc_id").schema.add("label", T.IntegerType()))
     found = docs.join(F.broadcast(small), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label")
     got = sorted((r[0], bytes(r[1]), r[2]) for r in found.collect())
     return [(t, v) for _, t, v in got]
