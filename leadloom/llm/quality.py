@@ -118,7 +118,7 @@ def _net(x, net):
     return hidden, hidden @ net[2] + net[3]
 
 
-def fit(positive, unlabelled, rounds: int = 1500) -> dict:
+def fit(positive, unlabelled, rounds: int = 250) -> dict:
     """The model of feature rows of positives and unlabelled texts."""
     import numpy as np
 

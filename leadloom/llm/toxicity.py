@@ -308,7 +308,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, name: str, parts: int, held
     if not rows:
         return []
     small = docs.sparkSession.createDataFrame(rows, docs.select("doc_id").schema.add("label", T.IntegerType()))
-    found = docs.join(F.broadcast(small), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label")
     got = sorted((r[0], bytes(r[1]), r[2]) for r in found.collect())
     return [(t, v) for _, t, v in got]
 
