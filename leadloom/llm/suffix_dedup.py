@@ -6,10 +6,11 @@
 3. Suffix array. In pieces of about a megabyte (whole anchor groups) the contexts are sorted by the difference-cover algorithm: sampled positions
    (1 and 2 modulo 3) are sorted by triples, their names are sorted recursively, the remaining suffixes are merged in, and neighbours in suffix order are compared over
    LENGTH bytes. Names cover 3, 9, 27, 81 and 243 bytes, so five levels settle a LENGTH of 200.
-4. An anchor with more than HOT texts is not gathered: each of its windows gets a 128-bit name, names are counted with partial aggregation, and windows with
-   a repeated name are marked. That is exact too, and spreads a passage that a third of all documents share over all tasks.
+4. An anchor with more than HOT texts is dealt in parts by text. What is repeated within a part is found there; of the rest, and of one window of each
+   class found, 128-bit names are counted over the parts with partial aggregation. That is exact too, and spreads a passage that a third of all documents
+   share over all tasks.
 
-Windows of one text that repeat within it are found there, so long runs of a pattern send one context each.
+Equal contexts are repeated as a whole, so each is sorted once. Windows of one text that repeat within it are found there, so long runs of a pattern send one context each.
 
 Defined cases: null text is empty; texts under LENGTH bytes keep all; equal texts of LENGTH bytes or more go wholly; repeated rows are texts
 like any other; overlaps count; marks are judged on the input; an empty table gives an empty result; other columns are not read.
@@ -86,7 +87,7 @@ def suffix_ranks(s, levels: int = 4):
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
     triple = (t[sample] << (2 * width)) | (t[sample + 1] << width) | t[sample + 2]
-    order = np.argsort(triple, kind="stable")
+    order = np.argsort(triple)
     new = np.concatenate([[True], triple[order][1:] != triple[order][:-1]])
     names = np.empty(len(sample), np.int64)
     names[order] = np.cumsum(new)
@@ -110,7 +111,8 @@ def suffix_ranks(s, levels: int = 4):
 
 
 def repeated_windows(contexts: list[tuple[int, int, bytes]]):
-    """For contexts (text, start, bytes): a boolean array for each, of the windows that start at another place of another context too."""
+    """For contexts (text, start, bytes): two boolean arrays for each, of the windows that start at another place of another context too, and of
+    the first window of each class of equal ones."""
     import numpy as np
 
     size = np.array([len(c[2]) for c in contexts])
@@ -125,17 +127,17 @@ def repeated_windows(contexts: list[tuple[int, int, bytes]]):
     context = np.repeat(np.arange(len(size)), count)
     offset = np.arange(len(context)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
     at = begin[context] + offset
-    order = np.argsort(suffix_ranks(s)[at], kind="stable")
+    order = np.argsort(suffix_ranks(s)[at])
     p = at[order]
-    # neighbours in suffix order, compared eight bytes at a time
+    # neighbours in suffix order, compared seven bytes at a time
     b = np.concatenate([s, np.zeros(8, np.int64)]).astype(np.uint64) & np.uint64(0x1FF)
-    eight = np.zeros(len(s), np.uint64)
+    seven = np.zeros(len(s), np.uint64)
     for k in range(7):  # values have nine bits
-        eight |= b[k : k + len(s)] << np.uint64(9 * k)
+        seven |= b[k : k + len(s)] << np.uint64(9 * k)
     same = np.arange(len(p) - 1)
     for k in range(0, LENGTH, 7):
         step = min(k, LENGTH - 7)
-        same = same[eight[p[same] + step] == eight[p[same + 1] + step]]
+        same = same[seven[p[same] + step] == seven[p[same + 1] + step]]
     equal = np.zeros(len(p), bool)
     equal[same + 1] = True
     group = np.flatnonzero(~equal)
@@ -143,9 +145,11 @@ def repeated_windows(contexts: list[tuple[int, int, bytes]]):
     start = np.array([c[1] for c in contexts], np.int64)
     source = (text[context] << 32 | (start[context] + offset))[order]
     low, high = np.minimum.reduceat(source, group), np.maximum.reduceat(source, group)
-    hit = np.empty(len(p), bool)
+    hit, first = np.empty(len(p), bool), np.empty(len(p), bool)
     hit[order] = np.repeat(low != high, np.diff(np.concatenate([group, [len(p)]])))
-    return np.split(hit, np.cumsum(count)[:-1])
+    first[order] = ~equal
+    cut = np.cumsum(count)[:-1]
+    return list(zip(np.split(hit, cut), np.split(first, cut)))
 
 
 # Texts ---------------------------------------------------------------------------------------------------------------
@@ -195,6 +199,7 @@ def _anchor_rows(batches):
 
 
 def _context_rows(batches):
+    """Contexts, and with a null anchor the intervals (start, n) that repeat within their text."""
     import pyarrow as pa
 
     schema = pa.schema([("anchor", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("run", pa.binary())])
@@ -202,87 +207,98 @@ def _context_rows(batches):
         for begin in range(0, batch.num_rows, 256):
             part, out = batch.slice(begin, 256), []
             for i, h, text, hits in zip(*(part.column(c).to_pylist() for c in ("doc_id", "h", "text", "hits"))):
-                out += [{"anchor": a, "n": n, "doc_id": i, "h": h, "start": s, "run": run} for a, n, s, run in contexts(text, {x["anchor"]: x["n"] for x in hits})[0]]
+                rows, marked = contexts(text, {x["anchor"]: x["n"] for x in hits})
+                out += [{"anchor": a, "n": n, "doc_id": i, "h": h, "start": s, "run": run} for a, n, s, run in rows]
+                out += [{"anchor": None, "n": b, "doc_id": i, "h": h, "start": a, "run": None} for a, b in marked]
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
-SPANS = "doc_id long, h long, spans array<struct<a:int,b:int>>"
+#: A marked interval [a, b) of a text; or with x and y the name of the window at a, and whether it is still open.
+FOUND = "doc_id long, h long, a int, b int, x long, y long, open boolean"
 
 
-def _spans_schema():
+def _found_schema():
     import pyarrow as pa
 
-    return pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+    return pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("open", pa.bool_())])
 
 
-def covered(hit, start: int) -> list[dict[str, int]]:
+def covered(hit, start: int) -> list[tuple[int, int]]:
     """The intervals that the marked windows from `start` on cover."""
     import numpy as np
 
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-    return [{"a": start + a, "b": start + b - 1 + LENGTH} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-
-
-def _sorted_runs(batches):
-    """Contexts come sorted by anchor; whole groups are gathered into pieces of PIECE bytes and sorted."""
-    import pyarrow as pa
-
-    ids: dict[tuple[int, int], int] = {}
-    piece: list = []
-    group: list = []
-    size, last = [0, 0], None
-
-    def settle():
-        out = []
-        for (i, h, start, run), hit in zip(piece, repeated_windows([(ids.setdefault((x[0], x[1]), len(ids)), x[2], x[3]) for x in piece])):
-            if hit.any():
-                out.append({"doc_id": i, "h": h, "spans": covered(hit, start)})
-        piece.clear()
-        ids.clear()
-        return pa.RecordBatch.from_pylist(out, schema=_spans_schema()) if out else None
-
-    for batch in batches:
-        for anchor, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "h", "start", "run"))):
-            if anchor != last and group:
-                if size[0] + size[1] > PIECE and piece:
-                    if (done := settle()) is not None:
-                        yield done
-                    size[0] = 0
-                if len(group) > 1:
-                    piece += group
-                    size[0] += size[1]
-                group, size[1] = [], 0
-            last = anchor
-            group.append(tuple(row))
-            size[1] += len(row[3]) + 1
-    if size[0] + size[1] > PIECE and piece:
-        if (done := settle()) is not None:
-            yield done
-    if len(group) > 1:
-        piece += group
-    if piece and (done := settle()) is not None:
-        yield done
-
-
-def _window_names(batches):
-    import numpy as np
-    import pyarrow as pa
-
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32())])
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 1000):
-            part = batch.slice(begin, 1000)
-            x, y, row, at = [], [], [], []
-            for i, (start, run) in enumerate(zip(part.column("start").to_pylist(), part.column("run").to_pylist())):
-                data = np.frombuffer(run, np.uint8)
-                x.append(rolling(data, LENGTH).view(np.int64))
-                y.append(rolling(data, LENGTH, 1).view(np.int64))
-                row.append(np.full(len(x[-1]), i))
-                at.append(start + np.arange(len(x[-1]), dtype=np.int32))
-            if row:
-                rows = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)), pa.array(np.concatenate(y)), part.column("doc_id").take(rows), part.column("h").take(rows), pa.array(np.concatenate(at).astype(np.int32))], schema=schema)
+    return [(start + a, start + b - 1 + LENGTH) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+
+
+class Piece:
+    """Contexts of whole groups, to be sorted together."""
+
+    def __init__(self):
+        self.contexts, self.size = [], 0
+        self.marks: list = []  # doc_id, h, a, b
+        self.names: list = []  # columns of names
+
+    def add(self, group: list, hot: bool) -> None:
+        """Equal contexts are repeated as a whole and are sorted once; a group of one context has nothing to compare, unless other parts of a hot group do."""
+        by: dict[bytes, list] = {}
+        for i, h, start, run in group:
+            by.setdefault(run, []).append((i, h, start))
+        for run, places in by.items():
+            many = len(set(places)) > 1
+            if many:
+                self.marks += [(i, h, start, start + len(run)) for i, h, start in places]
+            if hot or len(by) > 1:
+                self.contexts.append((*places[0], run, many, hot))
+                self.size += len(run) + 1
+
+    def settle(self):
+        import numpy as np
+        import pyarrow as pa
+
+        ids: dict[tuple[int, int], int] = {}
+        if self.contexts:
+            results = repeated_windows([(ids.setdefault((i, h), len(ids)), start, run) for i, h, start, run, _, _ in self.contexts])
+            for (i, h, start, run, many, hot), (hit, first) in zip(self.contexts, results):
+                if not many:
+                    self.marks += [(i, h, a, b) for a, b in covered(hit, start)]
+                if hot:  # other parts of the group may hold what is alone here
+                    at = np.flatnonzero(first)
+                    data = np.frombuffer(run, np.uint8)
+                    x, y = (rolling(data, LENGTH, seed)[at].view(np.int64) for seed in (0, 1))
+                    self.names.append((np.full(len(at), i), np.full(len(at), h), (start + at).astype(np.int32), x, y, ~hit[at] & (not many)))
+        schema = _found_schema()
+        if self.marks:
+            cols = [pa.array(c, t) for c, t in zip(zip(*self.marks), schema.types)]
+            none = lambda t: pa.nulls(len(self.marks), t)
+            yield pa.RecordBatch.from_arrays([*cols, none(pa.int64()), none(pa.int64()), none(pa.bool_())], schema=schema)
+        if self.names:
+            i, h, at, x, y, alone = (np.concatenate(c) for c in zip(*self.names))
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(h, pa.int64()), pa.array(at), pa.array(at + np.int32(LENGTH)), pa.array(x), pa.array(y), pa.array(alone)], schema=schema)
+        self.__init__()
+
+
+def _sorted_runs(hot_texts: int, most: int):
+    """Contexts come sorted by anchor and part; whole groups are gathered into pieces of `most` bytes and sorted."""
+
+    def run(batches):
+        piece, group, last, hot, size = Piece(), [], None, False, 0
+        for batch in batches:
+            for anchor, part, n, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "part", "n", "doc_id", "h", "start", "run"))):
+                if (anchor, part) != last:
+                    if piece.contexts and piece.size + size > most or len(piece.marks) > 50_000:
+                        yield from piece.settle()
+                    piece.add(group, hot)
+                    group, last, hot, size = [], (anchor, part), n > hot_texts, 0
+                group.append(tuple(row))
+                size += len(row[3]) + 1
+        if piece.contexts and piece.size + size > most:
+            yield from piece.settle()
+        piece.add(group, hot)
+        yield from piece.settle()
+
+    return run
 
 
 def _trimmed(batches):
@@ -293,19 +309,17 @@ def _trimmed(batches):
 
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     for batch in batches:
-        out = []
-        for i, h, text, hits, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "hits", "spans"))):
-            edge = np.zeros(len(text) + 1, np.int64)
-            pairs = [(x["a"], x["b"]) for part in spans or [] for x in part] + contexts(text, {x["anchor"]: x["n"] for x in hits})[1]
-            for a, b in pairs:
-                edge[a] += 1
-                edge[b] -= 1
-            gone = np.cumsum(edge)[:-1] > 0
-            if gone.any():
+        for start in range(0, batch.num_rows, 256):
+            part, out = batch.slice(start, 256), []
+            for i, h, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "h", "text", "spans"))):
+                edge = np.zeros(len(text) + 1, np.int64)
+                for x in spans:
+                    edge[x["a"]] += 1
+                    edge[x["b"]] -= 1
+                gone = np.cumsum(edge)[:-1] > 0
                 begins = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 out.append({"doc_id": i, "h": h, "n_removed": int(gone.sum()), "n_spans": begins, "kept_sha256": hashlib.sha256(kept).hexdigest()})
-        if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
@@ -322,13 +336,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     hits = hits.join(texts.where(f"n_bytes >= {LENGTH}").select(F.col("rep").alias("doc_id"), "h"), ["doc_id", "h"])
     wanted = materialize(keyed.join(hits, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]), "candidates")
     runs = materialize(wanted.mapInArrow(_context_rows, "anchor long, n long, doc_id long, h long, start int, run binary"), "contexts")
-    few = runs.where(F.col("n") <= HOT).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_runs, SPANS)
-    names = runs.where(F.col("n") > HOT).mapInArrow(_window_names, "x long, y long, doc_id long, h long, at int")
-    place = F.struct("doc_id", "h", "at")
-    again = names.groupBy("x", "y").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("x", "y")
-    crowd = names.join(again, ["x", "y"]).groupBy("doc_id", "h").agg(F.collect_set(F.struct(F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))).alias("spans"))
-    spans = few.unionByName(crowd).groupBy("doc_id", "h").agg(F.collect_list("spans").alias("spans"))
-    trimmed = wanted.join(spans, ["doc_id", "h"], "left").select("doc_id", "h", "text", "hits", "spans").mapInArrow(_trimmed, "doc_id long, h long, n_removed long, n_spans long, kept_sha256 string")
+    parts = F.pmod(F.xxhash64("doc_id", "h"), F.expr(f"(n + {HOT} - 1) div {HOT}"))
+    groups = runs.where("anchor is not null").withColumn("part", parts).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    seen = materialize(groups.select("anchor", "part", "n", "doc_id", "h", "start", "run").mapInArrow(_sorted_runs(HOT, PIECE), FOUND), "found")
+    names = seen.where("x is not null")
+    place = F.struct("doc_id", "h", "a")
+    again = names.groupBy("x", "y").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("open").alias("any")).where("low <> high and any").select("x", "y")
+    spread = names.where("open").join(again, ["x", "y"]).select("doc_id", "h", "a", "b")
+    own = runs.where("anchor is null").select("doc_id", "h", F.col("start").alias("a"), F.col("n").cast("int").alias("b"))
+    spans = seen.where("x is null").select("doc_id", "h", "a", "b").unionByName(own).unionByName(spread).groupBy("doc_id", "h").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    trimmed = wanted.select("doc_id", "h", "text").join(spans, ["doc_id", "h"]).select("doc_id", "h", "text", "spans").mapInArrow(_trimmed, "doc_id long, h long, n_removed long, n_spans long, kept_sha256 string")
     part = texts.join(trimmed.select(F.col("doc_id").alias("rep"), "h", "n_removed", "n_spans", "kept_sha256"), ["rep", "h"], "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     per_text = part.select(
