@@ -24,9 +24,10 @@ from pyspark.sql import types as T
 
 from .common import table
 
-SAMPLE = 4000
-LANDMARKS = 600
+SAMPLE = 2000
+LANDMARKS = 400
 COST = 4000.0
+NEGATIVE_COST = 8000.0
 DECAY = 0.75
 SPAN = 4
 GAPS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
@@ -149,9 +150,10 @@ def gram(sparse, n: int, dense):
     rows, codes, values = sparse
     order = np.argsort(rows, kind="stable")
     rows, codes, values = rows[order], codes[order], values[order]
-    out = np.zeros((n, len(dense)))
+    values = values.astype(np.float32)
+    out = np.zeros((n, len(dense)), np.float32)
     turned = np.ascontiguousarray(dense.T)
-    cut = np.searchsorted(rows, np.arange(0, n + 500, 500))
+    cut = np.searchsorted(rows, np.arange(0, n + 100, 100))
     for a, b in zip(cut[:-1], cut[1:]):
         if a < b:
             part = turned[codes[a:b]] * values[a:b, None]
@@ -203,24 +205,39 @@ def vocabulary(texts: list[bytes]):
 
     from . import words as w_
 
-    text, starts = w_.raw(pa.array(texts, pa.binary()))
-    first, end, doc = word_spans(text, starts)
-    end = np.minimum(end, first + 64)
-    h = w_.word_hashes(w_.lowered(text), first, end)
-    _, place, word = np.unique(h, return_index=True, return_inverse=True)
-    data = w_.lowered(text).tobytes()
-    strings = [data[a:b] for a, b in zip(first[place].tolist(), end[place].tolist())]
-    before, after = np.concatenate([h[:1], h[:-1]]), np.concatenate([h[1:], h[-1:]])
-    return strings, word, doc, w_.mixed(h + w_.mixed(before) * np.uint64(3) + w_.mixed(after) * np.uint64(5))
-
-
-def fit(texts: list[bytes], labels: list[int]) -> dict:
-    """The model of labelled texts: a weight for each letter triple, bias, slope and offset."""
+    hashes, docs, contexts, strings, known = [], [], [], [], {}
+    for offset, part in w_.slices(pa.array(texts, pa.binary()), 1 << 20):
+        text, starts = w_.raw(part)
+        first, end, doc = word_spans(text, starts)
+        if not len(first):
+            continue
+        end = np.minimum(end, first + 64)
+        text = w_.lowered(text)
+        h = w_.word_hashes(text, first, end)
+        around = w_.mixed(np.concatenate([h[:1], h[:-1]])) * np.uint64(3) + w_.mixed(np.concatenate([h[1:], h[-1:]])) * np.uint64(5)
+        new, place, word = np.unique(h, return_index=True, return_inverse=True)
+        number = np.empty(len(new), np.int32)
+        data = text.tobytes()
+        for i, (x, k) in enumerate(zip(new.tolist(), place.tolist())):
+            if x not in known:
+                known[x] = len(strings)
+                strings.append(data[first[k] : end[k]])
+            number[i] = known[x]
+        hashes.append(number[word])
+        docs.append((doc + offset).astype(np.int32))
+        contexts.append(w_.mixed(h + around))
+    none = np.zeros(0, np.int32)
+    return strings, *(np.concatenate([none, *x]) for x in (hashes, docs)), np.concatenate([np.zeros(0, np.uint64), *contexts])
+
+
+def fit(texts: list[bytes], labels: list[int], share: float | None = None) -> dict:
+    """The model of labelled texts: a weight for each letter triple, bias, slope and offset. `share` is that of toxic documents where the sample comes
+    from, if the sample was drawn by label."""
     import numpy as np
     import pyarrow as pa
 
     y = np.array(labels)
-    share = float(y.mean()) if len(y) else 0.0
+    share = share if share is not None else float(y.mean()) if len(y) else 0.0
     nothing = {"weights": np.zeros(1 << 15, np.float32), "bias": 0.0, "slope": 0.0, "offset": 0.0, "constant": share}
     if not len(y) or y.min() == y.max():
         return nothing
@@ -232,6 +249,7 @@ def fit(texts: list[bytes], labels: list[int]) -> dict:
         mine = np.flatnonzero(y[doc] == label)
         _, at = np.unique(context[mine], return_index=True)
         seen.append(np.bincount(word[mine[at]], minlength=n))
+    del context
     toxic, clean = seen
     lift = np.log((toxic + 0.1) / (toxic.sum() + 1)) - np.log((clean + 0.1) / (clean.sum() + 1))
     certain = (toxic >= 3) & (lift > 2.0)
@@ -262,7 +280,7 @@ def fit(texts: list[bytes], labels: list[int]) -> dict:
         both = np.concatenate([pos, neg])
         x = gram(features([strings[i] for i in both]), len(both), dense) @ root
         target = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-        cost = np.concatenate([COST * toxic[pos] / toxic[pos].sum(), COST * np.log1p(clean[neg]) / np.log1p(clean[neg]).sum()]) + 0.02
+        cost = np.concatenate([COST * toxic[pos] / toxic[pos].sum(), NEGATIVE_COST * np.sqrt(clean[neg]) / np.sqrt(clean[neg]).sum()]) + np.where(target > 0, 0.02, 0.5)
         w, bias = svm(x, target, cost)
         weights = ((root @ w) @ dense).astype(np.float32)
         model = {"weights": weights, "bias": float(bias)}
@@ -278,6 +296,7 @@ def fit(texts: list[bytes], labels: list[int]) -> dict:
         witness[word[order[np.flatnonzero(np.concatenate([[True], doc[order][1:] != doc[order][:-1]]))]] if len(order) else []] = True
     f = text_scores(pa.array(texts, pa.binary()), model["weights"], model["bias"])
     slope, offset = sigmoid_fit(f, np.where(y > 0, 1.0, -1.0))
+    offset += float(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))) if 0 < share < 1 else 0.0
     return model | {"slope": slope, "offset": offset, "constant": None}
 
 
@@ -294,8 +313,9 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def sample_texts(docs: DataFrame, labels: DataFrame, name: str, parts: int, held: int, most: int, values=(0, 1)) -> list[tuple[bytes, int]]:
-    """(text, label) of at most `most` documents of each label value, with the least hashes, from the training folds."""
+def sample_texts(docs: DataFrame, labels: DataFrame, name: str, parts: int, held: int, most: int, values=(0, 1)) -> tuple[list[tuple[bytes, int]], float]:
+    """(text, label) of at most `most` documents of each label value, with the least hashes, from the training folds; and the mean label of all
+    documents in them."""
     marked = labels.where(F.col(name).isin(*values) & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id"), parts) != held)
     marked = marked.groupBy("doc_id").agg(F.max(name).cast("int").alias("label"))
     marked = marked.join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -306,16 +326,17 @@ def sample_texts(docs: DataFrame, labels: DataFrame, name: str, parts: int, held
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = [(r[0], r[1]) for r in chosen.collect()]  # at most `most` ids of each value
     if not rows:
-        return []
+        return [], 0.0
+    mean = float(marked.agg(F.avg("label")).first()[0])
     small = docs.sparkSession.createDataFrame(rows, docs.select("doc_id").schema.add("label", T.IntegerType()))
-    found = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label")
-    got = sorted((r[0], bytes(r[1]), r[2]) for r in found.collect())
-    return [(t, v) for _, t, v in got]
+    found = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label").toArrow()
+    got = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "text", "label"))))
+    return [(t, v) for _, t, v in got], mean
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
-    sample = sample_texts(docs, labels, "toxic", 4, 2, most)
-    return fit([t for t, _ in sample], [v for _, v in sample])
+    sample, share = sample_texts(docs, labels, "toxic", 4, 2, most)
+    return fit([t for t, _ in sample], [v for _, v in sample], share)
 
 
 def _score(shared):
