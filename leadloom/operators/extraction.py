@@ -118,12 +118,19 @@ def people(pages: DataFrame) -> DataFrame:
 
 
 def model_context(pages: DataFrame, key: str, order: str, most: int = 12_000) -> DataFrame:
-    """The pages of each key as one text of at most `most` characters, in order; only those that can still be in it are gathered."""
-    chunk = F.concat(F.lit("PAGE URL: "), F.col("url"), F.lit("\n"), F.coalesce("text", F.lit("")))
-    before = F.coalesce(F.sum(F.length("chunk") + 2).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = pages.withColumn("chunk", chunk).withColumn("before", before).where(F.col("before") < most)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.substring("chunk", 1, most).alias("chunk")))), lambda x: x["chunk"])
-    return near.groupBy(key).agg(F.substring(F.array_join(parts, "\n\n"), 1, most).alias("context"))
+    """The pages of each key as one text, in order: each with its url, cut where `most` characters of pages are reached. Only pages that can still be in it are gathered."""
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
+    rows = pages.withColumn("bare", bare).where("bare <> ''")
+    rows = rows.withColumn("chunk", F.concat(F.lit("PAGE URL: "), F.coalesce("url", F.lit("")), F.lit("\n"), F.col("bare"), F.lit("\n")))
+    before = F.coalesce(F.sum(F.length("chunk")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = rows.withColumn("before", before).where(F.col("before") < most).withColumn("chunk", F.substring("chunk", F.lit(1), (F.lit(most) - F.col("before")).cast("int")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("chunk")))), lambda x: x["chunk"])
+    return near.groupBy(key).agg(F.regexp_replace(F.array_join(parts, "\n\n"), r"(?U)^\s+|\s+$", "").alias("context"))
+
+
+def crawl_links(crawls: DataFrame) -> DataFrame:
+    """crawl_id, position, url of the links of each crawl (id, links), each once."""
+    return crawls.select(F.col("id").alias("crawl_id"), F.posexplode(F.array_distinct("links")).alias("position", "url"))
 
 
 def crawl_rows(pages: DataFrame) -> DataFrame:

@@ -13,6 +13,12 @@ from .latest import latest_by_time, latest_per, ordered_distinct
 CONTACT_KINDS = ("email", "phone", "linkedin_company", "linkedin_profile", "facebook", "instagram", "x", "youtube", "tiktok")
 
 
+WIDE_FIELDS = (
+    "website", "domain", "country", "city", "address", "category", "people", "decision_makers", "technologies", "performance_score", "seo_score", "email",
+    "phone", "linkedin_company_urls", "linkedin_profile_urls", "facebook_urls", "instagram_urls", "x_urls", "youtube_urls", "tiktok_urls",
+)
+
+
 @dataclass(frozen=True)
 class ExportFilters:
     """All fields are optional; those given must all hold. Times are half-open, scores inclusive."""
@@ -134,15 +140,15 @@ def lead_rows(companies: DataFrame, records: DataFrame, sources: DataFrame) -> D
     """The ten columns of the plain lead export."""
     source = first_source(records, sources)
     rows = companies.join(source, companies["id"] == source["company_id"], "left")
-    return rows.select("name", "website", "domain", "phone", "country", "city", "address", "category", "source", "created_at")
+    return rows.select(F.col("name").alias("company_name"), "website", "domain", "phone", "city", "country", "address", "category", "source", "created_at")
 
 
 def wide_rows(companies: DataFrame, performance: DataFrame, technologies: DataFrame, contacts: DataFrame, people: DataFrame, observations: DataFrame) -> DataFrame:
-    """Companies with their latest performance and all evidence as text."""
+    """The 22 columns of the wide lead export: companies with their latest performance and all evidence as text."""
     last = latest_by_time(performance, "company_id").select(F.col("company_id").alias("id"), "performance_score", "seo_score")
-    rows = companies.join(last, "id", "left")
     found = contact_columns(contacts)
-    found = found.select("company_id", *[F.col(c).alias(f"contact_{c}") for c in found.columns if c != "company_id"])
+    found = found.select("company_id", *[F.col(k).alias(k if k in ("email", "phone") else f"{k}_urls") for k in CONTACT_KINDS])
+    rows = companies.drop("phone").join(last, "id", "left")
     for part in (technology_text(technologies), found, people_columns(people, observations)):
         rows = rows.join(part.withColumnRenamed("company_id", "id"), "id", "left")
-    return rows
+    return rows.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"), *WIDE_FIELDS)

@@ -11,9 +11,26 @@ from ..functions import policies
 
 # Fixed values -------------------------------------------------------------------------------------------------------
 
-STAGES = ("technology", "performance", "homepage", "business_pages", "contacts", "people_analysis", "person_persistence", "person_email")
+STAGES = ("technology_detection", "performance_seo", "website_analysis", "business_pages", "contacts", "people_analysis", "person_persistence", "person_email")
+STATUSES = ("pending", "running", "completed", "failed", "skipped")
 TRANSITIONS = {
-    "pending": ("running",), "running": ("completed", "failed"), "completed": ("running",), "failed": ("retrying",), "retrying": ("running",),
+    "pending": ("running",), "running": ("completed", "failed", "retrying"), "failed": ("running", "retrying"), "retrying": ("running", "failed"),
+    "completed": ("running",),
+}
+TRANSIENT_ERRORS = [
+    "TimeoutError", "AsyncioTimeoutError", "CrawlingProviderTimeout", "ConnectionError", "ConnectionResetError", "ConnectError", "ReadTimeout",
+    "ConnectTimeout", "RemoteProtocolError", "GroqRateLimitedError",
+]
+TRANSIENT_FRAGMENTS = [
+    "timed out", "timeout", "connection reset", "connection refused", "temporary failure", "temporarily unavailable", "service unavailable",
+    "bad gateway", "gateway timeout", "rate limit", "too many requests", "http 429", "status 429", "http 502", "status 502", "http 503", "status 503",
+    "http 504", "status 504",
+]
+ERROR_STAGES = {
+    "homepage": ("CrawlingProviderError", "CrawlingProviderTimeout"), "technology_detection": ("TechnologyDetectionProviderError", "TechnologyProviderError"),
+    "website_performance": ("PerformanceProviderError", "PageSpeedProviderError", "SeoProviderError"),
+    "people_ai": ("GroqProviderError", "GroqRateLimitedError", "GroqParseError"), "persistence": ("IntegrityError",),
+    "person_email": ("MrEmailCheckerError", "MrEmailCheckerTimeoutError", "MrEmailCheckerParseError"), "company_validation": ("ValueError", "ValidationError"),
 }
 # End of fixed values ------------------------------------------------------------------------------------------------
 
@@ -53,7 +70,14 @@ def retry_schedule(failures: DataFrame, most_attempts: int, base: float = 2.0, f
     return failures.withColumns({"retry": F.col("attempt") < most_attempts, "delay_seconds": policies.retry_delay(F.col("attempt"), base, factor, most)})
 
 
-def retryable(error_type: Column, message: Column, names: list[str], fragments: list[str]) -> Column:
+def failure_stage(error_type: Column) -> Column:
+    """The stage that an error most likely comes from."""
+    table = {name: stage for stage, names in ERROR_STAGES.items() for name in names}
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[error_type], F.lit("company_enrichment"))
+
+
+def retryable(error_type: Column, message: Column, names: list[str] = TRANSIENT_ERRORS, fragments: list[str] = TRANSIENT_FRAGMENTS) -> Column:
+    """Whether a failure may pass: by the error's name, or by a part of its message."""
     return F.coalesce(error_type.isin(*names), F.lit(False)) | F.exists(F.array(*[F.lit(f) for f in fragments]), lambda f: F.contains(F.lower(F.coalesce(message, F.lit(""))), f))
 
 

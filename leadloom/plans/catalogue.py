@@ -87,7 +87,7 @@ def a9_people_columns(spark, sf_dir):
 
 @query(
     ctes("companies", "performance", "technologies", "contacts", "people", "observations")
-    + f", {LATEST}, {SCORED}, {PIVOT}, {PEOPLE}, te AS {TECH} SELECT c.*, performance_score, seo_score, te.t AS technologies, {', '.join(f'cp.{k} AS contact_{k}' for k in leads.CONTACT_KINDS)}, people, decision_makers "
+    + f", {LATEST}, {SCORED}, {PIVOT}, {PEOPLE}, te AS {TECH} SELECT c.id AS company_id, c.name AS company_name, website, domain, country, city, address, category, performance_score, seo_score, te.t AS technologies, {', '.join(f'cp.{k} AS {k}' if k in ('email', 'phone') else f'cp.{k} AS {k}_urls' for k in leads.CONTACT_KINDS)}, people, decision_makers "
     "FROM companies c LEFT JOIN lp ON lp.company_id = c.id LEFT JOIN te ON te.company_id = c.id LEFT JOIN cp ON cp.company_id = c.id LEFT JOIN pp ON pp.company_id = c.id"
 )
 def k2_wide_export(spark, sf_dir):
@@ -372,9 +372,9 @@ def w2_people_pages(spark, sf_dir):
     return extraction.people_pages(p.select(F.col("page_id").alias("site"), "url", more.alias("html")))
 
 
-@query("WITH d AS (SELECT source, doc_id, 'PAGE URL: doc/' || doc_id || chr(10) || text AS chunk FROM documents WHERE doc_id % 2 = 0), b AS (SELECT *, coalesce(sum(length(chunk) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d) SELECT source, md5(substr(string_agg(chunk, chr(10) || chr(10) ORDER BY doc_id), 1, 12000)) AS context FROM b WHERE before < 12000 GROUP BY source")
+@query("WITH d AS (SELECT source, doc_id, 'PAGE URL: doc/' || doc_id || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) AS chunk FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''), b AS (SELECT *, coalesce(sum(length(chunk)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d) SELECT source, md5(trim(string_agg(substr(chunk, 1, CAST(12000 - before AS BIGINT)), chr(10) || chr(10) ORDER BY doc_id), ' ' || chr(9) || chr(10) || chr(13))) AS context FROM b WHERE before < 12000 GROUP BY source")
 def x20_model_context(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("source", "doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), "text")
+    d = read(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), "text")
     return extraction.model_context(d, "source", "doc_id").select("source", F.md5("context").alias("context"))
 
 
@@ -528,6 +528,16 @@ def t4_transitions(spark, sf_dir):
     return rows.select("event_id", state.is_legal(F.col("a"), F.col("b")).alias("legal"))
 
 
+ERRORS = "CASE event_id % 7 WHEN 0 THEN 'ReadTimeout' WHEN 1 THEN 'ValueError' WHEN 2 THEN 'GroqParseError' WHEN 3 THEN 'IntegrityError' WHEN 4 THEN 'CrawlingProviderError' WHEN 5 THEN 'PageSpeedProviderError' ELSE 'KeyError' END"
+MESSAGES = "CASE event_id % 5 WHEN 0 THEN 'HTTP 503 from host' WHEN 1 THEN 'Connection RESET by peer' WHEN 2 THEN 'bad value' WHEN 3 THEN NULL ELSE 'no' END"
+
+
+@query(f"WITH e AS (SELECT event_id, {ERRORS} AS error, {MESSAGES} AS message FROM events) SELECT event_id, error = 'ReadTimeout' OR event_id % 5 IN (0, 1) AS retry, CASE error WHEN 'ValueError' THEN 'company_validation' WHEN 'GroqParseError' THEN 'people_ai' WHEN 'IntegrityError' THEN 'persistence' WHEN 'CrawlingProviderError' THEN 'homepage' WHEN 'PageSpeedProviderError' THEN 'website_performance' ELSE 'company_enrichment' END AS stage FROM e")
+def f12_failures(spark, sf_dir):
+    e = read(spark, sf_dir, "events").selectExpr("event_id", f"{ERRORS} AS error", f"{MESSAGES} AS message")
+    return e.select("event_id", state.retryable(F.col("error"), F.col("message")).alias("retry"), state.failure_stage(F.col("error")).alias("stage"))
+
+
 @query("SELECT event_id, event_id % 6 + 1 < 4 AS retry, least(2.0 * pow(2.0, event_id % 6), 15.0) AS delay_seconds FROM events")
 def t6_retries(spark, sf_dir):
     return state.retry_schedule(read(spark, sf_dir, "events").selectExpr("event_id", "event_id % 6 + 1 AS attempt"), 4).select("event_id", "retry", "delay_seconds")

@@ -11,9 +11,12 @@ from ..operators.companies import deduplicate_listings
 
 LISTING = "title string, website string, address string, complete_address string, phone string, category string, place_id string, cid string, data_id string, _corrupt_record string"
 TECHNOLOGIES = "map<string,map<string,struct<version:string,confidence:int,categories:array<string>,groups:array<string>>>>"
-VERDICT = "struct<status:string,valid:boolean,score:int,risk:string,smtp:struct<verdict:string,code:int,message:string,catch_all:boolean,latency_ms:int>,reasons:array<string>>"
-#: Fragments of SMTP messages by which a probe was refused for where it came from, and not for the mailbox.
-BLOCK_MARKERS = ["blocked", "blacklist", "block list", "blocklist", "spamhaus", "barracuda", "banned", "denied by policy", "poor reputation", "client host rejected", "access denied", "not authorized", "rbl"]
+VERDICT = "struct<status:string,valid:boolean,score:int,risk:string,smtp:struct<verdict:string,code:int,message:string,catchAll:boolean,latencyMs:int>,reasons:array<string>>"
+# Parts of SMTP messages by which a probe was refused for where it came from, and not for the mailbox.
+BLOCK_MARKERS = [
+    "blocked using spamhaus", "spamhaus", "client blocked", "client host rejected", "client rejected", "client denied", "client blacklisted",
+    "client is blacklisted", "ip blacklisted", "ip address blacklisted", "sender ip blocked", "connection blocked", "service unavailable; client",
+]
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +71,7 @@ def email_verdict(report: Column) -> Column:
     verdict = normalized_smtp_verdict(v["smtp"]["verdict"], v["smtp"]["message"], BLOCK_MARKERS)
     blocked = F.coalesce(verdict == "blocked", F.lit(False))
     reasons = F.when(blocked, F.array_append(F.filter(v["reasons"], lambda r: r != "mailbox_not_found"), F.lit("smtp_blocked"))).otherwise(v["reasons"])
-    return F.struct(F.when(blocked, "unknown").otherwise(v["status"]).alias("status"), (v["valid"] & ~blocked).alias("valid"), v["score"].alias("score"), v["risk"].alias("risk"), verdict.alias("smtp_verdict"), F.coalesce(v["smtp"]["catch_all"], F.lit(False)).alias("catch_all"), F.array_distinct(reasons).alias("reasons"))
+    return F.struct(F.when(blocked, "unknown").otherwise(v["status"]).alias("status"), (v["valid"] & ~blocked).alias("valid"), v["score"].alias("score"), v["risk"].alias("risk"), verdict.alias("smtp_verdict"), F.coalesce(v["smtp"]["catchAll"], F.lit(False)).alias("catch_all"), F.array_distinct(reasons).alias("reasons"))
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, after_id: int | None = None, created_from=None, limit: int | None = None) -> DataFrame:
