@@ -111,7 +111,7 @@ def word_scores(text, first, end, weights):
 
 
 def text_scores(column, weights, bias: float):
-    """The machine's output for each text of a binary column: that of its worst word, NO_WORDS for none."""
+    """The machine's output for each text of a binary column: that of its worst word; NO_WORDS for none."""
     import numpy as np
 
     from . import words
@@ -313,8 +313,8 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def sample_texts(docs: DataFrame, labels: DataFrame, name: str, parts: int, held: int, most: int, values=(0, 1)) -> tuple[list[tuple[bytes, int]], float]:
-    """(text, label) of at most `most` documents of each label value, with the least hashes, from the training folds; and the mean label of all
+def sample_texts(docs: DataFrame, labels: DataFrame, name: str, parts: int, held: int, most: int, values=(0, 1)) -> tuple[DataFrame | None, float]:
+    """doc_id, text, label of at most `most` documents of each label value, with the least hashes, from the training folds; and the mean label of all
     documents in them."""
     marked = labels.where(F.col(name).isin(*values) & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id"), parts) != held)
     marked = marked.groupBy("doc_id").agg(F.max(name).cast("int").alias("label"))
@@ -326,17 +326,35 @@ def sample_texts(docs: DataFrame, labels: DataFrame, name: str, parts: int, held
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = [(r[0], r[1]) for r in chosen.collect()]  # at most `most` ids of each value
     if not rows:
-        return [], 0.0
+        return None, 0.0
     mean = float(marked.agg(F.avg("label")).first()[0])
     small = docs.sparkSession.createDataFrame(rows, docs.select("doc_id").schema.add("label", T.IntegerType()))
-    found = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label").toArrow()
-    got = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "text", "label"))))
-    return [(t, v) for _, t, v in got], mean
+    found = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id")
+    return found.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label"), mean
+
+
+def _fitted(share: float):
+    def run(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            labels += batch.column("label").to_pylist()
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(texts, labels, share))]}, schema=pa.schema([("model", pa.binary())]))
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
+    """The model of a bounded sample. It is fitted in one task, where the sample meets; the driver gets the model only."""
+    import pickle
+
     sample, share = sample_texts(docs, labels, "toxic", 4, 2, most)
-    return fit([t for t, _ in sample], [v for _, v in sample], share)
+    got = sample.repartition(1).sortWithinPartitions("doc_id", "label", "text").mapInArrow(_fitted(share), "model binary").collect() if sample is not None else []
+    return pickle.loads(bytes(got[0][0])) if got else fit([], [], share)
 
 
 def _score(shared):
