@@ -2,7 +2,7 @@
 
 Kernel: two strings are compared by the three-letter subsequences that they share, each weighted by DECAY to the power of the letters it
 spans (SPAN at most after the first), so inserted or separating characters cost a little and do not hide a word. A word is framed by white space; runs of
-single letters (`i d i o t`) count as one word. A string's norm is that of its length, which keeps the kernel positive semi-definite.
+single letters (`i d i o t`) count as one word, and a word with marks or gaps inside is also compared without them. A string's norm is that of its length, which keeps the kernel positive semi-definite.
 A sentence is compared with a landmark at its best word, a document at its worst sentence.
 
 Training: labels are of documents, so it is mi-SVM: every sentence of a clean document is negative; in each toxic document the witness
@@ -110,8 +110,25 @@ def word_scores(text, first, end, weights):
     return score / norms(end - first + 2)
 
 
+def squeezed(text, first, end):
+    """(text, first, end, word) of the words that hold marks or gaps between their letters, without those: `i-d-i-o-t` becomes `idiot`."""
+    import numpy as np
+
+    mark = np.isin(letter_classes()[text], (0, 31))
+    total = np.concatenate([[0], np.cumsum(mark)])
+    word = np.flatnonzero((total[end] > total[first]) & (total[end] - total[first] < end - first))
+    size = end[word] - first[word]
+    of = np.repeat(np.arange(len(word)), size)
+    place = np.repeat(first[word], size) + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    keep = ~mark[place]
+    of, place = of[keep], place[keep]
+    left = np.bincount(of, minlength=len(word))
+    last = np.cumsum(left)
+    return text[place], last - left, last, word
+
+
 def text_scores(column, weights, bias: float):
-    """The machine's output for each text of a binary column: that of its worst word; NO_WORDS for none."""
+    """The machine's output for each text of a binary column: that of its worst word, as written or squeezed; NO_WORDS for none."""
     import numpy as np
 
     from . import words
@@ -122,6 +139,9 @@ def text_scores(column, weights, bias: float):
         first, end, doc = word_spans(text, starts)
         if len(first):
             score = word_scores(text, first, end, weights) + bias
+            bare, a, b, word = squeezed(text, first, end)
+            if len(word):
+                score[word] = np.maximum(score[word], word_scores(bare, a, b, weights) + bias)
             at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             out[offset + doc[at]] = np.maximum.reduceat(score, at)
     return out
