@@ -7,8 +7,9 @@ fingerprints are not gathered: their fingerprints are linked through one-bit nei
 exactly if some value is within 1 bit of both; at most 65 are within 1 bit of a value), which is exact too. Links are spanning
 edges, not all pairs, and components come from star contraction.
 
-`near_duplicates` finds documents whose sets of five-word shingles have Jaccard similarity 0.8 or more: several fingerprints over the
-distinct words of a text go through the trie join, and candidates are verified on whole shingle sets.
+`near_duplicates` finds documents whose sets of five-word shingles have Jaccard similarity J of 0.8 or more. Fingerprints by majority differ in
+too many bits there, so candidates share one of BANDS keys, each of BAND_ROWS minima of hashed shingles: a pair is missed with probability
+(1 - J ** BAND_ROWS) ** BANDS (1.3e-7 at 0.8), wherever the edits are. Candidates are verified on whole shingle sets.
 
 Defined cases: a null text equals an empty one, with fingerprint 0; fewer words than a shingle give the whole sequence; equal texts share
 fingerprint and component; a null doc_id is carried but is never the smallest of a component that has another; an empty table
@@ -203,33 +204,39 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Near-duplicate documents -------------------------------------------------------------------------------------------
 
-#: Independent 64-bit fingerprints over the distinct words of a text; each may differ in WORD_BUDGET bits.
-PRINTS = 6
-WORD_BUDGET = 3
-WORD_BLOCKS = 5
+#: Keys of a text's shingle set, and minima in each key.
+BANDS = 40
+BAND_ROWS = 5
+#: Of BANDS * BAND_ROWS bits, one of each minimum, a pair at J = 0.8 differs in 20 on average (deviation 4.24); in more than 44 with probability 1e-7.
+FAR = 44
 SIMILARITY = 0.8
 SHINGLE = 5
 
 
-def word_prints(text: bytes | None, prints: int = PRINTS) -> list[int]:
+def _hashes():
     import numpy as np
-    import xxhash
 
-    words = set((text or b"").lower().split())
-    if not words:
-        return [0] * prints
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), np.uint64)
-    ones = np.zeros(64 * prints, np.int64)
-    step = np.arange(1, prints + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for i in range(0, len(h), 1 << 14):
-        x = h[i : i + (1 << 14), None] + step[None, :]
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), 8 * prints), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h)).view(np.int64).tolist()
+    rng = np.random.default_rng(11)
+    n = BANDS * BAND_ROWS
+    return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+def bands_and_bits(shingles: bytes, hashes=None) -> tuple[list[int], list[int]]:
+    """The band keys of a set of shingles, and one bit of each minimum (in 64-bit words)."""
+    import numpy as np
+
+    mul, add = hashes or _hashes()
+    h = np.frombuffer(shingles, np.uint64)
+    least = np.full(len(mul), np.iinfo(np.uint64).max)
+    for i in range(0, len(h), 1 << 12):
+        least = np.minimum(least, (h[i : i + (1 << 12), None] * mul + add).min(0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for x in least.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(31)
+    bits = np.packbits(least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63) == 1)
+    bits = np.pad(bits, (0, -len(bits) % 8))
+    return key.view(np.int64).tolist(), bits.view(np.int64).tolist()
 
 
 def shingle_set(text: bytes | None, width: int = SHINGLE) -> bytes:
@@ -254,33 +261,15 @@ def jaccard(a: bytes, b: bytes) -> float:
 def _print_rows(batches):
     import pyarrow as pa
 
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("words", pa.int32()), ("fps", pa.list_(pa.int64()))])
-    yield from by_row(lambda i, d, t: [{"doc_id": i, "digest": d, "words": len((t or b"").split()), "fps": word_prints(t)}], ["doc_id", "digest", "text"])(batches, schema)
+    hashes = _hashes()
 
+    def one(i, d, t):
+        words = len((t or b"").split())
+        bands, bits = bands_and_bits(shingle_set(t), hashes) if words else ([], [])
+        return [{"doc_id": i, "digest": d, "words": words, "bits": bits, "bands": bands}]
 
-def _candidate_pairs(budget, few):
-    """Pairs of documents of one node within the budget: all of a small node; of a large one, links to its smallest document,
-    to those nearest the majority of its bits, and to the next in trie order."""
-
-    def one(rows):
-        rows.sort(key=lambda x: (x[0] & 0xFFFFFFFFFFFFFFFF, x[1]))
-        values, ids = [x[0] & 0xFFFFFFFFFFFFFFFF for x in rows], [x[1] for x in rows]
-        n = len(rows)
-        if n <= few:
-            pairs = trie_pairs(values, budget)
-        else:
-            half = sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > n)
-            hubs = {min(range(n), key=ids.__getitem__), *sorted(range(n), key=lambda i: ((values[i] ^ half).bit_count(), ids[i]))[:4]}
-            pairs = [(h, i) for h in hubs for i in range(n)] + [(i - 1, i) for i in range(1, n)]
-            pairs = [(i, j) for i, j in pairs if i != j and (values[i] ^ values[j]).bit_count() <= 4 * budget]
-        return [{"a": min(ids[i], ids[j]), "b": max(ids[i], ids[j])} for i, j in pairs]
-
-    def run(batches):
-        import pyarrow as pa
-
-        yield from _groups(batches, ["fp", "doc_id"], one, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return run
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("words", pa.int32()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    yield from by_row(one, ["doc_id", "digest", "text"])(batches, schema)
 
 
 def _shingle_rows(batches):
@@ -300,32 +289,35 @@ def _verify(similarity):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, few: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Groups of near-duplicate documents: doc_id, digest of the text, and group_id, the smallest doc_id of the group, one row for each
     doc_id and text. Equal texts are one group; different texts are linked at `similarity` of their five-word shingle sets."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    marked = materialize(keyed.mapInArrow(_print_rows, "doc_id long, digest binary, words int, fps array<long>"), "prints")
-    texts = marked.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("words").alias("words"), F.first("fps").alias("fps"))
+    marked = materialize(keyed.mapInArrow(_print_rows, "doc_id long, digest binary, words int, bits array<long>, bands array<long>"), "prints")
+    texts = marked.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("words").alias("words"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     texts = materialize(texts, "texts")  # one row for each distinct text
-    whole = texts.where("low is not null and words > 0").select(F.col("low").alias("doc_id"), "words", "fps")
-    tables = len(list(combinations(range(WORD_BLOCKS), WORD_BLOCKS - WORD_BUDGET)))
-    one = whole.select("doc_id", F.posexplode("fps").alias("p", "fp"))
-    rows = one.select("doc_id", "fp", "p", F.inline(_nodes("fp", WORD_BUDGET, WORD_BLOCKS))).select("doc_id", "fp", (F.col("p") * tables + F.col("t")).cast("short").alias("t"), "key")
-    counts = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(counts, ["t", "key"]).select("t", "key", "fp", "doc_id").repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-    pairs = materialize(shared.mapInArrow(_candidate_pairs(WORD_BUDGET, few), "a long, b long").distinct(), "pairs")
-    # all prints together tell chance meetings from copies before any shingles move
-    side = lambda x: whole.select(F.col("doc_id").alias(x), F.col("words").alias(f"w{x}"), F.col("fps").alias(f"f{x}"))
+    whole = texts.where("low is not null and words > 0").select(F.col("low").alias("doc_id"), "words", "bits", "bands")
+    rows = whole.select("doc_id", F.explode("bands").alias("key"))
+    groups = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    shared = materialize(rows.join(groups, "key"), "bands")
+
+    # the bits tell chance meetings from copies before any shingles move
+    side = lambda x: whole.select(F.col("doc_id").alias(x), F.col("words").alias(f"w{x}"), F.col("bits").alias(f"f{x}"))
     far = F.expr("aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where((far <= 10 * PRINTS) & (F.least("wa", "wb") >= F.lit(0.5 * similarity) * F.greatest("wa", "wb"))).select("a", "b")
-    likely = materialize(likely, "likely")
-    need = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    need = need.join(texts.select(F.col("low").alias("doc_id"), F.col("digest").alias("need_digest")), "doc_id")
-    sets = keyed.join(need, "doc_id").where("digest = need_digest").select("doc_id", "text").mapInArrow(_shingle_rows, "id long, shingles binary")
-    sets = materialize(sets.dropDuplicates(["id"]), "shingles")
-    joined = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    links = joined.mapInArrow(_verify(similarity), "a long, b long, similarity double")
-    nodes = connected_components(links.select("a", "b"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of at least `similarity`."""
+        likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((far <= FAR) & (F.least("wa", "wb") >= F.lit(0.5 * similarity) * F.greatest("wa", "wb"))).select("a", "b")
+        likely = materialize(likely, "likely")
+        need = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        need = need.join(texts.select(F.col("low").alias("doc_id"), F.col("digest").alias("need_digest")), "doc_id")
+        sets = keyed.join(need, "doc_id").where("digest = need_digest").select("doc_id", "text").mapInArrow(_shingle_rows, "id long, shingles binary")
+        sets = materialize(sets.dropDuplicates(["id"]), "shingles")
+        joined = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        return materialize(joined.mapInArrow(_verify(similarity), "a long, b long, similarity double").select("a", "b"), "links")
+
+    # each text of a key against the smallest
+    nodes = connected_components(links(shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))))
     groups = texts.join(nodes, texts["low"] == nodes["node"], "left").select("digest", F.coalesce("component", "low").alias("group_id"))
     return marked.select("doc_id", "digest").distinct().join(groups, "digest")
 

@@ -251,6 +251,21 @@ def test_near_duplicates(spark):
     assert simhash.deduplicate(odd_docs(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [60, 200])
+def test_near_duplicates_with_a_block_of_new_words(spark, size):
+    rng = random.Random(size)
+    rows, near = [], []
+    for g in range(120):
+        base = [f"b{g}x{i}" for i in range(size)]
+        new = [f"n{g}x{i}" for i in range(round(size * rng.uniform(0.1, 0.24)))]
+        copy = base + new if g % 2 else base[: size // 2] + new + base[size // 2 :]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        if simhash.jaccard(*(simhash.shingle_set(" ".join(x).encode()) for x in (base, copy))) >= 0.8:
+            near.append(2 * g + 1)
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) >= 60 and kept == set(range(240)) - set(near)
+
+
 # op5
 
 
