@@ -264,11 +264,11 @@ def _print_rows(batches):
     hashes = _hashes()
 
     def one(i, d, t):
-        words = len((t or b"").split())
-        bands, bits = bands_and_bits(shingle_set(t), hashes) if words else ([], [])
-        return [{"doc_id": i, "digest": d, "words": words, "bits": bits, "bands": bands}]
+        shingles = shingle_set(t) if (t or b"").split() else b""
+        bands, bits = bands_and_bits(shingles, hashes) if shingles else ([], [])
+        return [{"doc_id": i, "digest": d, "size": len(shingles) // 8, "bits": bits, "bands": bands}]
 
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("words", pa.int32()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("size", pa.int32()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
     yield from by_row(one, ["doc_id", "digest", "text"])(batches, schema)
 
 
@@ -293,21 +293,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """Groups of near-duplicate documents: doc_id, digest of the text, and group_id, the smallest doc_id of the group, one row for each
     doc_id and text. Equal texts are one group; different texts are linked at `similarity` of their five-word shingle sets."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    marked = materialize(keyed.mapInArrow(_print_rows, "doc_id long, digest binary, words int, bits array<long>, bands array<long>"), "prints")
-    texts = marked.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("words").alias("words"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    marked = materialize(keyed.mapInArrow(_print_rows, "doc_id long, digest binary, size int, bits array<long>, bands array<long>"), "prints")
+    texts = marked.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     texts = materialize(texts, "texts")  # one row for each distinct text
-    whole = texts.where("low is not null and words > 0").select(F.col("low").alias("doc_id"), "words", "bits", "bands")
+    whole = texts.where("low is not null and size > 0").select(F.col("low").alias("doc_id"), "size", "bits", "bands")
     rows = whole.select("doc_id", F.explode("bands").alias("key"))
     groups = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(rows.join(groups, "key"), "bands")
 
-    # the bits tell chance meetings from copies before any shingles move
-    side = lambda x: whole.select(F.col("doc_id").alias(x), F.col("words").alias(f"w{x}"), F.col("bits").alias(f"f{x}"))
+    # the bits tell chance meetings from copies before any shingles move; J is at most the ratio of the sets' sizes
+    side = lambda x: whole.select(F.col("doc_id").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"f{x}"))
     far = F.expr("aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of at least `similarity`."""
-        likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((far <= FAR) & (F.least("wa", "wb") >= F.lit(0.5 * similarity) * F.greatest("wa", "wb"))).select("a", "b")
+        likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((far <= FAR) & (F.least("na", "nb") / F.greatest("na", "nb") >= similarity)).select("a", "b")
         likely = materialize(likely, "likely")
         need = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         need = need.join(texts.select(F.col("low").alias("doc_id"), F.col("digest").alias("need_digest")), "doc_id")

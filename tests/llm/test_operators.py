@@ -266,6 +266,12 @@ def test_near_duplicates_with_a_block_of_new_words(spark, size):
     assert len(near) >= 60 and kept == set(range(240)) - set(near)
 
 
+def test_near_duplicates_of_repeated_text(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, text), (2, " ".join([text] * 4)), (3, "something else " + text[:200])]
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
+
+
 # op5
 
 
