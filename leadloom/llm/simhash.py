@@ -316,8 +316,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         joined = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         return materialize(joined.mapInArrow(_verify(similarity), "a long, b long, similarity double").select("a", "b"), "links")
 
-    # each text of a key against the smallest
-    nodes = connected_components(links(shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))))
+    # each text of a key against the smallest, which makes most of a large group one component; then all pairs of a key that are still apart
+    edges = links(shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
+    nodes = connected_components(edges)
+    labelled = shared.where("n > 2").join(nodes, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    several = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    apart = materialize(labelled.join(several, "key"), "apart")
+    a, b = (apart.select("key", F.col("doc_id").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
+    nodes = connected_components(edges.unionByName(links(a.join(b, "key").where("a < b and ca <> cb").select("a", "b"))))
     groups = texts.join(nodes, texts["low"] == nodes["node"], "left").select("digest", F.coalesce("component", "low").alias("group_id"))
     return marked.select("doc_id", "digest").distinct().join(groups, "digest")
 

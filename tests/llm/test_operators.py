@@ -272,6 +272,34 @@ def test_near_duplicates_of_repeated_text(spark):
     assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
 
 
+def test_near_duplicates_in_crowded_keys(spark):
+    """Many groups that share most of their text: the keys of all of them meet, and only pairs within some groups are near."""
+    rng = random.Random(3)
+    shared = [f"s{i}" for i in range(220)]
+    rows = []
+    for g in range(60):
+        own = [f"g{g}x{i}" for i in range(60)]
+        rows += [(10 * g + k, " ".join(shared + own[: 60 - rng.randrange(8)] + [f"k{g}x{k}x{i}" for i in range(rng.randrange(12))])) for k in range(3)]
+    rng.shuffle(rows)
+    ids = sorted(i for i, _ in rows)
+    sets = {i: simhash.shingle_set(t.encode()) for i, t in rows}
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in ids:
+        for j in ids:
+            if j < i and simhash.jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = [i for i in ids if find(i) == i]
+    assert 60 <= len(want) < 120
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 # op5
 
 
