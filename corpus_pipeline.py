@@ -2,7 +2,7 @@
 put in the order of the mix and dealt to shards.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents, but for the last,
-which returns each document's shard and slot. No SQL expresses it: a learnt classifier, a trie join and a schedule are in it.
+which returns each document's shard and slot; slots of a shard follow the order of the mix, as the stage before stored it. No SQL expresses it: a learnt classifier, a sketch join and a schedule are in it.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(docs)
+    return sharding.assign_shards(docs, stored=True)
 
 
 STAGES = [

@@ -12,7 +12,7 @@ repeated rows get slots of their own; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import gapless_index, table
@@ -60,14 +60,30 @@ def shard_of(key: list[Column], tree: dict = TREE) -> Column:
     return _choose(key, regions)
 
 
-def assign_shards(docs: DataFrame, tree: dict = TREE, grown: dict = GROWN, buckets: int = 1024) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row."""
+def stored_order(docs: DataFrame) -> DataFrame:
+    """docs as read from Parquet files, with the place where each row is stored: __file (sorts as the parts were written) and __row."""
+    name = F.col("_metadata.file_name")
+    return docs.select("*", F.concat(F.lpad(F.regexp_extract(name, r"part-(\d+)", 1), 12, "0"), name).alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+
+def assign_shards(docs: DataFrame, tree: dict = TREE, grown: dict = GROWN, buckets: int = 1024, stored: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row. With `stored`, docs are read from files and slots follow the
+    order in which the rows are stored."""
     text, key = F.coalesce("text", F.lit("")), [F.col("doc_id")]
-    rows = docs.select(
-        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+    place = ["__file", "__row"] if stored else []
+    rows = (stored_order(docs) if stored else docs).select(
+        *place, "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         shard_of(key, tree).cast("int").alias("shard"), shard_of(key, grown).cast("int").alias("grown_shard"),
     )
-    slots = gapless_index(rows, ["shard"], ["doc_id", "size", "text_crc32"], "slot", buckets, bounded_groups=True)
+    if stored:
+        # rows of earlier files, then the rank within the file
+        counts = rows.groupBy("shard", "__file").agg(F.count("*").alias("__n"))
+        before = Window.partitionBy("shard").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select("shard", "__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+        rank = F.row_number().over(Window.partitionBy("shard", "__file").orderBy("__row"))
+        slots = rows.withColumn("__r", rank).join(offsets, ["shard", "__file"]).withColumn("slot", F.col("__off") + F.col("__r") - 1)
+    else:
+        slots = gapless_index(rows, ["shard"], ["doc_id", "size", "text_crc32"], "slot", buckets, bounded_groups=True)
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 

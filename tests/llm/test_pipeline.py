@@ -58,3 +58,16 @@ def test_mixed_order_is_written(spark, tmp_path):
 
     want = [r["doc_id"] for r in mixing.mix(docs.withColumn("__h", F.xxhash64("text")), order=("doc_id", "__h")).orderBy("position").collect()]
     assert order == want
+
+
+def test_slots_follow_the_mix(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    corpus_pipeline.mixed(spark, docs.repartition(5), SF).write.parquet(str(tmp_path / "m"))
+    order = [i for f in sorted((tmp_path / "m").glob("part-*")) for i in pq.read_table(f).column("doc_id").to_pylist()]
+    rows = corpus_pipeline.sharded(spark, spark.read.parquet(str(tmp_path / "m")), SF).collect()
+    assert len(rows) == docs.count()
+    for s in range(8):
+        mine = sorted((r for r in rows if r["shard"] == s), key=lambda r: r["slot"])
+        assert [r["slot"] for r in mine] == list(range(len(mine)))
+        at = [order.index(r["doc_id"]) for r in mine]
+        assert at == sorted(at)
