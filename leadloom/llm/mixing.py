@@ -2,13 +2,13 @@
 
 Each source's rows are numbered in hash order and cut into blocks. Block i of a source with weight a/Q gets the release time floor(i Q / a)
 and the deadline ceil((i + 1) Q / a); earliest deadline first among released blocks fills one slot at a time, and no source is ever a
-whole block ahead of or behind its target. The schedule repeats after Q slots, so one period is built (a fold over Q slots) and block i takes slot
-(i div a) Q + slot_of(i mod a). Q is a parameter, not a size of the data. When a source runs out its slots stay empty; the others keep
-their proportions, and positions are counted without the empty slots. Every row is kept exactly once.
+whole block ahead of or behind its target. Q comes from the numbers of sources and blocks (or is given), so that over the whole run the rounded
+weights a/Q and the targets differ by less than half a block. All blocks are scheduled by one fold, of blocks x sources steps. When a source runs
+out its slots go to other released blocks or stay empty; positions are counted without the empty slots. Every row is kept exactly once.
 
 Target weights are given, or else proportional to rows ** exponent (0.5 flattens the sources), from exact counts over all rows.
 
-Defined cases: a null source is a source of its own, apart from ''; sources without a target weight get the smallest weight, 1/Q; ties in
+Defined cases: a null source is a source of its own, apart from ''; sources without a target weight get the smallest weight, 1/Q, and so mostly what others leave; ties in
 deadline go to the smaller source name; repeated rows are kept; empty tables give empty results; other columns pass through untouched.
 """
 
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .common import gapless_index, table
 
-RESOLUTION = 1000
 BLOCK_ROWS = 64
 EXPONENT = 0.5
 
@@ -28,30 +27,40 @@ def target_weights(counts: DataFrame, exponent: float = EXPONENT) -> DataFrame:
     return counts.select("s_null", "s_name", F.pow(F.col("rows").cast("double"), F.lit(exponent)).alias("weight"))
 
 
-def period(weights: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
-    """One period of the schedule: s_null, s_name, quota a, total Q, nth (0..a-1), slot.
+def schedule(weights: DataFrame, resolution: int | None = None) -> DataFrame:
+    """The slot of each block: s_null, s_name, quota a, total Q, nth (the block), slot. weights: s_null, s_name, weight, blocks.
 
-    Weights become whole quotas (1 at least) that sum to Q. The fold's state is the number of blocks that each source has had.
+    Weights become whole quotas (1 at least) that sum to Q. The fold's state is the number of blocks that each source has had and the next free slot.
     """
-    one = weights.agg(F.array_sort(F.collect_list(F.struct("s_null", "s_name", "weight"))).alias("src"), F.sum("weight").alias("total"))
-    one = one.where("size(src) > 0").select("src", F.expr(f"transform(src, x -> greatest(1L, cast(round(x.weight * {resolution} / total) as bigint)))").alias("a"))
-    one = one.withColumn("q", F.expr("aggregate(a, 0L, (s, x) -> s + x)"))
-    # at slot t, of the sources whose next block i is released (i * q div a <= t), the one with the least deadline
+    one = weights.agg(F.array_sort(F.collect_list(F.struct("s_null", "s_name", "weight", "blocks"))).alias("src"), F.sum("weight").alias("total"), F.max("blocks").alias("most"), F.sum("blocks").alias("all"))
+    one = one.where("size(src) > 0")
+    # over a run of `slots` slots a quota is off by half a unit, and Q by half a unit for each source or more where quotas are raised to 1
+    slots = "array_max(transform(src, x -> if(x.weight > 0, x.blocks * (total / x.weight), 0D)))"
+    fine = f"least(8 * ({slots} + size(src) * most) + 1000, 4e18D / (most + 1))" if resolution is None else f"{resolution}D"
+    one = one.withColumn("fine", F.expr(f"cast({fine} as bigint)"))
+    one = one.withColumn("a", F.expr("transform(src, x -> greatest(1L, cast(round(x.weight / total * fine) as bigint)))")).withColumn("q", F.expr("aggregate(a, 0L, (s, x) -> s + x)"))
+    # of the sources that have blocks left: those released by slot t by deadline, else the next release
     pick = """
-    array_min(transform(acc.had, (i, k) -> named_struct(
-        'late', if((i * q) div a[k] <= t, 0, 1), 'deadline', ((i + 1) * q + a[k] - 1) div a[k], 'k', k))).k
+    array_min(filter(transform(acc.had, (i, k) -> named_struct(
+        'late', greatest((i * q) div a[k] - acc.t, 0L), 'deadline', ((i + 1) * q + a[k] - 1) div a[k], 'k', k)), x -> acc.had[x.k] < src[x.k].blocks))
     """
+    step = f"""
+    aggregate(array({pick}), acc, (s, best) -> named_struct(
+        'had', transform(s.had, (x, k) -> if(k = best.k, x + 1, x)), 't', s.t + best.late + 1,
+        'slots', concat(s.slots, array(named_struct('k', best.k, 'nth', s.had[best.k], 'slot', s.t + best.late)))))
+    """
+    empty = "cast(array() as array<struct<k:int,nth:bigint,slot:bigint>>)"
+    # slots are gathered in chunks, since an array is copied whenever it grows
     fold = f"""
-    aggregate(sequence(0L, q - 1), named_struct('had', transform(a, x -> 0L), 'slots', cast(array() as array<struct<k:int,nth:bigint,slot:bigint>>)),
-        (acc, t) -> aggregate(array({pick}), acc, (s, best) -> named_struct(
-            'had', transform(s.had, (x, k) -> if(k = best, x + 1, x)),
-            'slots', concat(s.slots, array(named_struct('k', best, 'nth', s.had[best], 'slot', t))))),
-        acc -> acc.slots)
+    aggregate(sequence(0L, (`all` - 1) div 256), named_struct('had', transform(a, x -> 0L), 't', 0L, 'chunks', cast(array() as array<array<struct<k:int,nth:bigint,slot:bigint>>>)),
+        (whole, c) -> aggregate(array(aggregate(sequence(c * 256, least(c * 256 + 255, `all` - 1)), named_struct('had', whole.had, 't', whole.t, 'slots', {empty}), (acc, n) -> {step})), whole,
+            (w, part) -> named_struct('had', part.had, 't', part.t, 'chunks', concat(w.chunks, array(part.slots)))),
+        whole -> flatten(whole.chunks))
     """
     return one.select("src", "a", "q", F.explode(F.expr(fold)).alias("s")).selectExpr("src[s.k].s_null as s_null", "src[s.k].s_name as s_name", "a[s.k] as quota", "q as total", "s.nth as nth", "s.slot as slot")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, resolution: int = RESOLUTION, block_rows: int = BLOCK_ROWS, exponent: float = EXPONENT, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, resolution: int | None = None, block_rows: int = BLOCK_ROWS, exponent: float = EXPONENT, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs' `order` columns and source with block, release, deadline (in slots of the target schedule) and position (gapless, from 0)."""
     named = docs.select(*order, "source", F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s_name"))
     counts = named.groupBy("s_null", "s_name").agg(F.count("*").alias("rows"))
@@ -60,16 +69,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, resolution: int = RES
     else:
         given = weights.select(F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s_name"), "weight")
         goal = counts.join(given, ["s_null", "s_name"], "left").select("s_null", "s_name", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    plan = period(goal, resolution)
+    sized = goal.join(counts.select("s_null", "s_name", "rows"), ["s_null", "s_name"]).withColumn("blocks", F.expr(f"(rows - 1) div {block_rows} + 1"))
+    plan = schedule(sized.select("s_null", "s_name", "weight", "blocks"), resolution)
     rows = gapless_index(named, ["s_null", "s_name"], list(order), "n", 256)
     rows = rows.withColumn("block", F.expr(f"n div {block_rows}"))
-    # slots of blocks: sources x blocks rows, far fewer than rows
-    blocks = counts.select("s_null", "s_name", "rows", F.explode(F.expr(f"sequence(0L, (rows - 1) div {block_rows})")).alias("block"))
-    per = plan.groupBy("s_null", "s_name").agg(F.first("quota").alias("quota"), F.first("total").alias("total"))
-    blocks = blocks.join(per, ["s_null", "s_name"]).withColumn("nth", F.expr("block % quota"))
-    blocks = blocks.join(plan.select("s_null", "s_name", "nth", "slot"), ["s_null", "s_name", "nth"])
+    # blocks are far fewer than rows
+    blocks = plan.join(counts, ["s_null", "s_name"]).withColumnRenamed("nth", "block")
     blocks = blocks.select(
-        "s_null", "s_name", "block", F.expr("(block div quota) * total + slot").alias("slot"), F.expr("(block * total) div quota").alias("release"),
+        "s_null", "s_name", "block", "slot", F.expr("(block * total) div quota").alias("release"),
         F.expr("((block + 1) * total + quota - 1) div quota").alias("deadline"), F.expr(f"least({block_rows}L, rows - block * {block_rows})").alias("size"),
     )
     # rows before each slot, in two levels: spans of slots, then slots within a span

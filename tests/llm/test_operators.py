@@ -487,5 +487,21 @@ def test_mixing(spark):
     assert ordered.columns == odd.columns and Counter(map(str, ordered.collect())) == Counter(map(str, odd.collect()))
 
 
+def test_mixing_keeps_to_the_true_targets(spark):
+    sizes = {f"s{i:02d}": n for i, n in enumerate([4000] + [4] * 1100)}
+    df = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    got = mixing.mix(df, block_rows=4).orderBy("position").collect()
+    total = sum(n**0.5 for n in sizes.values())
+    weight = 4000**0.5 / total
+    first = [r for r in got if r["source"] == "s00"]
+    assert sorted(r["block"] for r in first) == sorted(list(range(1000)) * 4)
+    for r in first:  # the windows are those of the exact weight
+        assert abs(r["release"] - r["block"] / weight) <= 0.5 / weight + 1 and abs(r["deadline"] - (r["block"] + 1) / weight) <= 0.5 / weight + 1
+    have = 0
+    for k, r in enumerate(got[: 4 * 1100], 1):
+        have += r["source"] == "s00"
+        assert abs(have - weight * k) < 4 + 1e-9
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
