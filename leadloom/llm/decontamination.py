@@ -6,6 +6,8 @@ holds it and at most 2c others. Window minima for `PERMUTATIONS` hash functions
 that shares one minimum with an item of its size makes the document a candidate for the item, and exact containment of the item's shingle set
 in that of the whole document decides. A window that holds a piece of j of an item's shingles is missed with probability (1 - j / 3c) ** PERMUTATIONS at most.
 
+Items of one shingle are looked up by its hash, without minima.
+
 Items are the query set: they go to all documents in blocks of at most ITEM_BYTES of text, whatever their number. Documents
 aren't shuffled.
 
@@ -52,11 +54,16 @@ class Items:
 
         rows = [x for x in rows if x[1] and x[1].split()]
         self.ids, self.texts = [x[0] for x in rows], [x[1] for x in rows]
-        self.shingles, self.classes = [], {}
+        self.shingles, self.classes, self.single = [], {}, {}
+        self.single_filter = np.zeros(1 << 16, bool)
         mul, add = _permutations()
         for i, (_, text) in enumerate(rows):
             h = np.unique(hashed(pa.array([text], pa.binary()), words)[0])
             self.shingles.append(h)
+            if len(h) == 1:  # looked up as it is
+                self.single.setdefault(int(h[0]), []).append(i)
+                self.single_filter[int(h[0]) >> 8 & 0xFFFF] = True
+                continue
             size = max(8, 1 << (len(h) - 1).bit_length())
             least = (h[:, None] * mul[None, :] + add[None, :]).min(0)
             by = self.classes.setdefault(size, [{} for _ in range(PERMUTATIONS)])
@@ -84,6 +91,11 @@ def candidates(h, doc, items: Items) -> set[tuple[int, int]]:
     import numpy as np
 
     found: set[tuple[int, int]] = set()
+    if len(h) and items.single:
+        hit = np.flatnonzero(items.single_filter[(h >> np.uint64(8)).astype(np.int64) & 0xFFFF])
+        for v, d in zip(h[hit].tolist(), doc[hit].tolist()):
+            for i in items.single.get(v, ()):
+                found.add((d, i))
     if not len(h) or not items.classes:
         return found
     mul, add = _permutations()

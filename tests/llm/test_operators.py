@@ -450,6 +450,14 @@ def test_contamination_against_brute_force(spark):
     assert len(decontamination.drop_contaminated(odd_docs(spark), bench).collect()) >= 10
 
 
+def test_items_of_one_shingle_are_always_found():
+    import pyarrow as pa
+
+    texts = [" ".join([f"d{d}a{i}" for i in range(30)] + ["a", "five", "word", "item", "here"] + [f"d{d}b{i}" for i in range(30)]).encode() for d in range(3000)]
+    items = decontamination.Items([(7, b"a five word item here")])
+    assert sorted(decontamination.contained(pa.array(texts, pa.binary()), items)) == [(d, 0, 1, 1) for d in range(3000)]
+
+
 def test_item_blocks(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     blocks = list(decontamination.item_blocks(bench, 2000))
