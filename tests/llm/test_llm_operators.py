@@ -196,15 +196,15 @@ def brute_simhash(rows):
     return [(d, f"{prints[i]:016x}", low[find(i)]) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("cap", [1, 1024])
-def test_simhash_against_brute_force(spark, monkeypatch, cap):
+@pytest.mark.parametrize("leaf", [1, 1024])
+def test_simhash_against_brute_force(spark, monkeypatch, leaf):
     base = [(i, t) for i, t in pairs_of(docs_of(spark, 80))]
     more = [(1000 + 10 * i + k, t + b" tail%d" % k) for i, t in base[:40] for k in range(3)]
     odd = [(5000 if i is None else 4000 + i, t) for i, t in pairs_of(odd_docs(spark)) if len(t) < 9000]
     rows = base + more + odd + base[:2]
     df = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string").selectExpr("*", "'x' as fp", "1 as low")
     link = simhash.link_fingerprints
-    monkeypatch.setattr(simhash, "link_fingerprints", lambda d, budget: link(d, budget, cap=cap))
+    monkeypatch.setattr(simhash, "link_fingerprints", lambda d, budget: link(d, budget, leaf=leaf))
     got = sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.simhash_components(df).collect())
     assert got == sorted(brute_simhash(rows))
 
@@ -272,8 +272,63 @@ def test_near_duplicates_of_repeated_text(spark):
     assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
 
 
-def test_near_duplicates_in_crowded_keys(spark):
+def test_near_duplicates_without_ids(spark):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(None, " ".join(base)), (None, " ".join(base + ["more"])), (7, " ".join(["first", *base])), (None, "apart from all the others here"), (None, "apart from all the others here")]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["7", "None"]
+    assert {r["group_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {7, None}
+
+
+def test_near_duplicates_of_many_copies(spark):
+    """A large group of equal texts doesn't change which others are near."""
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(250)]
+    copies = []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(rng.randrange(3, 10)):
+            copy[rng.randrange(250)] = f"n{rng.randrange(10**6)}"
+        copies.append(" ".join(copy))
+    rows = list(enumerate([" ".join(base)] * 500 + copies))
+    sets = {t: simhash.shingle_set(t.encode()) for _, t in rows}
+    texts = list(sets)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if simhash.jaccard(sets[texts[i]], sets[texts[j]]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = sorted(min(k for k, t in rows if t == texts[i]) for i in range(len(texts)) if find(i) == i)
+    assert 1 < len(want) < 200
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+def test_trie_join_and_overlaps():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 256, (6, 32), dtype=np.uint8)
+    flips = lambda n: np.packbits(rng.random((n, 256)) < 0.08, axis=1)
+    left, right = (centres[rng.integers(0, 6, n)] ^ flips(n) for n in (70, 90))
+    left[3] = left[4] = right[5] = right[6]
+    want = {(i, j) for i in range(70) for j in range(90) if np.bitwise_count(left[i] ^ right[j]).sum() <= 44}
+    got = list(zip(*(x.tolist() for x in simhash.trie_join(left.view(np.uint16), right.view(np.uint16), 44))))
+    assert set(got) == want and len(got) == len(want) and 500 < len(want) < 6000
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 3000)).astype(np.uint64)) for _ in range(20)]
+    assert simhash.overlaps(sets[:8], sets[8:]).tolist() == [[len(np.intersect1d(x, y)) for y in sets[8:]] for x in sets[:8]]
+
+
+@pytest.mark.parametrize("unit", [3, 512])
+def test_near_duplicates_in_crowded_keys(spark, monkeypatch, unit):
     """Many groups that share most of their text: the keys of all of them meet, and only pairs within some groups are near."""
+    monkeypatch.setattr(simhash, "UNIT", unit)
     rng = random.Random(3)
     shared = [f"s{i}" for i in range(220)]
     rows = []
