@@ -73,6 +73,12 @@ PAGE_TERMS = ("cookie", "consent", "privacy", "navigation", "breadcrumb", "foote
 IMAGE_TERMS = ("logo", "icon", "banner", "background", "product")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 TITLE_TAGS = ("p", "span", "div", "small", "strong", "em")
+#: Points of an element that may be a person's block: each word of PERSON_TERMS, PAGE_TERMS and so on, with the most that they add up to.
+REGION_POINTS = {
+    "person_term": 5, "person_terms_most": 10, "page_term": -10, "page_terms_most": -20, "profile_link": 6, "typed_person": 10, "one_heading": 3,
+    "two_or_three_headings": 1, "over_six_headings": -3, "portrait": 2, "text_of_10_to_500": 2, "text_over_1500": -5, "over_twenty_links": -4,
+}
+CARD_TITLE_MOST = 160
 LINK_CHARS = r"https?://(?:www\.)?linkedin\.com/in/[A-Za-z0-9%._~-]+"
 
 # End of fixed values ------------------------------------------------------------------------------------------------
@@ -258,12 +264,14 @@ def region_score(node: Node) -> int:
     typed = node.attrs.get("itemtype") or next((n.attrs["itemtype"] for n in node.walk() if "itemtype" in n.attrs), "")
     headings, size = len(node.find_all(*HEADINGS)), len(node.text())
     pictures = [" ".join(n.attrs.get("alt", "").split()).casefold() for n in node.find_all("img")]
-    return (
-        min(5 * len(terms & set(PERSON_TERMS)), 10) - min(10 * len(terms & set(PAGE_TERMS)), 20)
-        + 6 * any("linkedin.com" in (h := n.attrs["href"].casefold()) and "/in/" in h for n in anchors) + 10 * ("schema.org/person" in typed.casefold())
-        + (3 if headings == 1 else 1 if 2 <= headings <= 3 else -3 if headings > 6 else 0) + 2 * any(p and not any(t in p for t in IMAGE_TERMS) for p in pictures)
-        + (2 if 10 <= size <= 500 else -5 if size > 1500 else 0) - 4 * (len(anchors) > 20)
-    )
+    seen = {
+        "profile_link": any("linkedin.com" in (h := n.attrs["href"].casefold()) and "/in/" in h for n in anchors), "typed_person": "schema.org/person" in typed.casefold(),
+        "one_heading": headings == 1, "two_or_three_headings": 2 <= headings <= 3, "over_six_headings": headings > 6, "portrait": any(p and not any(t in p for t in IMAGE_TERMS) for p in pictures),
+        "text_of_10_to_500": 10 <= size <= 500, "text_over_1500": size > 1500, "over_twenty_links": len(anchors) > 20,
+    }
+    w = REGION_POINTS
+    named = min(w["person_term"] * len(terms & set(PERSON_TERMS)), w["person_terms_most"]) + max(w["page_term"] * len(terms & set(PAGE_TERMS)), w["page_terms_most"])
+    return named + sum(w[k] for k, x in seen.items() if x)
 
 
 def person_regions(root: Node, least: int = 6) -> list[tuple[Node, int]]:
@@ -285,7 +293,14 @@ def person_card(node: Node) -> tuple[str, str | None, str | None] | None:
     if not found:
         return None
     profile = next((h for n in node.find_all("a", attr="href") if "linkedin.com/in/" in (h := n.attrs["href"].strip()).casefold()), None)
-    return *found, profile
+    name, title = found
+    return name, title or card_title(node, heading, name), profile
+
+
+def card_title(node: Node, heading: Node, name: str) -> str | None:
+    """The first short line of a card, other than its heading and the name, that holds a professional title."""
+    lines = (n.text() for n in node.find_all(*TITLE_TAGS) if n is not heading)
+    return next((t for t in lines if t and len(t) <= CARD_TITLE_MOST and t.casefold() != name.casefold() and find_titles(t)), None)
 
 
 def linkedin_people(root: Node, regions):

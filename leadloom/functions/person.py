@@ -15,7 +15,7 @@ from .social import normalize_linkedin_url
 
 @lru_cache
 def _tables():
-    return V.particles(), V.prefixes(), V.all_titles()
+    return V.particles(), V.PREFIXES, V.all_titles()
 
 
 def clean(value: str | None) -> str:

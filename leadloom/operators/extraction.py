@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import emails, phones, social, text, urls
 from .latest import top_k
@@ -13,13 +15,13 @@ PEOPLE = "array<struct<name:string,title:string,linkedin_url:string>>"
 
 
 def _vector(function, kind: str):
-    """A vectorised form of a function of values; made when it is used, for types are parsed by a running session."""
-    import pandas as pd
+    """A function of values over Arrow batches; made when it is used, for types are parsed by a running session."""
+    made = to_arrow_type(T.DataType.fromDDL(kind))
 
-    def run(*columns):
-        return pd.Series([function(*(None if x is None or x != x else x for x in row)) for row in zip(*columns)], dtype=object)
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([function(*row) for row in zip(*(c.to_pylist() for c in columns))], made)
 
-    return F.pandas_udf(run, kind, PandasUDFType.SCALAR)
+    return F.arrow_udf(run, kind)
 
 
 def page_hrefs(html: Column) -> Column:
@@ -49,6 +51,18 @@ def page_people(plain: Column, html: Column) -> Column:
     return _vector(found, PEOPLE)(plain, html)
 
 
+def parsed(pages: DataFrame) -> DataFrame:
+    """pages with the hrefs and people of each, parsed once; contacts and people below then take them from there."""
+    def found(words, page):
+        from ..functions.html import hrefs
+        from ..functions.people import people_of_page
+
+        return {"hrefs": hrefs(page), "people": [{"name": a, "title": b, "linkedin_url": c} for a, b, c in people_of_page(words, page)]}
+
+    once = _vector(found, f"struct<hrefs:array<string>,people:{PEOPLE}>")(F.col("text"), F.col("html"))
+    return pages.withColumn("__parsed", once).select(*pages.columns, "__parsed.hrefs", F.col("__parsed.people").alias("found_people"))
+
+
 def titles_in(words: Column) -> Column:
     def found(t):
         from ..functions.people import find_titles
@@ -87,8 +101,8 @@ def people_pages(pages: DataFrame, k: int = 10) -> DataFrame:
 
 def contacts(pages: DataFrame) -> DataFrame:
     """company_id, page, kind, value, ordinal of every contact on pages (company_id, page, url, text, html): e-mails, phones, then social pages.
-    Pages are parsed once, and only those with a link."""
-    own = pages.withColumn("hrefs", F.when(F.col("html").ilike("%href%"), page_hrefs(F.col("html"))).otherwise(F.array().cast("array<string>")))
+    Only pages with a link are parsed, or none that already are."""
+    own = pages if "hrefs" in pages.columns else pages.withColumn("hrefs", F.when(F.col("html").ilike("%href%"), page_hrefs(F.col("html"))).otherwise(F.array().cast("array<string>")))
     mail, tel = F.filter("hrefs", lambda h: h.ilike("mailto:%")), F.filter("hrefs", lambda h: h.ilike("tel:%"))
     found = F.filter(F.transform("hrefs", social.classify_social_url), lambda s: s.isNotNull())
     kinded = lambda xs, kind: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
@@ -114,7 +128,8 @@ def discarded_contacts(found: DataFrame, region: Column | str | None = None) ->
 
 def people(pages: DataFrame) -> DataFrame:
     """company_id, page, ordinal, name, title, linkedin_url of the people on pages (company_id, page, text, html)."""
-    return pages.select("company_id", "page", F.posexplode(page_people(F.col("text"), F.col("html"))).alias("ordinal", "p")).select("company_id", "page", "ordinal", "p.*")
+    found = F.col("found_people") if "found_people" in pages.columns else page_people(F.col("text"), F.col("html"))
+    return pages.select("company_id", "page", F.posexplode(found).alias("ordinal", "p")).select("company_id", "page", "ordinal", "p.*")
 
 
 def model_context(pages: DataFrame, key: str, order: str, most: int = 12_000) -> DataFrame:

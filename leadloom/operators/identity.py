@@ -62,16 +62,16 @@ def _richer(a: str | None, b: str | None) -> str | None:
     return b if size(b) > size(a) else a
 
 
-def resolve(people: list[Person]) -> list[tuple[Person, int]]:
-    """Each person joins the first one so far that is the same, which then takes the richer values."""
+def resolve(people: list[Person], counts: list[int] | None = None) -> list[tuple[Person, int]]:
+    """Each person joins the first one so far that is the same, which then takes the richer values. With each, how many (or the sum of their counts)."""
     out: list[tuple[Person, int]] = []
-    for p in people:
+    for p, n in zip(people, counts or [1] * len(people)):
         at = next((i for i, (q, _) in enumerate(out) if compare(p, q)[0] == "same"), None)
         if at is None:
-            out.append((p, 1))
+            out.append((p, n))
         else:
-            q, n = out[at]
-            out[at] = (Person(_richer(q.name, p.name), _richer(q.title, p.title), q.linkedin_url or p.linkedin_url, q.source_url or p.source_url), n + 1)
+            q, m = out[at]
+            out[at] = (Person(_richer(q.name, p.name), _richer(q.title, p.title), q.linkedin_url or p.linkedin_url, q.source_url or p.source_url), m + n)
     return out
 
 
@@ -87,16 +87,7 @@ def resolve_people(candidates: DataFrame) -> DataFrame:
         import pandas as pd
 
         pdf = pdf.sort_values("ordinal").astype(object).where(lambda x: x.notna(), None)
-        rows = [Person(*r) for r in pdf[keys[1:]].itertuples(index=False)]
-        counts = {id(p): n for p, n in zip(rows, pdf["n"])}
-        out: list = []
-        for p in rows:
-            at = next((i for i, (q, _) in enumerate(out) if compare(p, q)[0] == "same"), None)
-            if at is None:
-                out.append((p, counts[id(p)]))
-            else:
-                q, n = out[at]
-                out[at] = (Person(_richer(q.name, p.name), _richer(q.title, p.title), q.linkedin_url or p.linkedin_url, q.source_url or p.source_url), n + counts[id(p)])
+        out = resolve([Person(*r) for r in pdf[keys[1:]].itertuples(index=False)], pdf["n"].tolist())
         return pd.DataFrame([(pdf["company_id"].iloc[0], p.name, p.title, p.linkedin_url, p.source_url, n) for p, n in out], columns=[c.split()[0] for c in RESOLVED.split(", ")])
 
     return once.groupBy("company_id").applyInPandas(one, RESOLVED)

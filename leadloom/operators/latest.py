@@ -31,10 +31,14 @@ def limit_where(df: DataFrame, keys: list[str], flag: str, k: int, *order: Colum
     return df.withColumn("__rank", rank).where(~F.col(flag) | (F.col("__rank") <= k)).drop("__rank")
 
 
-def ordered_distinct(value: Column, *order: Column) -> Column:
-    """An aggregate: distinct values joined by '; ', in the order of their first row. Values meet as (value, least order) pairs."""
-    rows = F.array_sort(F.collect_set(F.when(value.isNotNull() & (value != ""), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.alias("v")))))
-    return F.array_join(F.array_distinct(F.transform(rows, lambda r: r["v"])), "; ")
+def ordered_distinct(df: DataFrame, keys: list[str], value: Column, *order: Column) -> DataFrame:
+    """keys, value, at: each distinct value that isn't null or empty, and the least order that it has. Values meet before they are gathered as text."""
+    return df.withColumn("__v", value).where("__v <> ''").groupBy(*keys, "__v").agg(F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("__at"))
+
+
+def joined_text() -> Column:
+    """An aggregate over rows of ordered_distinct: the values in order, joined by '; '; empty without any."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__v"))), lambda r: r["__v"]), "; ")
 
 
 def first_non_null(value: Column, *order: Column) -> Column:

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .latest import latest_by_time, latest_per, ordered_distinct
+from .latest import joined_text, latest_by_time, latest_per, ordered_distinct
 
 CONTACT_KINDS = ("email", "phone", "linkedin_company", "linkedin_profile", "facebook", "instagram", "x", "youtube", "tiktok")
 
@@ -115,14 +115,15 @@ def first_source(records: DataFrame, sources: DataFrame) -> DataFrame:
 
 def technology_text(technologies: DataFrame) -> DataFrame:
     name = F.concat_ws(" ", "name", F.nullif("version", F.lit("")))
-    return technologies.groupBy("company_id").agg(ordered_distinct(name, -F.unix_micros(F.col("observed_at").cast("timestamp")), -F.col("id")).alias("technologies"))
+    once = ordered_distinct(technologies, ["company_id"], name, -F.unix_micros(F.col("observed_at").cast("timestamp")), -F.col("id"))
+    return once.groupBy("company_id").agg(joined_text().alias("technologies"))
 
 
 def contact_columns(contacts: DataFrame, kinds=CONTACT_KINDS) -> DataFrame:
     """One row for each company, one column for each kind: distinct values, newest first."""
     value = F.coalesce(F.nullif("normalized_value", F.lit("")), F.col("value"))
-    text = ordered_distinct(value, -F.unix_micros(F.col("observed_at").cast("timestamp")), -F.col("id"))
-    wide = contacts.where(F.col("kind").isin(*kinds)).groupBy("company_id").pivot("kind", list(kinds)).agg(text)
+    once = ordered_distinct(contacts.where(F.col("kind").isin(*kinds)), ["company_id", "kind"], value, -F.unix_micros(F.col("observed_at").cast("timestamp")), -F.col("id"))
+    wide = once.groupBy("company_id").pivot("kind", list(kinds)).agg(joined_text())
     return wide.select("company_id", *[F.nullif(k, F.lit("")).alias(k) for k in kinds])
 
 
@@ -133,14 +134,17 @@ def people_columns(people: DataFrame, observations: DataFrame) -> DataFrame:
     one = F.concat_ws(" | ", "name", F.nullif("title", F.lit("")), F.nullif("linkedin_url", F.lit("")))
     marks = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{label}="), F.col(c).cast("string"))) for c, label in (("decision_maker_score", "score"), ("role_group", "role"), ("confidence", "confidence"))]
     maker = F.when(F.col("role_group").isin("primary", "secondary"), F.concat_ws(" | ", "name", F.nullif("title", F.lit("")), *marks))
-    return joined.groupBy("company_id").agg(ordered_distinct(one, F.col("id")).alias("people"), ordered_distinct(maker, F.col("id")).alias("decision_makers"))
+    line = F.explode(F.array(F.struct(F.lit("people").alias("kind"), one.alias("v")), F.struct(F.lit("decision_makers").alias("kind"), maker.alias("v"))))
+    once = ordered_distinct(joined.select("company_id", "id", line.alias("l")).select("company_id", "id", "l.*"), ["company_id", "kind"], F.col("v"), F.col("id"))
+    wide = once.groupBy("company_id").pivot("kind", ["people", "decision_makers"]).agg(joined_text())
+    return wide.select("company_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("people", "decision_makers")])
 
 
 def lead_rows(companies: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
-    """The ten columns of the plain lead export."""
+    """The ten columns of the plain lead export, after the company's id."""
     source = first_source(records, sources)
     rows = companies.join(source, companies["id"] == source["company_id"], "left")
-    return rows.select(F.col("name").alias("company_name"), "website", "domain", "phone", "city", "country", "address", "category", "source", "created_at")
+    return rows.select("id", F.col("name").alias("company_name"), "website", "domain", "phone", "city", "country", "address", "category", "source", "created_at")
 
 
 def wide_rows(companies: DataFrame, performance: DataFrame, technologies: DataFrame, contacts: DataFrame, people: DataFrame, observations: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ TABLES = {
     "people": ("customer", {"id": "c_custkey", "company_id": "c_custkey % 90", "name": f"{pick(FIRST, 'c_custkey')} || ' ' || {pick(LAST, 'c_custkey % 13')}", "title": pick(TITLES, "c_custkey % 11"), "linkedin_url": "CASE WHEN c_custkey % 4 = 0 THEN 'https://linkedin.com/in/p-' || CAST(c_custkey % 50 AS STRING) || '/?trk=x' END", "email": "CASE WHEN c_custkey % 5 = 0 THEN 'Info@Example' || CAST(c_custkey % 9 AS STRING) || '.com' END"}),
     "observations": ("orders", {"id": "o_orderkey", "person_id": "o_custkey", "company_id": "o_custkey % 90", "title": pick(TITLES, "o_orderkey"), "linkedin_url": "CASE WHEN o_orderkey % 6 = 0 THEN 'https://linkedin.com/in/q-' || CAST(o_orderkey % 70 AS STRING) END", "decision_maker_score": "CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST(floor(o_totalprice) AS INT) % 151 END", "role_group": "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'primary' WHEN '2' THEN 'secondary' WHEN '3' THEN 'professional' WHEN '4' THEN 'other' ELSE 'unknown' END", "confidence": "CASE o_orderkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END", "observed_at": "o_orderdate"}),
     "email_observations": ("events", {"id": "event_id", "person_id": "user_id", "normalized_email": "'u' || CAST(event_id % 700 AS STRING) || '@example.com'", "verification_result": "CASE event_id % 3 WHEN 0 THEN 'deliverable' WHEN 1 THEN 'risky' ELSE 'unknown' END", "confidence": "CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(event_id % 97 AS DOUBLE) / 96 END"}),
-    "messages": ("events", {"to_email": "'u' || CAST(event_id * 7 % 700 AS STRING) || '@example.com'", "id": "event_id"}),
+    "messages": ("events", {"to_email": "'u' || CAST(event_id % 350 * 2 AS STRING) || '@example.com'", "id": "event_id"}),
 }
 
 

@@ -7,30 +7,29 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import person
+from ..functions import emails, person
 from ..operators import companies as C
-from ..operators import extraction, identity, leads, outreach, state
+from ..operators import extraction, identity, leads, ledger, observations, outreach, state
+from ..sources import readers
 from ..sources.providers import fallback_classification
 from ..sources.schemas import durable_id
 
 
+#: Ids of stored companies, less this, come before every ordinal of a listing.
+STORED = 1 << 62
+
+
 def acquire(listings: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
-    """Records folded into companies: stored ones first (by id), then new ones in order. Returns companies and counters."""
-    new = C.normalize_records(listings).withColumn("ordinal", F.monotonically_increasing_id() + (1 << 40))
-    known = stored.withColumn("ordinal", F.dense_rank().over(_by_id()) - 1)
+    """Records folded into companies: stored ones first (by id), then listings in order of their `ordinal`. Returns companies and counters."""
+    new = C.normalize_records(listings)
+    known = stored.withColumn("ordinal", F.col("id") - STORED)
     columns = ["ordinal", "name", "normalized_name", *C.FILLED]
     folded = C.fold_companies(known.select(*columns).unionByName(new.select(*columns)))
-    found = folded.withColumn("outcome", F.when(F.col("company_ordinal") >= 1 << 40, "new").otherwise("stored"))
+    found = folded.withColumn("outcome", F.when(F.col("company_ordinal") >= 0, "new").otherwise("stored"))
     counters = found.agg(F.sum(F.when(F.col("outcome") == "new", F.col("rows")).otherwise(F.col("rows") - 1)).alias("found"), F.count_if(F.col("outcome") == "new").alias("new"))
     return {"companies": found, "counters": counters.withColumn("duplicates", F.col("found") - F.col("new"))}
 
 
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("id")
-
-
 def enrich(companies: DataFrame, crawls: DataFrame, states: DataFrame, now: datetime, max_age: timedelta = timedelta(days=30), region: str | None = None) -> dict[str, DataFrame]:
     """Contacts and people of the companies whose stages aren't completed, from crawls (company_id, page, url, text, html, collected_at).
 
@@ -40,6 +39,7 @@ def enrich(companies: DataFrame, crawls: DataFrame, states: DataFrame, now: date
     fresh = crawls.where(F.col("collected_at") > F.lit(now) - F.expr(f"INTERVAL {int(max_age.total_seconds())} SECONDS"))
     pages = fresh.join(todo, "company_id", "left_semi")
     stale = todo.join(fresh.select("company_id"), "company_id", "left_anti")
+    pages = extraction.parsed(pages)
     found = extraction.contacts(pages)
     contacts = extraction.normalize_contacts(found, region)
     candidates = extraction.people(pages).withColumn("ordinal", F.col("page").cast("long") * 100_000 + F.col("ordinal"))
@@ -53,6 +53,81 @@ def enrich(companies: DataFrame, crawls: DataFrame, states: DataFrame, now: date
     return {"contacts": contacts, "people": people, "ranked": ranked, "crawl_again": stale, "without_website": missing, "states": state.advance(states, done.unionByName(lost), now)}
 
 
+def run_stage(stage: str, companies: DataFrame, states: DataFrame, operation, now: datetime) -> dict[str, DataFrame]:
+    """A stage over the companies (company_id) that haven't completed it: operation(companies) returns (rows, lost), where lost (company_id, error_type, error_message) are
+    companies whose part failed. Their failure harms no other, and doesn't undo what they had. Returns rows and the new states."""
+    todo = state.pending(companies, states, stage)
+    rows, lost = operation(todo)
+    failed = lost.select("company_id", F.lit(False).alias("ok"), "error_type", "error_message")
+    done = todo.select("company_id").distinct().join(lost.select("company_id"), "company_id", "left_anti").select("company_id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error_message"))
+    outcomes = done.unionByName(failed).withColumn("stage", F.lit(stage))
+    return {"rows": rows.join(lost.select("company_id"), "company_id", "left_anti"), "states": state.advance(states, outcomes, now)}
+
+
+def _without(todo: DataFrame, evidence: DataFrame, error: str, message: str) -> DataFrame:
+    return todo.join(evidence.select("company_id"), "company_id", "left_anti").select("company_id", F.lit(error).alias("error_type"), F.lit(message).alias("error_message"))
+
+
+def technology_stage(companies: DataFrame, reports: DataFrame, states: DataFrame, now: datetime) -> dict[str, DataFrame]:
+    """Technology observations from detector reports (company_id, report)."""
+    def operation(todo):
+        own = reports.join(todo, "company_id", "left_semi")
+        found = own.select("company_id", F.explode(readers.technologies(F.col("report"))).alias("t")).select("company_id", "t.name", "t.version", "t.confidence", "t.categories", "t.groups")
+        return observations.technologies(found, "detector", now), _without(todo, own, "TechnologyDetectionProviderError", "no report")
+
+    return run_stage("technology_detection", companies, states, operation, now)
+
+
+def performance_stage(companies: DataFrame, reports: DataFrame, states: DataFrame, now: datetime) -> dict[str, DataFrame]:
+    """One performance row for each company with a report that has a performance score; a missing SEO score is null."""
+    def operation(todo):
+        own = reports.join(todo, "company_id", "left_semi")
+        scored = own.select("company_id", readers.category_score(F.col("report"), "performance").alias("performance_score"), readers.category_score(F.col("report"), "seo").alias("seo_score")).where("performance_score is not null")
+        rows = observations.performance(scored.drop("seo_score"), scored.select("company_id", "seo_score"), "lab", now)
+        return rows, _without(todo, scored, "PerformanceProviderError", "no score")
+
+    return run_stage("performance_seo", companies, states, operation, now)
+
+
+def business_pages_stage(companies: DataFrame, crawls: DataFrame, states: DataFrame, now: datetime, k: int = 5) -> dict[str, DataFrame]:
+    """The pages to crawl next of each company, from the links of its crawled pages (company_id, url, links); the homepage is one already."""
+    def operation(todo):
+        own = crawls.join(todo, "company_id", "left_semi")
+        return extraction.business_pages(extraction.page_candidates(own), k), _without(todo, own, "CrawlingProviderError", "no crawl")
+
+    return run_stage("business_pages", companies, states, operation, now)
+
+
+def contacts_stage(companies: DataFrame, pages: DataFrame, states: DataFrame, now: datetime, region: str | None = None) -> dict[str, DataFrame]:
+    """Contact observations from crawled pages, and counters of what was found and discarded."""
+    counters = {}
+
+    def operation(todo):
+        own = pages.join(todo, "company_id", "left_semi")
+        found = extraction.contacts(own)
+        counters["counters"] = extraction.discarded_contacts(found, region)
+        return observations.contacts(extraction.normalize_contacts(found, region), now, region), _without(todo, own, "CrawlingProviderError", "no crawl")
+
+    return run_stage("contacts", companies, states, operation, now) | counters
+
+
+def email_stage(people: DataFrame, person_observations: DataFrame, companies: DataFrame, verdicts: DataFrame, known: DataFrame, now: datetime) -> dict[str, DataFrame]:
+    """The e-mail stage: targets, addresses to try, what trying them in turn saw (verdicts by email), observations, people with the address found, counters."""
+    domains = companies.select(F.col("id").alias("company_id"), "domain")
+    targets = outreach.email_targets(people, person_observations).join(domains, "company_id")
+    mine = known.where("verification_result = 'deliverable'").select("person_id", F.col("normalized_email").alias("__known"))
+    normal = emails.normalize_email(F.col("email"))
+    marked = targets.withColumn("normalized_email", normal).join(mine.withColumn("already_verified", F.lit(True)), (targets["person_id"] == mine["person_id"]) & (F.col("normalized_email") == F.col("__known")), "left").drop(mine["person_id"]).drop("__known")
+    marked = marked.dropDuplicates(["person_id"]).withColumn("already_verified", F.coalesce("already_verified", F.lit(False)))
+    tried = outreach.verification_candidates(marked.where("not already_verified"), F.col("domain")).join(verdicts, "email", "left")
+    seen = outreach.until_qualified(outreach.qualify(tried.where("status is not null")))
+    lost = tried.where("status is null").select("person_id", "attempt", F.lit(False).alias("ok"), F.lit(False).alias("is_qualified"))
+    attempts = seen.select("person_id", "attempt", F.lit(True).alias("ok"), "is_qualified").unionByName(lost)
+    generated = F.size(emails.email_patterns(F.col("name"), F.col("domain"))).cast("long").alias("generated")
+    counters = ledger.email_counters(marked.select("person_id", "email", "normalized_email", "already_verified", generated), attempts)
+    return {"observations": observations.person_emails(seen, "verifier", now), "people": outreach.update_emails(people, seen), "counters": counters}
+
+
 def export(tables: dict[str, DataFrame], filters: leads.ExportFilters) -> DataFrame:
     """The wide export of the companies that pass the filters."""
     t = tables

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Iterable
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import DailyLimitError
+
 
 class Provider(Protocol):
     """Answers to requests: an implementation is pickled to the tasks and opens what it needs in answer()."""
@@ -17,6 +21,40 @@ class Provider(Protocol):
     def answer(self, requests: Iterable[dict]) -> Iterable[dict]: ...
 
 
+class Limiter:
+    """The rate of one client: a least interval, at most `per_minute` in any 60 s, a cap for each UTC day, and cooldowns that the service asks for."""
+
+    def __init__(self, per_minute: int, per_day: int, clock=time.monotonic, sleep=time.sleep, day=lambda: time.strftime("%Y-%m-%d", time.gmtime())):
+        if per_minute < 1 or per_day < 1:
+            raise ValueError("limits must be 1 or more")
+        self.per_minute, self.per_day, self.clock, self.sleep, self.day = per_minute, per_day, clock, sleep, day
+        self.recent, self.today, self.used, self.blocked_until = deque(), None, 0, 0.0
+
+    def acquire(self) -> None:
+        """Wait until a request may be made, and count it."""
+        while True:
+            if self.today != self.day():
+                self.today, self.used = self.day(), 0
+            if self.used >= self.per_day:
+                raise DailyLimitError(f"{self.per_day} requests were made today")
+            now = self.clock()
+            while self.recent and now - self.recent[0] >= 60:
+                self.recent.popleft()
+            waits = [self.blocked_until - now]
+            if self.recent:
+                waits.append(self.recent[-1] + 60 / self.per_minute - now)
+            if len(self.recent) >= self.per_minute:
+                waits.append(self.recent[0] + 60 - now)
+            if max(waits) <= 0:
+                break
+            self.sleep(max(waits))
+        self.recent.append(now)
+        self.used += 1
+
+    def cool_down(self, seconds: float) -> None:
+        self.blocked_until = max(self.blocked_until, self.clock() + seconds)
+
+
 def call(provider: Provider, requests: DataFrame, tasks: int | None = None, per_minute: float | None = None, attempts: int = 3) -> DataFrame:
     """provider's answers over at most `tasks` tasks, each of which keeps its share of the rate. A request that fails in every attempt gives a row with
     error_type and error_message, and harms no other."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import LoadError
 from ..functions import text, urls
 from ..functions.policies import normalized_smtp_verdict
 from ..operators.companies import deduplicate_listings
@@ -36,6 +39,23 @@ def count_listings(spark: SparkSession, path: str) -> int:
         return 0
 
 
+def read_final(spark: SparkSession, path: str, attempts: int = 3, pause: float = 0.5) -> DataFrame:
+    """The listings of a finished search. A file that can't be read yet is tried again; one that never can, or that has no rows, is an error."""
+    from pyspark.errors import PySparkException
+
+    for attempt in range(1, attempts + 1):
+        try:
+            rows = read_listings(spark, path)
+            if not rows.isEmpty():
+                return rows
+            raise LoadError(f"no listings in {path}")
+        except PySparkException as e:
+            if attempt == attempts:
+                raise LoadError(f"{path} can't be read") from e
+            time.sleep(pause)
+    raise ValueError("attempts must be 1 or more")
+
+
 def business_records(rows: DataFrame, city: str | None, country: str | None, source: str = "google_maps") -> DataFrame:
     """Records of listings with a title; city and country are those of the query."""
     return rows.select(

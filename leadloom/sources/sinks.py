@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +17,21 @@ def printable(df: DataFrame) -> DataFrame:
     return df.select(*[one(c, k) for c, k in df.dtypes])
 
 
-def write_leads(df: DataFrame, path: str, order: list[str] | None = None, single: bool = False) -> None:
-    """Lead rows as CSV with a header, range-partitioned by `order`; one file only if asked."""
+def write_leads(df: DataFrame, path: str, order: list[str] | None = None, single: bool = False, mark: bool = False) -> None:
+    """Lead rows as CSV with a header, range-partitioned by `order`; one file only if asked. With `mark` each file begins with a byte order mark."""
     rows = df if order is None else df.orderBy(*order)
     out = printable(rows)
+    out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0]) if mark else out
     (out.coalesce(1) if single else out).write.option("header", True).option("emptyValue", "").option("escape", '"').mode("error").csv(path)
 
 
+def write_stamped(df: DataFrame, folder: str, name: str, now: datetime) -> str:
+    """A wide lead file as spreadsheets open it: marked, in a new path that tells the time. Returns the path."""
+    path = f"{folder.rstrip('/')}/{name}_{now:%Y-%m-%d_%H-%M-%S}.csv"
+    write_leads(df, path, single=True, mark=True)
+    return path
+
+
 def append(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Append observations, by day of `partition` if it is given."""
     if partition:

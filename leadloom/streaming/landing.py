@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.companies import listing_id
 from ..sources.readers import LISTING, business_records
 
 
-def listing_stream(spark: SparkSession, folder: str, city: str | None = None, country: str | None = None) -> DataFrame:
-    """Records of CSV files as they land; a listing id is taken once within the watermark of its file."""
+def listing_stream(spark: SparkSession, folder: str, city: str | None = None, country: str | None = None, late: str = "1 day") -> DataFrame:
+    """Records of CSV files as they land. A listing id is taken once within `late` of its file's time; records without one all come through."""
     schema = LISTING.removesuffix(", _corrupt_record string")
     raw = spark.readStream.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
-    return business_records(raw, city, country)
+    landed = raw.withColumn("landed_at", F.col("_metadata.file_modification_time")).withWatermark("landed_at", late)
+    marked = landed.withColumn("listing_id", listing_id())
+    once = marked.where("listing_id is not null").dropDuplicatesWithinWatermark(["listing_id"]).unionByName(marked.where("listing_id is null"))
+    return business_records(once, city, country)
 
 
 def event_windows(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from leadloom.operators.leads import ExportFilters
 from leadloom.plans import jobs
 from leadloom.plans.base import frame
@@ -14,7 +16,7 @@ CARD = '<div class="team-member"><h3>Ann Baker, Owner</h3><a href="https://linke
 def test_acquire(spark):
     stored = spark.createDataFrame([(7, "Shop", "shop", None, "shop.nl", None, "Netherlands", None, None, None)], "id long, name string, normalized_name string, website string, domain string, phone string, country string, city string, address string, category string")
     rows = [("Shop BV", "https://www.shop.nl/x", None, "020 1", "nederland", None, None, None), ("New  Co", None, None, "020 2", None, "Utrecht", None, "c"), ("New Co", None, None, "020 2", None, None, "Street", None)]
-    new = spark.createDataFrame(rows, "name string, website string, domain string, phone string, country string, city string, address string, category string")
+    new = spark.createDataFrame(rows, "name string, website string, domain string, phone string, country string, city string, address string, category string").withColumn("ordinal", F.monotonically_increasing_id())
     out = jobs.acquire(new, stored)
     got = {r["name"]: r for r in out["companies"].collect()}
     assert got["Shop"]["phone"] == "020 1" and got["Shop"]["website"] == "https://shop.nl/x" and got["New Co"]["address"] == "Street" and len(got) == 2
