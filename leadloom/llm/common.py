@@ -42,13 +42,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def gapless_index(df: DataFrame, group: list[str], order: list[str], out: str, buckets: int = 1024, bounded_groups: bool = False) -> DataFrame:
+def gapless_index(df: DataFrame, group: list[str], order: list[str], out: str, buckets: int | None = None, bounded_groups: bool = False) -> DataFrame:
     """Number the rows of each group from 0 without gaps and without gathering a group in one task.
 
-    Rows are dealt to `buckets` hash buckets of `order`; bucket counts give each bucket its first number, and rows are ranked within
+    Rows are dealt to `buckets` hash buckets of `order` (1024, or twice the session's shuffle partitions where that is more, so that no bucket outgrows a task); bucket counts give each bucket its first number, and rows are ranked within
     (group, bucket) only. Equal rows are interchangeable. `group` columns must not be null. With bounded_groups the number of groups is
     a parameter of the caller, so that the table of counts has a fixed size and is summed in one task.
     """
+    buckets = buckets or max(1024, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     d = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = d.groupBy(*group, "__b").agg(F.count("*").alias("__n"))
     if bounded_groups:

@@ -66,7 +66,7 @@ def stored_order(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.concat(F.lpad(F.regexp_extract(name, r"part-(\d+)", 1), 12, "0"), name).alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
-def assign_shards(docs: DataFrame, tree: dict = TREE, grown: dict = GROWN, buckets: int = 1024, stored: bool = False) -> DataFrame:
+def assign_shards(docs: DataFrame, tree: dict = TREE, grown: dict = GROWN, buckets: int | None = None, stored: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row. With `stored`, docs are read from files and slots follow the
     order in which the rows are stored."""
     text, key = F.coalesce("text", F.lit("")), [F.col("doc_id")]

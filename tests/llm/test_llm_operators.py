@@ -566,5 +566,50 @@ def test_mixing_keeps_to_the_true_targets(spark):
         assert abs(have - weight * k) < 4 + 1e-9
 
 
+def edf(sources, total):
+    """The plain loop: at each slot, of the released blocks the one with the earliest deadline, then the smallest source."""
+    had, slots, t = [0] * len(sources), [], 0
+    while any(h < b for h, (_, b) in zip(had, sources)):
+        open_ = [(-(-(h + 1) * total // a), k) for k, (h, (a, b)) in enumerate(zip(had, sources)) if h < b and h * total // a <= t]
+        if open_:
+            k = min(open_)[1]
+            slots.append((k, had[k], t))
+            had[k] += 1
+        t += 1
+    return slots
+
+
+def sources_frame(spark, sources):
+    return spark.createDataFrame([(False, f"s{k:04d}", float(a), b * 4 - k % 3) for k, (a, b) in enumerate(sources)], "s_null boolean, s_name string, weight double, rows long")
+
+
+def test_schedule_of_one_frame_is_plain_edf(spark):
+    rng = random.Random(12)
+    for _ in range(4):
+        a = [rng.randrange(1, 30) for _ in range(rng.randrange(1, 9))]
+        sources = [(x, max(1, 60 * x // sum(a) - rng.randrange(2))) for x in a]
+        want = edf(sources, sum(a))
+        if want[-1][2] >= mixing.FRAME:
+            continue
+        got = mixing.schedule(sources_frame(spark, sources), sum(a), 4).collect()
+        assert sorted((int(r["s_name"][1:]), r["block"], r["slot"]) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("sources", [
+    [(5, 400), (3, 100), (1, 90), (1, 2)], [(1000, 700)] + [(1, 1 + k % 3) for k in range(300)], [(1, 1)] * 200, [(10**9, 50), (1, 40)], [(7, 1)],
+])
+def test_schedule_keeps_all_windows(spark, sources):
+    total = sum(a for a, _ in sources)
+    got = mixing.schedule(sources_frame(spark, sources), total, 4).collect()
+    assert sorted((int(r["s_name"][1:]), r["block"]) for r in got) == [(k, i) for k, (_, b) in enumerate(sources) for i in range(b)]
+    assert len({r["slot"] for r in got}) == len(got)
+    before = 0
+    for r in sorted(got, key=lambda r: r["slot"]):
+        a, b = sources[k := int(r["s_name"][1:])]
+        assert r["release"] == r["block"] * total // a <= r["slot"] < r["deadline"] == -(-(r["block"] + 1) * total // a)
+        assert r["first"] == before
+        before += min(4, b * 4 - k % 3 - 4 * r["block"])
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
