@@ -12,7 +12,7 @@
 
 Equal contexts are repeated as a whole, so each is sorted once. Windows of one text that repeat within it are found there, so long runs of a pattern send one context each.
 
-Defined cases: null text is empty; texts under LENGTH bytes keep all; equal texts of LENGTH bytes or more go wholly; repeated rows are texts
+Defined cases: null text is empty; a null doc_id is carried, and its text is judged like any other; texts under LENGTH bytes keep all; equal texts of LENGTH bytes or more go wholly; repeated rows are texts
 like any other; overlaps count; marks are judged on the input; an empty table gives an empty result; other columns are not read.
 """
 
@@ -28,6 +28,7 @@ GRAM = 64
 WINDOW = LENGTH - GRAM + 1
 HOT = 512
 PIECE = 1_000_000
+NO_ID = -(1 << 63)
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -326,10 +327,12 @@ def _trimmed(batches):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     text = F.coalesce("text", F.lit("")).cast("binary")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    rows = materialize(keyed.select("doc_id", "h", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "rows")
+    # inside, a row goes by its doc_id, or NO_ID, and the hash of its text
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = materialize(keyed.select("id", "doc_id", "h", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "rows")
     texts = rows.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
     texts = materialize(texts, "texts")
+    keyed = keyed.drop("id")
     found = materialize(keyed.mapInArrow(_anchor_rows, "anchor long, doc_id long, h long, many boolean"), "anchors")
     repeated = found.groupBy("anchor").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("many").alias("many"), F.count("*").alias("n")).where("low <> high or many").select("anchor", "n")
     hits = found.join(repeated, "anchor").groupBy("doc_id", "h").agg(F.collect_set(F.struct("anchor", "n")).alias("hits"))
@@ -352,7 +355,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         "sha", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )
-    return rows.join(per_text, "sha").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.join(per_text, "sha").select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
