@@ -292,4 +292,12 @@ def read_archives(files: DataFrame) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = convert_archives(pages_to_arc(table(spark, sf_dir, "pages")), fresh_path(spark, "warc"))
-    return read_archives(files).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url")
+    return read_archives(files).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+q AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest, max(page_id) OVER (PARTITION BY payload) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {LEAST} AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {LEAST} AND page_id <> last THEN last END AS refers_to FROM q
+"""

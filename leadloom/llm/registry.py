@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mixing": mixing.op10,
 }
 
-SQL = {"op1_url_filters": url_filters.SQL, "op9_decontamination": decontamination.SQL}
+SQL = {"op1_url_filters": url_filters.SQL, "op2_warc": archives.SQL, "op9_decontamination": decontamination.SQL}
