@@ -3,14 +3,15 @@
 Kernel: two strings are compared by the three-letter subsequences that they share, each weighted by DECAY to the power of the letters it
 spans (SPAN at most after the first), so inserted or separating characters cost a little and do not hide a word. A word is framed by white space; runs of
 single letters (`i d i o t`) count as one word, and a word with marks or gaps inside is also compared without them. A string's norm is that of its length, which keeps the kernel positive semi-definite.
-A sentence is compared with a landmark at its best word, a document at its worst sentence.
+A sentence is compared with a landmark at its best word, a document at its worst sentence. A sentence ends with a word that ends in `.`, `!` or `?`, or with a line; `score_sentences` gives each one's score.
 
 Training: labels are of documents, so it is mi-SVM: every sentence of a clean document is negative; in each toxic document the witness
 words are chosen, first by how much more often they occur in toxic than in clean documents and then by the machine itself, and it is trained again.
 Landmarks are words of the sample; after training their expansion is folded into one weight for each letter triple, so scoring a text
 is a pass of table look-ups over its whole length. Platt's sigmoid gives the probability.
 
-The sample: at most SAMPLE documents of each label, those with the least hash of doc_id, from labelled rows in the training folds.
+The sample: at most SAMPLE documents of each label, those with the least hash of doc_id, from labelled rows in the training folds; one text of each doc_id (the least). Of its words,
+whole at any length, the machine is fitted on at most WITNESSES toxic ones, the COMMON most frequent and OTHERS more clean ones, and each round adds the HARD clean words that it scores worst.
 
 Defined cases: null and empty texts score as texts without words; words of any length are scored; conflicting labels of a document
 count as toxic; repeated rows score alike; with no toxic or no clean training rows each score is the share of toxic ones (0 without labels); other columns pass through.
@@ -32,6 +33,10 @@ DECAY = 0.75
 SPAN = 4
 GAPS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
 ROUNDS = 4
+WITNESSES = 4000
+COMMON = 1500
+OTHERS = 4000
+HARD = 3000
 THRESHOLD = 0.3
 NO_WORDS = -4.0
 
@@ -76,13 +81,13 @@ def triples(text, first, end):
     """For each gap, (index of the word, letter triple) of each place, in order of words. A word's frame counts as its first and last letter."""
     import numpy as np
 
-    c = np.concatenate([[0], letter_classes()[text], np.zeros(SPAN + 2, np.int32)])  # c[i + 1] is letter i
+    c = np.concatenate([[0], letter_classes()[text], np.zeros(SPAN + 2, np.int32)])  # c[i + 1] is letter i, and a word's first letter comes after its frame
     size = end - first + 2
     word = np.repeat(np.arange(len(first)), size)
     at = np.arange(len(word)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
     place, left = first[word] + at, size[word] - 1 - at
     # the frame is white space whatever stands there (the edge of a text, or a letter of the next one)
-    letter = np.where((at == 0) | (left == 0), 0, c[place + 1])
+    letter = np.where((at == 0) | (left == 0), 0, c[place])
     letter = np.concatenate([letter, np.zeros(SPAN, letter.dtype)]).astype(np.int32)
     n = len(word)
     for a, b in GAPS:
@@ -127,13 +132,21 @@ def squeezed(text, first, end):
     return text[place], last - left, last, word
 
 
-def text_scores(column, weights, bias: float):
-    """The machine's output for each text of a binary column: that of its worst word, as written or squeezed; NO_WORDS for none."""
+def sentence_starts(text, first, end, doc):
+    """Which words begin a sentence of their text."""
+    import numpy as np
+
+    lines = np.concatenate([[0], np.cumsum(text == 10)])
+    ends = np.isin(text[end[:-1] - 1], list(b".!?")) | (lines[first[1:]] > lines[end[:-1]]) | (doc[1:] != doc[:-1])
+    return np.flatnonzero(np.concatenate([[True], ends]))
+
+
+def sentence_scores(column, weights, bias: float):
+    """(text, begin, end, score) of each sentence of a binary column, in pieces: the machine's output for its worst word, as written or squeezed. Places are in bytes of the text."""
     import numpy as np
 
     from . import words
 
-    out = np.full(len(column), NO_WORDS)
     for offset, part in words.slices(column, 1 << 20):
         text, starts = words.raw(part)
         first, end, doc = word_spans(text, starts)
@@ -142,8 +155,18 @@ def text_scores(column, weights, bias: float):
             bare, a, b, word = squeezed(text, first, end)
             if len(word):
                 score[word] = np.maximum(score[word], word_scores(bare, a, b, weights) + bias)
-            at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            out[offset + doc[at]] = np.maximum.reduceat(score, at)
+            at = sentence_starts(text, first, end, doc)
+            last = np.append(at[1:], len(first)) - 1
+            yield offset + doc[at], first[at] - starts[doc[at]], end[last] - starts[doc[at]], np.maximum.reduceat(score, at)
+
+
+def text_scores(column, weights, bias: float):
+    """The machine's output for each text of a binary column: that of its worst sentence; NO_WORDS for none."""
+    import numpy as np
+
+    out = np.full(len(column), NO_WORDS)
+    for text, _, _, score in sentence_scores(column, weights, bias):
+        np.maximum.at(out, text, score)
     return out
 
 
@@ -231,7 +254,6 @@ def vocabulary(texts: list[bytes]):
         first, end, doc = word_spans(text, starts)
         if not len(first):
             continue
-        end = np.minimum(end, first + 64)
         text = w_.lowered(text)
         h = w_.word_hashes(text, first, end)
         around = w_.mixed(np.concatenate([h[:1], h[:-1]])) * np.uint64(3) + w_.mixed(np.concatenate([h[1:], h[-1:]])) * np.uint64(5)
@@ -277,8 +299,8 @@ def fit(texts: list[bytes], labels: list[int], share: float | None = None) -> di
     rng = np.random.default_rng(11)
     negative = np.zeros(n, bool)
     only = np.flatnonzero(clean > 0)
-    negative[only[np.argsort(-clean[only], kind="stable")[:1500]]] = True
-    negative[rng.permutation(only)[:4000]] = True
+    negative[only[np.argsort(-clean[only], kind="stable")[:COMMON]]] = True
+    negative[rng.permutation(only)[:OTHERS]] = True
     hard = np.zeros(n, bool)
     blob = np.frombuffer(b" ".join(strings), np.uint8)
     size = np.array([len(s) for s in strings])
@@ -286,7 +308,7 @@ def fit(texts: list[bytes], labels: list[int], share: float | None = None) -> di
     model = {}
     for _ in range(ROUNDS):
         pos = np.flatnonzero(witness)
-        pos = pos[np.argsort(-toxic[pos], kind="stable")[:4000]]
+        pos = pos[np.argsort(-toxic[pos], kind="stable")[:WITNESSES]]
         neg = np.flatnonzero((negative | hard) & ~witness & (clean > 0))
         if not len(pos) or not len(neg):
             return nothing
@@ -307,7 +329,7 @@ def fit(texts: list[bytes], labels: list[int], share: float | None = None) -> di
         score = np.concatenate([word_scores(blob[begin[i] : begin[min(i + 20_000, n) - 1] + size[min(i + 20_000, n) - 1]], begin[i : i + 20_000] - begin[i], (begin + size)[i : i + 20_000] - begin[i], weights) for i in range(0, n, 20_000)]) + bias
         # clean words that the machine takes for toxic, and the worst word of toxic documents without a certain witness
         far = np.flatnonzero((clean > 0) & ~certain & (score > -0.6))
-        hard[far[np.argsort(-score[far], kind="stable")[:3000]]] = True
+        hard[far[np.argsort(-score[far], kind="stable")[:HARD]]] = True
         witness = certain.copy()
         lost = np.ones(len(y), bool)
         lost[doc[certain[word]]] = False
@@ -350,7 +372,8 @@ def sample_texts(docs: DataFrame, labels: DataFrame, name: str, parts: int, held
     mean = float(marked.agg(F.avg("label")).first()[0])
     small = docs.sparkSession.createDataFrame(rows, docs.select("doc_id").schema.add("label", T.IntegerType()))
     found = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id")
-    return found.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label"), mean
+    one = found.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit("")).cast("binary")).alias("text"), F.max("label").alias("label"))
+    return one, mean
 
 
 def _fitted(share: float):
@@ -397,6 +420,26 @@ def score_documents(docs: DataFrame, model: dict, parts: int = 4, held: int = 2,
     return scored.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def score_sentences(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, begin, end (in bytes of the text), score of each sentence of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from . import words
+
+        for batch in batches:
+            m = shared.value
+            if m["constant"] is None:
+                for text, begin, end, score in sentence_scores(words.binary(batch.column("text")), m["weights"], m["bias"]):
+                    p = 1 / (1 + np.exp(-np.clip(m["slope"] * score + m["offset"], -30, 30)))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), pa.array(begin), pa.array(end), pa.array(p)], names=["doc_id", "begin", "end", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, begin long, end long, score double")
+
+
 def _keep(shared, threshold):
     def run(batches):
         import pyarrow as pa
