@@ -189,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not rows:
         return fit([], [])
     small = spark.createDataFrame(rows, docs.select("doc_id").schema.add("positive", T.IntegerType()))
-    picked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(small), "doc_id")
+    # one text of each doc_id, so that a repeated one stays within the bounds
+    picked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(small), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
     found = picked.mapInArrow(_feature_rows, docs.select("doc_id").schema.add("positive", T.IntegerType()).add("x", T.ArrayType(T.DoubleType()))).collect()
     found.sort(key=lambda r: (r[1], r[0]))
     x, y = np.array([r[2] for r in found]), np.array([r[1] for r in found])

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,10 +152,13 @@ def test_repeats_against_brute_force(spark, monkeypatch, hot):
     texts = [prose(rng.randint(1, 150)) for _ in range(40)] + [prose(20) + passage + prose(20) for _ in range(8)] + [prose(40) + line + prose(3) for _ in range(6)]
     base = prose(300)
     texts += [base, base, base[:700] + "Z" + base[701:], base[:900], "ab" * 400, "ab" * 300 + "c", "x" * 200, "x" * 201, "x" * 199, passage[:200], passage[:199], "é" * 150, "", None, prose(30) * 4]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(5, texts[45]), (46, texts[46]), (46, texts[46]), (7, prose(90))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5, texts[45]), (46, texts[46]), (46, texts[46]), (7, prose(90)), (None, prose(9) + passage), (None, prose(9) + passage), (None, prose(5) + line + prose(7))]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' as h", "2L as anchor", "3 as n", "'z' as sha").repartition(5)
-    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect())
-    assert got == sorted((i, *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows])))
+    plain = lambda i: -1 if i is None else i
+    got = sorted((plain(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == sorted((plain(i), *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows])))
+    alone = spark.createDataFrame([(1, passage), (None, "so " + passage)], "doc_id long, text string")
+    assert all(r["n_removed"] >= len(passage) - 1 for r in suffix_dedup.remove_repeats(alone).collect())
     assert sum(x[2] for x in got) > 5000
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
@@ -451,6 +455,98 @@ def test_toxicity_finds_gapped_insults(spark):
     assert len(toxicity.score_documents(odd_docs(spark), model).collect()) == 13
 
 
+def plain_kernel(word: bytes) -> dict:
+    """The triples of a framed word, as written in the docstring: weights by span, normalised by length."""
+    letters = toxicity.letter_classes()
+    framed = [0, *(int(letters[x]) for x in word), 0]
+    out, total = defaultdict(float), 0.0
+    for i in range(len(framed)):
+        for b in range(2, toxicity.SPAN + 1):
+            for a in range(1, b):
+                if i + b < len(framed):
+                    out[framed[i] << 10 | framed[i + a] << 5 | framed[i + b]] += toxicity.DECAY ** (b + 1)
+                    total += toxicity.DECAY ** (2 * (b + 1))
+    norm = max(total, toxicity.DECAY**6) ** 0.5
+    return {k: v / norm for k, v in out.items()}
+
+
+def plain_words(text: bytes) -> list[bytes]:
+    out, last = [], None
+    for m in re.finditer(rb"[^\t\n\x0b\x0c\r ]+", text):
+        single = m.end() - m.start() == 1
+        if single and last and last[2] and m.start() - last[1] == 1:
+            out[-1] = text[last[0] : m.end()]
+            last = (last[0], m.end(), True)
+        else:
+            out.append(m[0])
+            last = (m.start(), m.end(), single)
+    return out
+
+
+def test_toxicity_scores_against_plain_python():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    weights = np.random.default_rng(3).normal(0, 1, 1 << 15).astype(np.float32)
+    words = ["".join(rng.choices("abcdeiot!-.1é", k=rng.randint(1, 12))) for _ in range(60)] + ["i d i o t", "x" * 300]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))).encode() for _ in range(80)] + [b"", b" \n ", None]
+    bare = lambda w: bytes(x for x in w if toxicity.letter_classes()[x] not in (0, 31))
+    one = lambda w: sum(float(weights[k]) * v for k, v in plain_kernel(w).items()) - 0.5
+    want = [max([max(one(w), one(bare(w)) if 0 < len(bare(w)) < len(w) else -99) for w in plain_words(t or b"")], default=toxicity.NO_WORDS) for t in texts]
+    got = toxicity.text_scores(pa.array(texts, pa.binary()), weights, -0.5)
+    assert np.abs(got - want).max() < 1e-4
+    rows, codes, values = toxicity.features([w.encode() for w in words[:20]])
+    for k, w in enumerate(words[:20]):
+        mine = defaultdict(float)
+        for c, v in zip(codes[rows == k].tolist(), values[rows == k].tolist()):
+            mine[c] += v
+        want = plain_kernel(w.encode())
+        assert mine.keys() == want.keys() and all(abs(mine[c] - want[c]) < 1e-9 for c in want)
+
+
+def test_sentences(spark):
+    import numpy as np
+
+    text = "All is well. you are an idiot! Bye\nnew line\n\nlast"
+    model = {"weights": np.random.default_rng(1).normal(0, 1, 1 << 15).astype(np.float32), "bias": 0.1, "slope": 1.5, "offset": -0.3, "constant": None}
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (None, "one")], "doc_id long, text string")
+    rows = toxicity.score_sentences(df, model).collect()
+    assert [text.encode()[r["begin"] : r["end"]].decode() for r in rows if r["doc_id"] == 1] == ["All is well.", "you are an idiot!", "Bye", "new line", "last"]
+    whole = {r["doc_id"]: r["score"] for r in toxicity.score_documents(df, model).collect()}
+    assert abs(whole[1] - max(r["score"] for r in rows if r["doc_id"] == 1)) < 1e-12 and len(rows) == 6
+
+
+def test_quality_scores_and_risk_against_plain_python():
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [b"Hello world. Hello again, world 123!", b"", "Zoë über\n\nx x x".encode(), b"%%% ### \t a"]
+    x = quality.text_features(pa.array(texts, pa.binary()))
+    for row, t in zip(x, texts):
+        words = t.split()
+        share = lambda f: sum(map(f, t)) / max(1, len(t))  # noqa: E731, B023
+        assert abs(row[0] - share(lambda b: 97 <= b <= 122)) < 1e-12 and abs(row[1] - share(lambda b: 65 <= b <= 90)) < 1e-12 and abs(row[12] - share(lambda b: b >= 128)) < 1e-12
+        assert abs(row[13] - math.log1p(len(t))) < 1e-12 and abs(row[14] - math.log1p(len(words))) < 1e-12
+        if words:
+            assert abs(row[15] - sum(map(len, words)) / len(words)) < 1e-9 and abs(row[18] - len({w.lower() for w in words}) / len(words)) < 1e-12
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(1, 1, (300, quality.FEATURES)), rng.normal(-1, 1, (500, quality.FEATURES))
+    model = quality.fit(good, np.vstack([good[:200] + rng.normal(0, 0.1, (200, quality.FEATURES)), bad]))
+    assert abs(model["prior"] - 200 / 700) < 0.1
+    # the forward pass, number by number
+    w1, b1, w2, b2 = (a.tolist() for a in model["net"])
+    for row, p in zip(x, quality.probabilities(pa.array(texts, pa.binary()), model)):
+        z = [max(-6, min(6, (v - m) / s)) for v, m, s in zip(row, model["mean"].tolist(), model["spread"].tolist())]
+        hidden = [math.tanh(sum(a * w1[i][j] for i, a in enumerate(z)) + b1[j]) for j in range(len(b1))]
+        assert abs(p - 1 / (1 + math.exp(-(sum(a * w2[j][0] for j, a in enumerate(hidden)) + b2[0])))) < 1e-9
+    sigmoid = lambda rows: 1 / (1 + np.exp(-quality._net(np.clip((rows - model["mean"]) / model["spread"], -6, 6), model["net"])[1][:, 0]))
+    # calling a positive negative costs P(+); the fitted non-negative risk is near that of the true classes
+    assert sigmoid(good).mean() > 0.9 and sigmoid(bad).mean() < 0.1
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()}
