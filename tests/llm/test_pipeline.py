@@ -71,3 +71,32 @@ def test_slots_follow_the_mix(spark, tmp_path):
         assert [r["slot"] for r in mine] == list(range(len(mine)))
         at = [order.index(r["doc_id"]) for r in mine]
         assert at == sorted(at)
+
+
+def staged(spark, docs, sf, tmp_path):
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    return docs
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names; an item of benchmark and texts near to another go."""
+    long = " ".join(f"w{i % 977}x{i}" for i in range(20_000))
+    near = " ".join(f"n{i}" for i in range(200))
+    item = table(spark, SF, "benchmark").where("length(text) > 60").first()["text"]
+    rows = [
+        (1, "the quick brown fox", "en", "a", "x"), (2, "the quick brown fox", "en", "a", "x"), (3, None, None, None, None), (4, "", "en", "", ""), (4, "", "en", "", ""), (5, " \t\n ", "en", "b", "x"),
+        (None, "a text without an id", "en", "b", "x"), (None, "a text without an id", "en", "b", "x"), (8, long, "en", "c", "x"), (9, long, "en", "c", "x"), (8, "same id, other text", None, "c", "x"),
+        (20, near, "en", "c", "x"), (None, near + " more", "en", "c", "x"), (30, "before " + item + " after", "en", "c", "x"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, key string"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "1 as slot", "'q' as shard", "2 as digest", "3 as position", "4 as label", "5 as size")
+    labels = table(spark, SF, "labels").limit(0)
+    labels.write.parquet(str(tmp_path / "sf/labels.parquet"))
+    table(spark, SF, "benchmark").write.parquet(str(tmp_path / "sf/benchmark.parquet"))
+    out = staged(spark, docs, str(tmp_path / "sf"), tmp_path).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in out) == [-1, 1, 3, 5, 8, 8, 20]
+    assert {(r["shard"], r["slot"]) for r in out} == {(s, i) for s in range(8) for i in range(sum(r["shard"] == s for r in out))}
+    (tmp_path / "none").mkdir()
+    assert staged(spark, docs.limit(0), str(tmp_path / "sf"), tmp_path / "none").count() == 0
