@@ -3,6 +3,11 @@ put in the order of the mix and dealt to shards.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents, but for the last,
 which returns each document's shard and slot; slots of a shard follow the order of the mix, as the stage before stored it. No SQL expresses it: a learnt classifier, a sketch join and a schedule are in it.
+
+Defined cases: a null text equals an empty one; of rows that repeat a doc_id and text one stays, rows that share a doc_id only are documents of their own; a document without a
+doc_id is compared and scheduled like any other, and of equal texts the one with the smallest doc_id stays, before those without; texts without words are near-duplicates of equal
+texts only and hold no benchmark item; a null source is a source of its own; without labels no document is toxic; an empty table gives an empty result; other columns pass through
+all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
