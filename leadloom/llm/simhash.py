@@ -218,7 +218,7 @@ SIMILARITY = 0.8
 SHINGLE = 5
 #: Texts, and shingles of them, that meet as many others in one unit.
 UNIT = 512
-UNIT_SHINGLES = 2_000_000
+UNIT_SHINGLES = 500_000
 
 
 def _hashes():

@@ -39,6 +39,8 @@ OTHERS = 4000
 HARD = 3000
 THRESHOLD = 0.3
 NO_WORDS = -4.0
+#: Bytes of text that are looked at together.
+SLICE = 1 << 18
 
 _classes = None
 
@@ -147,7 +149,7 @@ def sentence_scores(column, weights, bias: float):
 
     from . import words
 
-    for offset, part in words.slices(column, 1 << 20):
+    for offset, part in words.slices(column, SLICE):
         text, starts = words.raw(part)
         first, end, doc = word_spans(text, starts)
         if len(first):
@@ -186,16 +188,15 @@ def features(strings: list[bytes]):
     return rows, codes, values / norms(size + 2)[rows]
 
 
-def gram(sparse, n: int, dense):
-    """Products of sparse rows with the rows of a dense matrix, in pieces."""
+def gram(sparse, n: int, turned):
+    """Products of sparse rows with the columns of a dense matrix, in pieces."""
     import numpy as np
 
     rows, codes, values = sparse
     order = np.argsort(rows, kind="stable")
     rows, codes, values = rows[order], codes[order], values[order]
     values = values.astype(np.float32)
-    out = np.zeros((n, len(dense)), np.float32)
-    turned = np.ascontiguousarray(dense.T)
+    out = np.zeros((n, turned.shape[1]), np.float32)
     cut = np.searchsorted(rows, np.arange(0, n + 100, 100))
     for a, b in zip(cut[:-1], cut[1:]):
         if a < b:
@@ -212,7 +213,8 @@ def svm(x, y, cost, rounds: int = 400):
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])
     v, t = w.copy(), 1.0
-    step = 1.0 / (1.0 + 2 * np.linalg.eigvalsh((x1 * cost[:, None]).T @ x1)[-1])
+    square = sum((x1[i : i + 1000] * cost[i : i + 1000, None]).T @ x1[i : i + 1000] for i in range(0, len(x1), 1000))
+    step = 1.0 / (1.0 + 2 * np.linalg.eigvalsh(square)[-1])
     for _ in range(rounds):
         slack = np.maximum(0, 1 - y * (x1 @ v))
         grad = v - 2 * x1.T @ (cost * y * slack)
@@ -249,7 +251,7 @@ def vocabulary(texts: list[bytes]):
     from . import words as w_
 
     hashes, docs, contexts, strings, known = [], [], [], [], {}
-    for offset, part in w_.slices(pa.array(texts, pa.binary()), 1 << 20):
+    for offset, part in w_.slices(pa.array(texts, pa.binary()), SLICE):
         text, starts = w_.raw(part)
         first, end, doc = word_spans(text, starts)
         if not len(first):
@@ -315,16 +317,17 @@ def fit(texts: list[bytes], labels: list[int], share: float | None = None) -> di
         chosen = np.concatenate([pos[: LANDMARKS // 2], rng.permutation(np.flatnonzero(hard & ~witness))[: LANDMARKS // 4]])
         chosen = np.concatenate([chosen, rng.permutation(neg)[: LANDMARKS - len(chosen)]])
         rows, codes, values = features([strings[i] for i in chosen])
-        dense = np.zeros((len(chosen), 1 << 15), np.float32)
-        np.add.at(dense, (rows, codes), values)
-        spread, base = np.linalg.eigh((dense @ dense.T).astype(float))
+        turned = np.zeros((1 << 15, len(chosen)), np.float32)
+        np.add.at(turned, (codes, rows), values)
+        spread, base = np.linalg.eigh((turned.T @ turned).astype(float))
         root = base / np.sqrt(np.maximum(spread, 1e-3)) @ base.T
         both = np.concatenate([pos, neg])
-        x = gram(features([strings[i] for i in both]), len(both), dense) @ root
+        x = gram(features([strings[i] for i in both]), len(both), turned) @ root
         target = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         cost = np.concatenate([COST * toxic[pos] / toxic[pos].sum(), NEGATIVE_COST * np.sqrt(clean[neg]) / np.sqrt(clean[neg]).sum()]) + np.where(target > 0, 0.02, 0.5)
         w, bias = svm(x, target, cost)
-        weights = ((root @ w) @ dense).astype(np.float32)
+        weights = (turned @ (root @ w)).astype(np.float32)
+        del turned, x
         model = {"weights": weights, "bias": float(bias)}
         score = np.concatenate([word_scores(blob[begin[i] : begin[min(i + 20_000, n) - 1] + size[min(i + 20_000, n) - 1]], begin[i : i + 20_000] - begin[i], (begin + size)[i : i + 20_000] - begin[i], weights) for i in range(0, n, 20_000)]) + bias
         # clean words that the machine takes for toxic, and the worst word of toxic documents without a certain witness
