@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Jobs that run inside move rows to Python in batches of `rows` at most, so that buffers outside the heap stay small where rows are wide. A session that sets
+    spark.sql.execution.arrow.maxRecordsPerBatch keeps its own value."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -28,7 +28,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_row, connected_components, materialize, table
+from .common import by_row, connected_components, materialize, small_batches, table
 
 BUDGET = 2
 #: A trie node with more fingerprints is descended further.
@@ -447,6 +447,11 @@ def _digest() -> Column:
 
 def near_duplicate_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Each distinct text of docs: its digest, low (its smallest doc_id), and the group of near-duplicate texts that it is in (named by a digest)."""
+    with small_batches(docs.sparkSession):  # all its Python work is done when it returns
+        return _near_duplicate_texts(docs, similarity)
+
+
+def _near_duplicate_texts(docs: DataFrame, similarity: float) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     marked = keyed.mapInArrow(_print_rows, "doc_id long, digest binary, size int, bits binary, marks binary, bands array<long>")
     texts = marked.groupBy("digest").agg(F.min("doc_id").alias("low"), *(F.first(x).alias(x) for x in ("size", "bits", "marks", "bands")))

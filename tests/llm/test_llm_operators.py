@@ -709,3 +709,24 @@ def test_schedule_keeps_all_windows(spark, sources):
 
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_small_batches_leave_the_session_as_it_was(spark):
+    from leadloom.llm.common import small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        with pytest.raises(RuntimeError), small_batches(spark):
+            assert spark.conf.get(name) == "1000"
+            raise RuntimeError
+        assert spark.conf.get(name, None) is None
+        spark.conf.set(name, 77)
+        with small_batches(spark):
+            assert spark.conf.get(name) == "77"
+        assert spark.conf.get(name) == "77"
+    finally:
+        spark.conf.unset(name)
+        if before is not None:
+            spark.conf.set(name, before)
