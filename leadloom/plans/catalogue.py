@@ -11,7 +11,7 @@ from ..functions import emails, person, phones, policies, social, text, urls
 from ..functions import vocabulary as V
 from ..operators import companies as C
 from ..operators import extraction, identity, leads, ledger, observations, outreach, plan, state
-from ..operators.latest import latest_by_time, latest_per, limit_where
+from ..operators.latest import first_non_null, latest_by_time, latest_per, limit_where
 from ..sources import answers, readers, sinks
 from ..streaming import landing
 from . import jobs
@@ -294,7 +294,11 @@ def n32_content_hash(spark, sf_dir):
 EMAIL_RAW = "CASE c_custkey % 6 WHEN 0 THEN 'MAILTO:Info@Example.COM?subject=x' WHEN 1 THEN ' sales+x@shop' || CAST(c_custkey % 9 AS STRING) || '.co.uk ' WHEN 2 THEN 'a@@b.com' WHEN 3 THEN 'someone@gmail.com' WHEN 4 THEN 'x%40y.com' ELSE 'a@b..com' END"
 
 
-@query(f"WITH r AS (SELECT c_custkey, url_decode(replace({EMAIL_RAW}, '+', '%2B')) AS v FROM customer), n AS (SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(trim(v)), '^mailto:', ''), '[?#].*$', '')) AS e FROM r), k AS (SELECT c_custkey, CASE WHEN regexp_full_match(e, '[a-z0-9.!#$%&''*+/=?^_`{{|}}~-]+@[a-z0-9-]+(\\.[a-z0-9-]+)+') THEN e END AS email FROM n) SELECT *, split_part(email, '@', 2) AS domain, CASE WHEN email IS NULL THEN NULL WHEN split_part(email, '@', 2) IN {_in(V.FREE_EMAIL_PROVIDERS)} THEN 'free_provider' WHEN split_part(split_part(email, '@', 1), '+', 1) IN {_in(V.ROLE_EMAIL_PREFIXES)} THEN 'business_role' ELSE 'business_individual' END AS quality FROM k")
+#: n and k: the normal form of each EMAIL_RAW
+NORMAL_EMAILS = f"WITH r AS (SELECT c_custkey, url_decode(replace({EMAIL_RAW}, '+', '%2B')) AS v FROM customer), n AS (SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(trim(v)), '^mailto:', ''), '[?#].*$', '')) AS e FROM r), k AS (SELECT c_custkey, CASE WHEN regexp_full_match(e, '[a-z0-9.!#$%&''*+/=?^_`{{|}}~-]+@[a-z0-9-]+(\\.[a-z0-9-]+)+') THEN e END AS email FROM n)"
+
+
+@query(NORMAL_EMAILS + f" SELECT *, split_part(email, '@', 2) AS domain, CASE WHEN email IS NULL THEN NULL WHEN split_part(email, '@', 2) IN {_in(V.FREE_EMAIL_PROVIDERS)} THEN 'free_provider' WHEN split_part(split_part(email, '@', 1), '+', 1) IN {_in(V.ROLE_EMAIL_PREFIXES)} THEN 'business_role' ELSE 'business_individual' END AS quality FROM k")
 def n11_normalize_email(spark, sf_dir):
     rows = read(spark, sf_dir, "customer").selectExpr("c_custkey", f"{EMAIL_RAW} AS v")
     v = F.col("v")
@@ -773,3 +777,106 @@ def events_sessions(spark, sf_dir):
 
     s = landing.sessions(read(spark, sf_dir, "events"))
     return s.select("user_id", "n", F.row_number().over(Window.partitionBy("user_id").orderBy("start")).cast("long").alias("nth"))
+
+
+# Functions and small operators by themselves --------------------------------------------------------------------------
+
+
+@query(NORMAL_EMAILS + f" SELECT c_custkey, email AS address, split_part(email, '@', 1) AS local_part, split_part(email, '@', 2) AS domain, CASE WHEN split_part(email, '@', 2) IN {_in(V.FREE_EMAIL_PROVIDERS)} THEN split_part(email, '@', 2) END AS provider, split_part(email, '@', 2) IN {_in(V.FREE_EMAIL_PROVIDERS)} AS is_free_provider, split_part(split_part(email, '@', 1), '+', 1) IN {_in(V.ROLE_EMAIL_PREFIXES)} AS is_role_address FROM k WHERE email IS NOT NULL")
+def n12_parse_email(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey", f"{EMAIL_RAW} AS v")
+    return rows.select("c_custkey", emails.parse_email(F.col("v")).alias("e")).where("e is not null").select("c_custkey", "e.*")
+
+
+@query(NORMAL_EMAILS + " SELECT c_custkey, coalesce(email || ',', '') || 'zz@gmail.com' AS addresses FROM k")
+def n16_normalize_emails(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey", f"{EMAIL_RAW} AS v")
+    many = F.array(F.lit("ZZ@gmail.com"), F.col("v"), F.concat(F.lit(" "), "v", F.lit("  ")), F.lit("none"))
+    return rows.select("c_custkey", F.array_join(emails.normalize_emails(many), ",").alias("addresses"))
+
+
+CALLED = "CASE c_custkey % 5 WHEN 0 THEN 'tel:+1-212-' || CAST(1000000 + c_custkey AS STRING) || ';ext=1' WHEN 1 THEN ' (111) 111-1111 ' WHEN 2 THEN CAST(c_custkey % 1000 AS STRING) WHEN 3 THEN '00 ' || CAST(1000000 + c_custkey AS STRING) || ' ' || CAST(1000000 + c_custkey AS STRING) || '?x=1' ELSE 'call' END"
+
+
+@query(f"WITH r AS (SELECT c_custkey, trim(regexp_replace(regexp_replace(trim({CALLED}), '^tel:', '', 'i'), '[?;].*$', '')) AS v FROM customer), d AS (SELECT c_custkey, v, regexp_replace(v, '\\D', '', 'g') AS n FROM r) SELECT c_custkey, CASE WHEN n <> '' AND starts_with(v, '+') THEN '+' || n ELSE n END AS candidate, length(n) BETWEEN 7 AND 15 AND n <> repeat(n[1], length(n)) AS plausible FROM d")
+def f11_plausible_phones(spark, sf_dir):
+    found = phones.phone_candidate(F.col("v"))
+    return read(spark, sf_dir, "customer").selectExpr("c_custkey", f"{CALLED} AS v").select("c_custkey", found.alias("candidate"), phones.is_plausible_phone(found).alias("plausible"))
+
+
+@query(ctes("companies") + "SELECT id FROM companies WHERE created_day >= 10 AND created_day < 30 AND coalesce(website, '') = ''")
+def f4_created_range(spark, sf_dir):
+    c = frame(spark, sf_dir, "companies").withColumn("created_at", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(created_day)"))
+    wanted = leads.ExportFilters(created_after=datetime(2024, 1, 11), created_before=datetime(2024, 1, 31), has_website=False)
+    return leads.filter_companies(c, wanted, *[frame(spark, sf_dir, t) for t in ("performance", "stages", "people", "contacts", "observations")]).select("id")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 200")
+def w11_keyset_page(spark, sf_dir):
+    """One page of a keyset scan: the 200 rows after a cursor."""
+    return readers.read_table(spark, f"{sf_dir}/events.parquet", ["event_id", "user_id", "event_type"], after_id=500, limit=200, key="event_id")
+
+
+@query(ctes("technologies") + "SELECT company_id, first(version ORDER BY observed_at, id) FILTER (WHERE version IS NOT NULL) AS version FROM technologies GROUP BY company_id")
+def a11_first_non_null(spark, sf_dir):
+    return frame(spark, sf_dir, "technologies").groupBy("company_id").agg(first_non_null(F.col("version"), F.col("observed_at"), F.col("id")).alias("version"))
+
+
+@query(ctes("email_observations") + "SELECT DISTINCT person_id, normalized_email AS email FROM email_observations o WHERE NOT EXISTS (SELECT 1 FROM email_observations d WHERE d.person_id = o.person_id AND d.normalized_email = o.normalized_email AND d.verification_result = 'deliverable')")
+def p8_without_verified(spark, sf_dir):
+    seen = frame(spark, sf_dir, "email_observations")
+    return outreach.without_verified(seen.select("person_id", F.col("normalized_email").alias("email")).distinct(), seen)
+
+
+GUESS_FIRST, GUESS_LAST = pick(("Ann", "Jan", "Peter"), "c_custkey"), pick(("Smith", "Jansen", "Baker", "Stone"), "c_custkey % 13")
+GUESS_HOST = "'shop' || CAST(c_custkey % 9 AS STRING) || '.com'"
+GUESS_KNOWN = f"CASE c_custkey % 4 WHEN 0 THEN 'Info@Example.com' WHEN 1 THEN {GUESS_FIRST} || '.' || {GUESS_LAST} || '@' || {GUESS_HOST} WHEN 2 THEN 'none' END"
+
+
+@query(
+    f"WITH r AS (SELECT c_custkey AS person_id, lower({GUESS_FIRST}) AS f, lower({GUESS_LAST}) AS l, '@' || {GUESS_HOST} AS h, nullif(lower({GUESS_KNOWN}), 'none') AS known FROM customer), "
+    "p AS (SELECT person_id, known, list_filter([f || '.' || l || h, f || h, f[1] || l || h, f || l[1] || h, f || l || h, f || '_' || l || h, f || '-' || l || h], lambda e: known IS NULL OR e <> known) AS guessed FROM r), "
+    "a AS (SELECT person_id, known, CASE WHEN known IS NULL THEN guessed ELSE list_prepend(known, guessed) END AS every FROM p) "
+    "SELECT person_id, unnest(every) AS email, CAST(generate_subscripts(every, 1) - 1 AS INTEGER) AS attempt, unnest(every) IS DISTINCT FROM known AS from_pattern FROM a"
+)
+def p11_verification_candidates(spark, sf_dir):
+    people = read(spark, sf_dir, "customer").selectExpr("c_custkey AS person_id", "c_custkey % 90 AS company_id", f"{GUESS_FIRST} || ' ' || {GUESS_LAST} AS name", f"{GUESS_HOST} AS host", f"{GUESS_KNOWN} AS email")
+    return outreach.verification_candidates(people, F.col("host")).drop("company_id")
+
+
+@query("SELECT user_id AS company_id, count(*) FILTER (WHERE event_id % 4 = 0) AS discarded, count(*) AS found FROM events GROUP BY user_id")
+def p10_discarded_contacts(spark, sf_dir):
+    good = pick(("a@b.com", "+44 20 7946 0018", "https://www.linkedin.com/in/x"), "event_id")
+    bad = pick(("a@b", "12", "https://example.com/x"), "event_id")
+    rows = read(spark, sf_dir, "events").selectExpr("user_id AS company_id", f"{pick(('email', 'phone', 'linkedin_profile'), 'event_id')} AS kind", f"CASE WHEN event_id % 4 = 0 THEN {bad} ELSE {good} END AS value")
+    return extraction.discarded_contacts(rows)
+
+
+LISTED = {
+    "ordinal": "s_suppkey", "title": "CASE WHEN s_suppkey % 7 = 0 THEN '  ' ELSE ' ' || s_name || ' ' END", "website": "CASE WHEN s_suppkey % 5 > 0 THEN 'https://www.Shop' || CAST(s_suppkey AS STRING) || '.com:8080/x?y=1' END",
+    "phone": "CASE WHEN s_suppkey % 3 > 0 THEN ' 020 123 ' ELSE '' END", "address": "CASE WHEN s_suppkey % 2 > 0 THEN 'Street 1' ELSE ' ' END", "complete_address": "CASE WHEN s_suppkey % 4 > 0 THEN 'Street 1, Utrecht' END", "category": "'shop '",
+    "place_id": "CASE WHEN s_suppkey % 4 > 0 THEN 'p' || CAST(s_suppkey % 60 AS STRING) END", "cid": "' '", "data_id": "CASE WHEN s_suppkey % 8 > 0 THEN 'd' || CAST(s_suppkey % 6 AS STRING) END",
+}
+
+
+@query(
+    f"WITH r AS (SELECT {', '.join(f'{e} AS {c}' for c, e in LISTED.items())} FROM supplier), e AS (SELECT *, coalesce(place_id, data_id) AS external_id FROM r QUALIFY external_id IS NULL OR row_number() OVER (PARTITION BY external_id ORDER BY ordinal) = 1) "
+    "SELECT trim(title) AS name, website, lower(regexp_extract(website, 'www\\.([^/:]*)', 1)) AS domain, nullif(trim(phone), '') AS phone, 'Nederland' AS country, 'Utrecht' AS city, coalesce(nullif(trim(address), ''), complete_address) AS address, trim(category) AS category, external_id FROM e WHERE trim(title) <> ''"
+)
+def s6_load_results(spark, sf_dir):
+    rows = read(spark, sf_dir, "supplier").selectExpr(*[f"{e} AS {c}" for c, e in LISTED.items()])
+    return readers.load_results(rows, "Utrecht", "Nederland").drop("source_name")
+
+
+RECORD = {
+    "id": "s_suppkey", "name": "'  ' || s_name || '   B.V. '", "website": "CASE WHEN s_suppkey % 5 > 0 THEN ' HTTP://WWW.Shop' || CAST(s_suppkey AS STRING) || '.Com:80/Home/?q=1' END", "domain": "CASE WHEN s_suppkey % 3 > 0 THEN 'www.Own' || CAST(s_suppkey AS STRING) || '.nl' ELSE '' END",
+    "phone": "' 020   123 '", "country": pick(("nederland", " Belgium ", " "), "s_suppkey"), "city": "' Den   Haag'", "address": "' '", "category": "'a  b'",
+}
+
+
+@query(
+    f"WITH r AS (SELECT {', '.join(f'{e} AS {c}' for c, e in RECORD.items())} FROM supplier) SELECT id, trim(regexp_replace(name, ' +', ' ', 'g')) AS name, lower(trim(regexp_replace(name, ' +', ' ', 'g'))) AS normalized_name, CASE WHEN website IS NOT NULL THEN 'https://shop' || id || '.com/Home' END AS website, "
+    f"CASE WHEN domain <> '' THEN 'own' || id || '.nl' WHEN website IS NOT NULL THEN 'shop' || id || '.com' END AS domain, '020 123' AS phone, CASE WHEN country = 'nederland' THEN '{V.COUNTRY_ALIASES['nederland']}' ELSE nullif(trim(country), '') END AS country, 'Den Haag' AS city, CAST(NULL AS VARCHAR) AS address, 'a b' AS category FROM r"
+)
+def n7_normalize_records(spark, sf_dir):
+    return C.normalize_records(read(spark, sf_dir, "supplier").selectExpr(*[f"{e} AS {c}" for c, e in RECORD.items()]))

@@ -94,10 +94,10 @@ def email_verdict(report: Column) -> Column:
     return F.struct(F.when(blocked, "unknown").otherwise(v["status"]).alias("status"), (v["valid"] & ~blocked).alias("valid"), v["score"].alias("score"), v["risk"].alias("risk"), verdict.alias("smtp_verdict"), F.coalesce(v["smtp"]["catchAll"], F.lit(False)).alias("catch_all"), F.array_distinct(reasons).alias("reasons"))
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, after_id: int | None = None, created_from=None, limit: int | None = None) -> DataFrame:
-    """A table's rows after a cursor, in order of id where limited; predicates and columns reach the scan."""
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, after_id: int | None = None, created_from=None, limit: int | None = None, key: str = "id", created: str = "created_at") -> DataFrame:
+    """A table's rows after a cursor, in order of `key` where limited; predicates and columns reach the scan."""
     df = spark.read.parquet(path)
     df = df if columns is None else df.select(*columns)
-    df = df if after_id is None else df.where(F.col("id") > after_id)
-    df = df if created_from is None else df.where(F.col("created_at") >= F.lit(created_from))
-    return df if limit is None else df.orderBy("id").limit(limit)
+    df = df if after_id is None else df.where(F.col(key) > after_id)
+    df = df if created_from is None else df.where(F.col(created) >= F.lit(created_from))
+    return df if limit is None else df.orderBy(key).limit(limit)
