@@ -880,3 +880,67 @@ RECORD = {
 )
 def n7_normalize_records(spark, sf_dir):
     return C.normalize_records(read(spark, sf_dir, "supplier").selectExpr(*[f"{e} AS {c}" for c, e in RECORD.items()]))
+
+
+@query(ctes("people") + f"SELECT id, k.field, k.value FROM (SELECT id, CASE WHEN id % 4 = 0 THEN 'https://www.linkedin.com/in/p-' || CAST(id % 50 AS STRING) END AS url, lower({pick(STAFF_FIRST, 'id')} || ' ' || {pick(STAFF_LAST, 'id')}) AS name FROM people), LATERAL (VALUES ('linkedin', url), ('name', name)) k(field, value) WHERE k.value IS NOT NULL")
+def d4_person_match_keys(spark, sf_dir):
+    p = frame(spark, sf_dir, "people").withColumn("name", F.expr(f"'  ' || upper({pick(STAFF_FIRST, 'id')}) || '   ' || {pick(STAFF_LAST, 'id')}"))
+    return p.select("id", F.explode(person.person_match_keys(F.col("name"), F.col("linkedin_url"))).alias("k")).select("id", "k.field", "k.value")
+
+
+@query(ctes("people") + f"SELECT id, CASE WHEN id % 4 = 0 THEN 'linkedin' ELSE 'name' END AS field, CASE WHEN id % 4 = 0 THEN 'https://www.linkedin.com/in/p-' || CAST(id % 50 AS STRING) ELSE lower({pick(STAFF_FIRST, 'id')} || ' ' || {pick(STAFF_LAST, 'id')}) END AS value FROM people")
+def d11_person_identity(spark, sf_dir):
+    p = frame(spark, sf_dir, "people").withColumn("name", F.expr(f"{pick(STAFF_FIRST, 'id')} || ' ' || upper({pick(STAFF_LAST, 'id')})"))
+    return p.select("id", person.person_identity(F.col("name"), F.col("linkedin_url")).alias("k")).select("id", "k.field", "k.value")
+
+
+@query(f"SELECT * FROM ({SQL['w3_rank_people']}) WHERE rank = 1 AND is_decision_maker")
+def w5_best_decision_maker(spark, sf_dir):
+    return w3_rank_people(spark, sf_dir).where("rank = 1 and is_decision_maker")
+
+
+@query(f"SELECT s_suppkey, CASE s_suppkey % 7 WHEN 0 THEN 'linkedin' WHEN 1 THEN 'x' WHEN 2 THEN 'facebook' WHEN 3 THEN 'youtube' WHEN 5 THEN 'instagram' WHEN 6 THEN 'linkedin' END AS platform, CASE s_suppkey % 7 WHEN 0 THEN 'https://linkedin.com/company/acme-' || s_suppkey || ' https://tiktok.com/@shop' WHEN 1 THEN 'https://tiktok.com/@shop https://x.com/acme' || s_suppkey WHEN 2 THEN 'https://facebook.com/login https://tiktok.com/@shop' WHEN 3 THEN 'https://tiktok.com/@shop https://youtube.com/@acme?t=1' WHEN 4 THEN 'https://tiktok.com/@shop' WHEN 5 THEN 'https://instagram.com/ https://tiktok.com/@shop' ELSE 'https://linkedin.com/in/john-smith https://tiktok.com/@shop' END AS urls FROM supplier")
+def n22_social_platforms(spark, sf_dir):
+    rows = read(spark, sf_dir, "supplier").selectExpr("s_suppkey", f"{SOCIAL} AS u")
+    several = F.array(F.lit("http://www.tiktok.com/@shop/"), F.col("u"), F.lit("https://tiktok.com/@shop"))
+    return rows.select("s_suppkey", social.social_platform(F.col("u")).alias("platform"), F.array_join(social.normalize_social_urls(several), " ").alias("urls"))
+
+
+@query(f"SELECT page_id, len({ANCHORS}) AS n, md5(array_to_string({ANCHORS}, '|')) AS hrefs FROM pages")
+def x3_hrefs(spark, sf_dir):
+    links = read(spark, sf_dir, "pages").select("page_id", extraction.page_hrefs(F.col("html")).alias("h"))
+    return links.select("page_id", F.size("h").cast("long").alias("n"), F.md5(F.array_join("h", "|")).alias("hrefs"))
+
+
+LOOSE = "CASE o_orderkey % 4 WHEN 0 THEN '  ' || o_orderpriority || chr(10) WHEN 1 THEN chr(9) || ' ' WHEN 2 THEN o_orderpriority || '   ' || chr(10) || ' x' END"
+
+
+@query(f"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 2 THEN o_orderpriority || '   ' || chr(10) || ' x' END AS optional, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 2 THEN o_orderpriority || ' x' END AS phone FROM orders")
+def f10_optional_text(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{LOOSE} AS v")
+    return rows.select("o_orderkey", text.optional_text(F.col("v")).alias("optional"), text.business_phone(F.col("v")).alias("phone"))
+
+
+def _people_of(spark, sf_dir, html: str) -> DataFrame:
+    pages = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS company_id", "0 AS page", "'' AS text", f"{html} AS html")
+    return extraction.people(pages).select("company_id", "name", "title", "linkedin_url")
+
+
+STAFF_ROWS = f"SELECT s_suppkey AS company_id, {STAFF} AS name, {STAFF_TITLE} AS title, 'https://www.linkedin.com/in/' || {STAFF_SLUG} AS linkedin_url FROM supplier"
+
+
+@query(STAFF_ROWS)
+def x13_json_ld_people(spark, sf_dir):
+    """A person nested in an organisation, in a list."""
+    return _people_of(spark, sf_dir, f"""'<script type="application/ld+json">[{{"@type": "Organization", "employee": [{{"@type": ["http://schema.org/Person"], "name": " ' || {STAFF} || ' ", "jobTitle": "' || {STAFF_TITLE} || '", "sameAs": ["https://x.com/a", "https://www.linkedin.com/in/' || {STAFF_SLUG} || '"]}}]}}]</script><script type="application/ld+json">not json</script>'""")
+
+
+@query(STAFF_ROWS)
+def x14_microdata_people(spark, sf_dir):
+    return _people_of(spark, sf_dir, f"""'<div itemscope itemtype="https://schema.org/Person"><span itemprop="name">' || {STAFF} || '</span> <span itemprop="jobTitle" content="' || {STAFF_TITLE} || '">x</span><a itemprop="sameAs" href="https://www.linkedin.com/in/' || {STAFF_SLUG} || '">in</a></div>'""")
+
+
+@query(STAFF_ROWS.replace(f"{STAFF_TITLE} AS title", "CAST(NULL AS VARCHAR) AS title"))
+def x17_profile_link_people(spark, sf_dir):
+    """A profile link with nothing around it: the name is that of its slug."""
+    return _people_of(spark, sf_dir, f"""'<p><a href="https://www.linkedin.com/in/' || {STAFF_SLUG} || '/?trk=x">profile</a><a href="https://www.linkedin.com/company/shop">shop</a></p>'""")
