@@ -944,3 +944,11 @@ def x14_microdata_people(spark, sf_dir):
 def x17_profile_link_people(spark, sf_dir):
     """A profile link with nothing around it: the name is that of its slug."""
     return _people_of(spark, sf_dir, f"""'<p><a href="https://www.linkedin.com/in/' || {STAFF_SLUG} || '/?trk=x">profile</a><a href="https://www.linkedin.com/company/shop">shop</a></p>'""")
+
+
+@query(f"WITH s AS (SELECT s_suppkey AS company_id, {STAFF} AS name, {STAFF_TITLE} AS title FROM supplier) SELECT * FROM s UNION ALL SELECT company_id, title, title FROM s WHERE company_id % 2 = 0 AND title = 'Managing Director'")
+def x10_text_people(spark, sf_dir):
+    """Names beside titles in running text, on either side. A title of two capitalised words that aren't both roles passes the rules for names too, as `Managing Director` does where it stands first."""
+    said = f"CASE s_suppkey % 2 WHEN 0 THEN {STAFF_TITLE} || ': ' || {STAFF} ELSE {STAFF} || ', ' || {STAFF_TITLE} END"
+    pages = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS company_id", "0 AS page", f"{said} AS text", "CAST(NULL AS STRING) AS html")
+    return extraction.people(pages).select("company_id", "name", "title")
