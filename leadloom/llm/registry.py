@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, decontamination, media, mixing, quality, sharding, simhash, suffix_dedup, toxicity, url_filters
+from . import archives, decontamination, filter_audit, media, mixing, quality, sharding, simhash, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8,
     "op9_decontamination": decontamination.op9,
     "op10_mixing": mixing.op10,
+    "op12_filter_audit": filter_audit.op12,
 }
 
-SQL = {"op1_url_filters": url_filters.SQL, "op2_warc": archives.SQL, "op9_decontamination": decontamination.SQL}
+SQL = {"op1_url_filters": url_filters.SQL, "op2_warc": archives.SQL, "op9_decontamination": decontamination.SQL, "op12_filter_audit": filter_audit.SQL}
