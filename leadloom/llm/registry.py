@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, decontamination, filter_audit, media, mixing, quality, sharding, simhash, suffix_dedup, token_counts, toxicity, url_filters
+from . import archives, decontamination, filter_audit, lexical_search, media, mixing, quality, sharding, simhash, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_quality": quality.op8,
     "op9_decontamination": decontamination.op9,
     "op10_mixing": mixing.op10,
+    "op11_lexical_search": lexical_search.op11,
     "op12_filter_audit": filter_audit.op12,
     "op13_token_counts": token_counts.op13,
 }
 
-SQL = {"op1_url_filters": url_filters.SQL, "op2_warc": archives.SQL, "op9_decontamination": decontamination.SQL, "op12_filter_audit": filter_audit.SQL}
+SQL = {"op1_url_filters": url_filters.SQL, "op2_warc": archives.SQL, "op9_decontamination": decontamination.SQL, "op11_lexical_search": lexical_search.SQL, "op12_filter_audit": filter_audit.SQL}
