@@ -179,23 +179,23 @@ def best(tree: Tree, terms, weights, ids, k: int, top: list) -> list:
     import heapq
 
     queue = [(0, len(tree.levels) - 1, 0)]
-    at_root = True
+    least = top[-1][0] if len(top) == k else 0  # no node below it can matter
+    root = True
     while queue:
         bound, level, node = heapq.heappop(queue)
-        if not at_root and len(top) == k and -bound < top[-1][0]:
+        if not root and -bound < least:
             break
-        at_root = False
-        children, bounds = tree.open(level, node, terms, weights)
-        for child, most in zip(children, bounds):
-            if len(top) == k and most < top[-1][0]:
-                continue
-            if level:
-                heapq.heappush(queue, (-most, level - 1, child))
-            else:
-                top.append((most, ids[child]))
-        if not level and children:
+        root = False
+        for child, most in zip(*tree.open(level, node, terms, weights)):
+            if most >= least:
+                if level:
+                    heapq.heappush(queue, (-most, level - 1, child))
+                else:
+                    top.append((most, ids[child]))
+        if not level:
             top.sort(key=lambda x: (-x[0], x[1]))
             del top[k:]
+            least = top[-1][0] if len(top) == k else 0
     return top
 
 
