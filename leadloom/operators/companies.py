@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from .components import connected_components
+from .components import checkpointed
 
 FILLED = ("website", "domain", "phone", "country", "city", "address", "category")
 
@@ -40,47 +40,103 @@ def deduplicate_listings(rows: DataFrame, ordinal: str = "ordinal") -> DataFrame
     return marked.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def fold_companies(candidates: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+#: What a company is found by: a domain, a phone, or a name with parts of a location (those that aren't null).
+KEY = ("field", "value", "city", "country", "address")
+PLACE = ("city", "country", "address")
+CHUNKS = 64
+
+
+def lookup_keys() -> Column:
+    """The keys that a candidate looks for, in order of priority: array of struct(priority, *KEY)."""
+    null = F.lit(None).cast("string")
+    located = F.coalesce(*PLACE).isNotNull()
+    one = lambda p, f, v, place: F.struct(F.lit(p).alias("priority"), F.lit(f).alias("field"), v.alias("value"), *[x.alias(n) for x, n in zip(place, PLACE)])
+    keys = [
+        F.when(F.col("domain").isNotNull(), one(1, "domain", F.col("domain"), [null] * 3)), F.when(F.col("phone").isNotNull(), one(2, "phone", F.col("phone"), [null] * 3)),
+        F.when(located & F.col("normalized_name").isNotNull(), one(3, "name", F.col("normalized_name"), [F.col(n) for n in PLACE])),
+    ]
+    return F.array_compact(F.array(*keys))
+
+
+def held_keys(value=F.col, since=lambda name: F.lit(0)) -> Column:
+    """The keys under which a company is found: array of struct(since, *KEY). A name is found under every part of its location, alone and with the others; since(field) is when
+    the company got a field."""
+    null = F.lit(None).cast("string")
+    out = []
+    for f in ("domain", "phone"):
+        out.append(F.when(value(f).isNotNull(), F.struct(since(f).alias("since"), F.lit(f).alias("field"), value(f).alias("value"), *[null.alias(n) for n in PLACE])))
+    for mask in range(1, 1 << len(PLACE)):
+        used = [n for i, n in enumerate(PLACE) if mask >> i & 1]
+        all_there = value("normalized_name").isNotNull()
+        for n in used:
+            all_there &= value(n).isNotNull()
+        last = F.greatest(since("normalized_name"), *[since(n) for n in used])
+        out.append(F.when(all_there, F.struct(last.alias("since"), F.lit("name").alias("field"), value("normalized_name").alias("value"), *[(value(n) if n in used else null).alias(n) for n in PLACE])))
+    return F.array_compact(F.array(*out))
+
+
+def _least_before(held: DataFrame, asked: DataFrame, chunks: int, low: int, high: int) -> DataFrame:
+    """asked (*KEY, at, priority) with `found`: the least company among held (*KEY, since, company) with since < at, or null. A running minimum over time in two levels: within
+    (key, chunk of time), and over the chunks before, of which there is a row for each key that a chunk has. So no key is one task."""
+    chunk = lambda t: F.width_bucket(F.greatest(t, F.lit(low)).cast("double"), F.lit(float(low)), F.lit(float(high) + 1), F.lit(chunks))
+    h = held.withColumn("chunk", chunk(F.col("since")))
+    before = Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # (key, chunk) pairs of both sides, with the least company of earlier chunks
+    a = asked.withColumn("chunk", chunk(F.col("at")))
+    both = h.select(*KEY, "chunk", F.col("since").alias("at"), F.lit(1).alias("held"), "company", F.lit(None).cast("int").alias("priority")).unionByName(
+        a.select(*KEY, "chunk", "at", F.lit(0).alias("held"), F.lit(None).cast("long").alias("company"), "priority"))
+    carried = both.groupBy(*KEY, "chunk").agg(F.min("company").alias("company")).withColumn("earlier", F.min("company").over(before)).where("earlier is not null").drop("company")
+    # what was got at a time counts after it only: a row that asks comes first
+    inside = Window.partitionBy(*KEY, "chunk").orderBy("at", "held").rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("within", F.min("company").over(inside)).where("held = 0").alias("s")
+    c = carried.alias("c")
+    same = F.col("s.chunk") == F.col("c.chunk")
+    for k in KEY:
+        same &= F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}"))
+    return seen.join(c, same, "left").select(*[F.col(f"s.{k}") for k in KEY], "s.at", "s.priority", F.least("s.within", "c.earlier").alias("found"))
+
+
+def fold_companies(candidates: DataFrame, ordinal: str = "ordinal", stored: DataFrame | None = None, chunks: int = CHUNKS) -> DataFrame:
     """Candidates folded in order into companies, as repeated upserts would: each takes the lowest company that its domain matches, or else its phone, or
-    else its name with every part of its location that it has; it fills what that company lacks, or becomes a company.
-
-    Rows that could meet share a component over domain, phone and name; each component is folded on its own. Returns company_ordinal (of the row
-    that began it), the company's columns and the number of rows."""
-    from pyspark.sql import types as T
-
-    spark = candidates.sparkSession
-    c = candidates.withColumn("__id", F.xxhash64(F.lit("row"), F.col(ordinal)))
-    field = lambda f: F.when(F.nullif(F.col(f), F.lit("")).isNotNull(), F.xxhash64(F.lit(f), F.col(f)))
-    edges = c.select(F.col("__id").alias("a"), F.explode(F.array(field("domain"), field("phone"), field("normalized_name"))).alias("b"))
-    nodes = connected_components(edges)
-    joined = c.join(nodes, c["__id"] == nodes["node"], "left").withColumn("component", F.coalesce("component", "__id")).select(ordinal, "component", "name", "normalized_name", *FILLED)
-    schema = T.StructType([T.StructField("company_ordinal", T.LongType()), *[joined.schema[x] for x in ("name", "normalized_name", *FILLED)], T.StructField("rows", T.LongType())])
-
-    def fold(pdf):
-        import pandas as pd
-
-        out, by = [], {}
-        for row in pdf.sort_values(ordinal).to_dict("records"):
-            row = {k: None if v is None or v != v else v for k, v in row.items()}
-            place = [(k, row[k]) for k in ("city", "country", "address") if row[k] is not None]
-            found = next((by[k] for k in (("domain", row["domain"]), ("phone", row["phone"])) if k[1] is not None and k in by), None)
-            if found is None and place:
-                found = next((i for i in by.get(("name", row["normalized_name"]), []) if all(out[i][k] == v for k, v in place)), None)
-            if found is None:
-                found = len(out)
-                out.append({"company_ordinal": row[ordinal], "rows": 0} | {k: row[k] for k in ("name", "normalized_name", *FILLED)})
-                by.setdefault(("name", row["normalized_name"]), []).append(found)
-            company = out[found]
-            company["rows"] += 1
-            for k in FILLED:
-                if company[k] is None:
-                    company[k] = row[k]
-            for k in ("domain", "phone"):
-                if company[k] is not None and by.get((k, company[k]), found) >= found:
-                    by[(k, company[k])] = found
-        return pd.DataFrame(out, columns=[f.name for f in schema])
-
-    return joined.groupBy("component").applyInPandas(fold, schema)
+    else its name with every part of its location that it has; it fills what that company lacks, or becomes a company. `stored` companies (with an ordinal below all
+    candidates') are there from the start; they are never folded into each other. Ordinals are unique.
+
+    What a candidate takes depends on candidates before it only. So the fold is the one assignment that gives itself: from any assignment follow the fields that each company has
+    and since when, from these what each candidate finds at its turn, and that is the next assignment, until nothing changes. Each round settles at least the first open candidate
+    of every group that hangs together; usually all settle in a few. A round is joins and windows over keys, split by time: no group is gathered in one task.
+
+    Returns company_ordinal (of the row that began it), the company's columns and the number of rows, the stored one included."""
+    columns = ["name", "normalized_name", *FILLED]
+    rows = candidates.select(F.col(ordinal).cast("long").alias("o"), *columns, F.lit(False).alias("fixed"))
+    if stored is not None:
+        rows = rows.unionByName(stored.select(F.col(ordinal).cast("long").alias("o"), *columns, F.lit(True).alias("fixed")))
+    rows = checkpointed(rows)
+    low, high = rows.where("not fixed").agg(F.min("o"), F.max("o")).first()
+    fields = ["normalized_name", *FILLED]
+    company = F.col("company")
+    first = lambda f: F.min(F.when(F.col(f).isNotNull(), F.struct("o", F.col(f).alias("v")))).alias(f)
+    if low is not None:
+        # only rows that share a value with another row can meet
+        values = rows.select("o", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in ("domain", "phone", "normalized_name")])).alias("k")).where("k.v is not null").select("o", "k.*")
+        shared = values.groupBy("f", "v").agg(F.count("*").alias("n")).where("n > 1").select("f", "v")
+        meeting = values.join(shared, ["f", "v"], "left_semi").select("o").distinct()
+        active = checkpointed(rows.join(meeting, "o", "left_semi"))
+        asked = checkpointed(active.where("not fixed").select(F.col("o").alias("at"), F.explode(lookup_keys()).alias("k")).select("at", "k.*"))
+        now, seen = active.select("o", F.col("o").alias("company")), None
+        while True:
+            has = active.join(now, "o").groupBy("company").agg(*[first(f) for f in fields])
+            held = has.select("company", F.explode(held_keys(lambda f: F.col(f"{f}.v"), lambda f: F.col(f"{f}.o"))).alias("k")).select("company", "k.*")
+            best = _least_before(held, asked, chunks, low, high).where("found is not null").groupBy(F.col("at").alias("o")).agg(F.min(F.struct("priority", F.col("found").alias("company")))["company"].alias("found"))
+            now = checkpointed(active.select("o").join(best, "o", "left").select("o", F.coalesce("found", "o").alias("company")))
+            state = now.agg(F.sum(F.xxhash64("o", "company").cast("decimal(20,0)"))).first()[0]
+            if state == seen:
+                break
+            seen = state
+        rows = rows.join(now, "o", "left")
+    else:
+        rows = rows.withColumn("company", F.col("o"))
+    out = rows.groupBy(F.coalesce(company, F.col("o")).alias("company_ordinal")).agg(F.min_by("name", "o").alias("name"), F.min_by("normalized_name", "o").alias("normalized_name"), *[first(f) for f in FILLED], F.count("*").alias("rows"))
+    return out.select("company_ordinal", "name", "normalized_name", *[F.col(f"{f}.v").alias(f) for f in FILLED], "rows")
 
 
 def upsert_snapshot(stored: DataFrame, incoming: DataFrame, key: str, fill: list[str]) -> DataFrame:

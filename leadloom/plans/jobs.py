@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import emails, person
 from ..operators import companies as C
 from ..operators import extraction, identity, leads, ledger, observations, outreach, state
+from ..operators.components import checkpointed
 from ..sources import readers
 from ..sources.providers import fallback_classification
 from ..sources.schemas import durable_id
+from ..sources.store import Store, least
 
 
 #: Ids of stored companies, less this, come before every ordinal of a listing.
@@ -24,12 +26,82 @@ def acquire(listings: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
     new = C.normalize_records(listings)
     known = stored.withColumn("ordinal", F.col("id") - STORED)
     columns = ["ordinal", "name", "normalized_name", *C.FILLED]
-    folded = C.fold_companies(known.select(*columns).unionByName(new.select(*columns)))
+    folded = C.fold_companies(new.select(*columns), stored=known.select(*columns))
     found = folded.withColumn("outcome", F.when(F.col("company_ordinal") >= 0, "new").otherwise("stored"))
     counters = found.agg(F.sum(F.when(F.col("outcome") == "new", F.col("rows")).otherwise(F.col("rows") - 1)).alias("found"), F.count_if(F.col("outcome") == "new").alias("new"))
     return {"companies": found, "counters": counters.withColumn("duplicates", F.col("found") - F.col("new"))}
 
 
+COMPANIES = f"id long, name string, normalized_name string, {', '.join(f'{c} string' for c in C.FILLED)}, rows long"
+COMPANY_KEYS = f"{', '.join(f'{k} string' for k in C.KEY)}, id long"
+
+
+def company_stores(spark: SparkSession, path: str, buckets: int = 64) -> tuple[Store, Store]:
+    """(companies by id, index): the index has each key under which a company is found, and the lowest company that it finds."""
+    return Store(spark, f"{path}/companies", COMPANIES, ["id"], buckets), Store(spark, f"{path}/keys", COMPANY_KEYS, list(C.KEY), buckets)
+
+
+def acquire_run(companies: Store, index: Store, run: str, listings: DataFrame) -> DataFrame:
+    """One run of acquisition into stored companies: listings (with ordinals above those of all runs before) are folded as if all runs were one, and a company's id is the ordinal
+    of the listing that began it. Returns the run's counters.
+
+    Only what the listings can meet is read: their keys are looked up in the index, and the companies that it names are the only stored ones that the fold sees. That is enough: a
+    candidate takes the lowest company of a key, and among those stored before the run that is the one in the index. Companies that changed are put in place of their
+    buckets, and their keys into the index's. Repeating a run that was lost half-way leaves the tables as if it had run once."""
+    columns = ["name", "normalized_name", *C.FILLED]
+    new = C.normalize_records(listings).select("ordinal", *columns)
+    asked = new.select(F.explode(C.lookup_keys()).alias("k")).select(*[F.col(f"k.{k}") for k in C.KEY]).distinct()
+    known = companies.among(index.among(asked).select("id"))
+    folded = C.fold_companies(new, stored=known.withColumn("ordinal", F.col("id") - STORED).select("ordinal", *columns))
+    old = F.col("company_ordinal") < 0
+    deltas = folded.withColumns({"id": F.when(old, F.col("company_ordinal") + STORED).otherwise(F.col("company_ordinal")), "found": F.col("rows") - old.cast("int")}).where("found > 0")
+    deltas = checkpointed(deltas.select("id", *columns, F.col("found").alias("rows"), (~old).alias("is_new")))
+    counters = checkpointed(deltas.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("found"), F.count_if("is_new").alias("new")).withColumn("duplicates", F.col("found") - F.col("new")))
+
+    def merge(current, changed):
+        c, d = current.alias("c"), changed.alias("d")
+        picked = [F.coalesce(f"d.{x}", f"c.{x}").alias(x) for x in columns]
+        return c.join(d, "id", "full").select("id", *picked, (F.coalesce("c.rows", F.lit(0)) + F.coalesce("d.rows", F.lit(0))).alias("rows"))
+
+    companies.update(run, deltas.drop("is_new"), merge)
+    index.update(run, deltas.select("id", F.explode(C.held_keys()).alias("k")).select(*[F.col(f"k.{k}") for k in C.KEY], "id"), least(list(C.KEY), "id"))
+    return counters
+
+
+PROVENANCE = "id long, company_id long, source_id int, external_id string, collected_at timestamp, lone long"
+
+
+def provenance_store(spark: SparkSession, path: str, buckets: int = 64) -> Store:
+    """Source records by (source, external id); `lone` is the id of a record without an external one, which is a key of its own."""
+    return Store(spark, path, PROVENANCE, ["source_id", "external_id", "lone"], buckets)
+
+
+def record_provenance(store: Store, run: str, records: DataFrame) -> None:
+    """Records of a run: the latest one of each (source, external id) stays; those without an external id are all added."""
+    own = records.withColumn("lone", F.when(F.col("external_id").isNull(), F.col("id")))
+    store.update(run, own, lambda current, deltas: C.provenance(current.unionByName(deltas.select(*current.columns))))
+
+
+STATES = "company_id long, stage string, status string, attempts int, error_type string, error_message string, completed_at timestamp, updated_at timestamp"
+
+
+def state_store(spark: SparkSession, path: str, buckets: int = 64) -> Store:
+    """Stage states by company and stage."""
+    return Store(spark, path, STATES, ["company_id", "stage"], buckets)
+
+
+def store_outcomes(states: Store, run: str, outcomes: DataFrame, now: datetime) -> None:
+    """Outcomes (company_id, stage, ok, error_type, error_message) of a run into the stored states."""
+    states.update(run, outcomes, lambda current, deltas: state.advance(current, deltas, now))
+
+
+def store_emails(people: Store, run: str, seen: DataFrame) -> None:
+    """Qualified addresses (person_id, email, attempt, is_qualified) into stored people; addresses of people who aren't stored are left out."""
+    known = people.among(seen.where("is_qualified").select(F.col("person_id").alias("id")))
+    mine = seen.where("is_qualified").join(known.select(F.col("id").alias("person_id")), "person_id", "left_semi")
+    people.update(run, mine.withColumn("id", F.col("person_id")), lambda current, deltas: outreach.update_emails(current, deltas))
+
+
 def enrich(companies: DataFrame, crawls: DataFrame, states: DataFrame, now: datetime, max_age: timedelta = timedelta(days=30), region: str | None = None) -> dict[str, DataFrame]:
     """Contacts and people of the companies whose stages aren't completed, from crawls (company_id, page, url, text, html, collected_at).
 
