@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from .components import checkpointed
+from ..sources.store import materialized
 
 FILLED = ("website", "domain", "phone", "country", "city", "address", "category")
 
@@ -76,24 +76,17 @@ def held_keys(value=F.col, since=lambda name: F.lit(0)) -> Column:
 
 
 def _least_before(held: DataFrame, asked: DataFrame, chunks: int, low: int, high: int) -> DataFrame:
-    """asked (*KEY, at, priority) with `found`: the least company among held (*KEY, since, company) with since < at, or null. A running minimum over time in two levels: within
+    """asked (key, at, priority) with `found`: the least company among held (key, since, company) with since < at, or null. A running minimum over time in two levels: within
     (key, chunk of time), and over the chunks before, of which there is a row for each key that a chunk has. So no key is one task."""
-    chunk = lambda t: F.width_bucket(F.greatest(t, F.lit(low)).cast("double"), F.lit(float(low)), F.lit(float(high) + 1), F.lit(chunks))
-    h = held.withColumn("chunk", chunk(F.col("since")))
-    before = Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    # (key, chunk) pairs of both sides, with the least company of earlier chunks
-    a = asked.withColumn("chunk", chunk(F.col("at")))
-    both = h.select(*KEY, "chunk", F.col("since").alias("at"), F.lit(1).alias("held"), "company", F.lit(None).cast("int").alias("priority")).unionByName(
-        a.select(*KEY, "chunk", "at", F.lit(0).alias("held"), F.lit(None).cast("long").alias("company"), "priority"))
-    carried = both.groupBy(*KEY, "chunk").agg(F.min("company").alias("company")).withColumn("earlier", F.min("company").over(before)).where("earlier is not null").drop("company")
+    both = held.select("key", F.col("since").alias("at"), F.lit(1).alias("held"), "company", F.lit(None).cast("int").alias("priority")).unionByName(
+        asked.select("key", "at", F.lit(0).alias("held"), F.lit(None).cast("long").alias("company"), "priority"))
+    both = both.withColumn("chunk", F.width_bucket(F.greatest("at", F.lit(low)).cast("double"), F.lit(float(low)), F.lit(float(high) + 1), F.lit(chunks)))
+    before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("key", "chunk").agg(F.min("company").alias("company")).select("key", "chunk", F.min("company").over(before).alias("earlier")).where("earlier is not null")
     # what was got at a time counts after it only: a row that asks comes first
-    inside = Window.partitionBy(*KEY, "chunk").orderBy("at", "held").rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumn("within", F.min("company").over(inside)).where("held = 0").alias("s")
-    c = carried.alias("c")
-    same = F.col("s.chunk") == F.col("c.chunk")
-    for k in KEY:
-        same &= F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}"))
-    return seen.join(c, same, "left").select(*[F.col(f"s.{k}") for k in KEY], "s.at", "s.priority", F.least("s.within", "c.earlier").alias("found"))
+    inside = Window.partitionBy("key", "chunk").orderBy("at", "held").rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("within", F.min("company").over(inside)).where("held = 0")
+    return seen.join(carried, ["key", "chunk"], "left").select("key", "at", "priority", F.least("within", "earlier").alias("found"))
 
 
 def fold_companies(candidates: DataFrame, ordinal: str = "ordinal", stored: DataFrame | None = None, chunks: int = CHUNKS) -> DataFrame:
@@ -110,32 +103,27 @@ def fold_companies(candidates: DataFrame, ordinal: str = "ordinal", stored: Data
     rows = candidates.select(F.col(ordinal).cast("long").alias("o"), *columns, F.lit(False).alias("fixed"))
     if stored is not None:
         rows = rows.unionByName(stored.select(F.col(ordinal).cast("long").alias("o"), *columns, F.lit(True).alias("fixed")))
-    rows = checkpointed(rows)
-    low, high = rows.where("not fixed").agg(F.min("o"), F.max("o")).first()
-    fields = ["normalized_name", *FILLED]
-    company = F.col("company")
+    # only rows that share a value with another row can meet
+    values = rows.select("o", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in ("domain", "phone", "normalized_name")])).alias("k")).where("k.v is not null")
+    meeting = values.join(values.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k", "left_semi").groupBy("o").agg(F.lit(True).alias("meets"))
+    rows = materialized(rows.join(meeting, "o", "left").withColumn("meets", F.coalesce("meets", F.lit(False))), "fold")
+    low, high = rows.where("meets and not fixed").agg(F.min("o"), F.max("o")).first()
     first = lambda f: F.min(F.when(F.col(f).isNotNull(), F.struct("o", F.col(f).alias("v")))).alias(f)
-    if low is not None:
-        # only rows that share a value with another row can meet
-        values = rows.select("o", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in ("domain", "phone", "normalized_name")])).alias("k")).where("k.v is not null").select("o", "k.*")
-        shared = values.groupBy("f", "v").agg(F.count("*").alias("n")).where("n > 1").select("f", "v")
-        meeting = values.join(shared, ["f", "v"], "left_semi").select("o").distinct()
-        active = checkpointed(rows.join(meeting, "o", "left_semi"))
-        asked = checkpointed(active.where("not fixed").select(F.col("o").alias("at"), F.explode(lookup_keys()).alias("k")).select("at", "k.*"))
-        now, seen = active.select("o", F.col("o").alias("company")), None
-        while True:
-            has = active.join(now, "o").groupBy("company").agg(*[first(f) for f in fields])
-            held = has.select("company", F.explode(held_keys(lambda f: F.col(f"{f}.v"), lambda f: F.col(f"{f}.o"))).alias("k")).select("company", "k.*")
-            best = _least_before(held, asked, chunks, low, high).where("found is not null").groupBy(F.col("at").alias("o")).agg(F.min(F.struct("priority", F.col("found").alias("company")))["company"].alias("found"))
-            now = checkpointed(active.select("o").join(best, "o", "left").select("o", F.coalesce("found", "o").alias("company")))
-            state = now.agg(F.sum(F.xxhash64("o", "company").cast("decimal(20,0)"))).first()[0]
-            if state == seen:
-                break
-            seen = state
-        rows = rows.join(now, "o", "left")
-    else:
-        rows = rows.withColumn("company", F.col("o"))
-    out = rows.groupBy(F.coalesce(company, F.col("o")).alias("company_ordinal")).agg(F.min_by("name", "o").alias("name"), F.min_by("normalized_name", "o").alias("normalized_name"), *[first(f) for f in FILLED], F.count("*").alias("rows"))
+    key = F.struct(*[F.col(f"k.{k}") for k in KEY]).alias("key")
+    now, seen = rows.where("meets").withColumn("company", F.col("o")), None
+    asked = rows.where("meets and not fixed").select(F.col("o").alias("at"), F.explode(lookup_keys()).alias("k")).select("at", "k.priority", key)
+    while low is not None:
+        has = now.groupBy("company").agg(*[first(f) for f in ("normalized_name", *FILLED)])
+        held = has.select("company", F.explode(held_keys(lambda f: F.col(f"{f}.v"), lambda f: F.col(f"{f}.o"))).alias("k")).select("company", "k.since", key)
+        best = _least_before(held, asked, chunks, low, high).where("found is not null").groupBy(F.col("at").alias("o")).agg(F.min(F.struct("priority", "found"))["found"].alias("found"))
+        took = now.drop("company").join(best, "o", "left").withColumn("company", F.coalesce("found", "o")).drop("found")
+        told = Observation()
+        now = materialized(took.observe(told, F.sum(F.xxhash64("o", "company").cast("decimal(20,0)")).alias("state")), "fold")
+        if told.get["state"] == seen:
+            break
+        seen = told.get["state"]
+    rows = now.unionByName(rows.where("not meets").withColumn("company", F.col("o")))
+    out = rows.groupBy(F.col("company").alias("company_ordinal")).agg(F.min_by("name", "o").alias("name"), F.min_by("normalized_name", "o").alias("normalized_name"), *[first(f) for f in FILLED], F.count("*").alias("rows"))
     return out.select("company_ordinal", "name", "normalized_name", *[F.col(f"{f}.v").alias(f) for f in FILLED], "rows")
 
 

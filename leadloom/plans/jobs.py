@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import emails, person
 from ..operators import companies as C
 from ..operators import extraction, identity, leads, ledger, observations, outreach, state
-from ..operators.components import checkpointed
 from ..sources import readers
 from ..sources.providers import fallback_classification
 from ..sources.schemas import durable_id
@@ -49,14 +48,17 @@ def acquire_run(companies: Store, index: Store, run: str, listings: DataFrame) -
     candidate takes the lowest company of a key, and among those stored before the run that is the one in the index. Companies that changed are put in place of their
     buckets, and their keys into the index's. Repeating a run that was lost half-way leaves the tables as if it had run once."""
     columns = ["name", "normalized_name", *C.FILLED]
-    new = C.normalize_records(listings).select("ordinal", *columns)
-    asked = new.select(F.explode(C.lookup_keys()).alias("k")).select(*[F.col(f"k.{k}") for k in C.KEY]).distinct()
-    known = companies.among(index.among(asked).select("id"))
-    folded = C.fold_companies(new, stored=known.withColumn("ordinal", F.col("id") - STORED).select("ordinal", *columns))
-    old = F.col("company_ordinal") < 0
-    deltas = folded.withColumns({"id": F.when(old, F.col("company_ordinal") + STORED).otherwise(F.col("company_ordinal")), "found": F.col("rows") - old.cast("int")}).where("found > 0")
-    deltas = checkpointed(deltas.select("id", *columns, F.col("found").alias("rows"), (~old).alias("is_new")))
-    counters = checkpointed(deltas.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("found"), F.count_if("is_new").alias("new")).withColumn("duplicates", F.col("found") - F.col("new")))
+
+    def changes():
+        new = C.normalize_records(listings).select("ordinal", *columns)
+        asked = new.select(F.explode(C.lookup_keys()).alias("k")).select(*[F.col(f"k.{k}") for k in C.KEY]).distinct()
+        known = companies.among(index.among(asked).select("id"))
+        folded = C.fold_companies(new, stored=known.withColumn("ordinal", F.col("id") - STORED).select("ordinal", *columns))
+        old = F.col("company_ordinal") < 0
+        found = folded.withColumns({"id": F.when(old, F.col("company_ordinal") + STORED).otherwise(F.col("company_ordinal")), "found": F.col("rows") - old.cast("int")}).where("found > 0")
+        return found.select("id", *columns, F.col("found").alias("rows"), (~old).alias("is_new"))
+
+    deltas = companies.planned(run, changes)
 
     def merge(current, changed):
         c, d = current.alias("c"), changed.alias("d")
@@ -65,7 +67,7 @@ def acquire_run(companies: Store, index: Store, run: str, listings: DataFrame) -
 
     companies.update(run, deltas.drop("is_new"), merge)
     index.update(run, deltas.select("id", F.explode(C.held_keys()).alias("k")).select(*[F.col(f"k.{k}") for k in C.KEY], "id"), least(list(C.KEY), "id"))
-    return counters
+    return deltas.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("found"), F.count_if("is_new").alias("new")).withColumn("duplicates", F.col("found") - F.col("new"))
 
 
 PROVENANCE = "id long, company_id long, source_id int, external_id string, collected_at timestamp, lone long"

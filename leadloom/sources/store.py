@@ -7,7 +7,8 @@ one after the other; until an update has ended readers may see some of its bucke
 
     path/live/bucket=7/...      the table
     path/runs/<run>/bucket=7/   the buckets that the run changed, as it left them
-    path/log                    (run, step): stored, then applied
+    path/plans/<run>            rows that a run of several tables goes by
+    path/log                    (run, step): planned, stored, applied
 """
 
 from __future__ import annotations
@@ -34,6 +35,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/leadloom/{name}-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, and a lost executor costs nothing of what came before."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """A table of unique keys. A null in a key is a value like any other."""
 
@@ -80,6 +88,14 @@ class Store:
     def _note(self, run: str, step: str) -> None:
         self.spark.createDataFrame([(run, step)], "run string, step string").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
+    def planned(self, run: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """make()'s rows, stored for the run: one that is repeated goes on with the same rows, whatever it has changed already."""
+        path = f"{self.path}/plans/{run}"
+        if "planned" not in self._steps(run):
+            make().write.mode("overwrite").parquet(path)
+            self._note(run, "planned")
+        return self.spark.read.parquet(path)
+
     def update(self, run: str, deltas: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """Put merge(current, deltas) in place of the buckets that the deltas' keys fall in. `current` are those buckets' rows; merge keeps every one of them (changed or not)
         and adds new ones. `run` names the update: repeated, it changes nothing."""
