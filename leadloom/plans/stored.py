@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import companies as C
 from ..operators import outreach, state
 from ..sources.store import Store, shared_path
+from ..streaming import crawl_states
 from . import jobs
 from .base import ctes, frame, read
 from .catalogue import SQL, query
@@ -90,3 +91,34 @@ def t2_stored_states(spark, sf_dir):
     for _ in range(2):
         jobs.store_outcomes(states, "2024-02-01", outcomes, datetime(2024, 2, 1))
     return states.read().select("company_id", "stage", "status", "attempts", "error_type")
+
+
+# Streams ---------------------------------------------------------------------------------------------------------------
+
+_KIND = "CASE WHEN event_id % 3 = 0 OR event_type = 'click' THEN 'started' WHEN value > 40 THEN 'completed' ELSE 'failed' END"
+_LEGAL = " OR ".join(f"(s.status = '{a}' AND w = '{b}')" for a, bs in state.TRANSITIONS.items() for b in bs)
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY seq) AS n FROM (SELECT event_id AS seq, user_id AS company_id, {_KIND} AS kind, ts AS t, event_id * 10 AS crawl_id, CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 1 HOUR END AS next_retry_at FROM events)), "
+    "s AS (SELECT DISTINCT company_id, 0::BIGINT AS n, 'pending' AS status, 0 AS attempts, NULL::BIGINT AS last_crawl_id, NULL::TIMESTAMP AS started_at, NULL::TIMESTAMP AS completed_at, NULL::TIMESTAMP AS failed_at, NULL::TIMESTAMP AS next_retry_at, NULL::VARCHAR AS error_type FROM e "
+    "UNION ALL SELECT x.company_id, x.n, CASE WHEN ok THEN w ELSE x.status END, CASE WHEN ok AND w = 'running' THEN attempts + 1 ELSE attempts END, CASE WHEN ok AND w = 'completed' THEN crawl_id ELSE last_crawl_id END, "
+    "CASE WHEN ok AND w = 'running' THEN t ELSE started_at END, CASE WHEN ok AND w = 'completed' THEN t ELSE completed_at END, CASE WHEN NOT ok THEN failed_at WHEN w IN ('failed', 'retrying') THEN t END, "
+    "CASE WHEN NOT ok THEN old_retry WHEN w = 'retrying' THEN new_retry END, CASE WHEN NOT ok THEN error_type WHEN w IN ('failed', 'retrying') THEN 'TimeoutError' END FROM ("
+    f"SELECT e.company_id, e.n, s.status, s.attempts, s.last_crawl_id, s.started_at, s.completed_at, s.failed_at, s.next_retry_at AS old_retry, e.next_retry_at AS new_retry, s.error_type, e.t, e.crawl_id, w, ({_LEGAL}) AS ok "
+    "FROM s JOIN (SELECT *, CASE kind WHEN 'started' THEN 'running' WHEN 'completed' THEN 'completed' ELSE CASE WHEN next_retry_at IS NULL THEN 'failed' ELSE 'retrying' END END AS w FROM e) e ON e.company_id = s.company_id AND e.n = s.n + 1) x) "
+    "SELECT company_id, status, attempts, last_crawl_id, started_at, completed_at, failed_at, next_retry_at, error_type FROM s QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY n DESC) = 1"
+)
+def t4_crawl_state_stream(spark, sf_dir):
+    """Crawl events as a stream into the state store, and from there into a stored table."""
+    raw = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, since a single file is no folder to watch
+    at = F.col("ts").cast("timestamp")
+    events = raw.select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("company_id"), F.expr(_KIND).alias("kind"), at.alias("at"), (F.col("event_id") * 10).alias("crawl_id"), F.lit("TimeoutError").alias("error_type"),
+        F.lit("slow").alias("error_message"), F.when(F.col("event_id") % 2 == 0, at + F.expr("INTERVAL 1 HOUR")).alias("next_retry_at"),
+    )
+    folder = shared_path(spark, "crawl-states")
+    store = crawl_states.state_store(spark, f"{folder}/states", buckets=8)
+    crawl_states.run_once(spark, events, store, f"{folder}/checkpoint")
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "completed_at", "failed_at", "next_retry_at")}
+    return store.read().withColumns(times).drop("seq", "error_message")
