@@ -83,3 +83,14 @@ def classification_lookup(classified: DataFrame) -> DataFrame:
     one = classified.select(F.explode("keys").alias("k"), "role_group", "confidence", "is_decision_maker", rank.alias("rank"))
     best = F.min_by(F.struct("role_group", "confidence", "is_decision_maker"), "rank")
     return one.groupBy("k.field", "k.value").agg(best.alias("b")).select("field", "value", "b.*")
+
+
+def classify(people: DataFrame, classified: DataFrame) -> DataFrame:
+    """people (person_id, keys, ...) with the classification of the first of their keys that has one, and that key's field as matched_by. Keys stand in order of strength (profile, then
+    name); people whose keys all have none get the role `unknown` with low confidence. Both sides go to their keys once, all kinds of key together."""
+    known = classification_lookup(classified).select("field", "value", F.struct(F.col("field").alias("matched_by"), "role_group", "confidence", "is_decision_maker").alias("found"))
+    asked = people.select("person_id", F.posexplode("keys").alias("priority", "key")).select("person_id", "priority", F.col("key.field").alias("field"), F.col("key.value").alias("value"))
+    first = asked.join(known, ["field", "value"]).groupBy("person_id").agg(F.min_by("found", "priority").alias("found"))
+    default = {"role_group": F.lit("unknown"), "confidence": F.lit("low"), "is_decision_maker": F.lit(False)}
+    rows = people.join(first, "person_id", "left").select(*people.columns, "found")
+    return rows.select(*people.columns, *[F.when(F.col("found").isNotNull(), F.col(f"found.{c}")).otherwise(d).alias(c) for c, d in default.items()], "found.matched_by")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import companies as C
-from ..operators import outreach, state
+from ..operators import bitmaps, outreach, standing, state
+from ..sources import crawl_tables
 from ..sources.store import Store, shared_path
 from ..streaming import crawl_states
 from . import jobs
@@ -122,3 +123,112 @@ def t4_crawl_state_stream(spark, sf_dir):
     crawl_states.run_once(spark, events, store, f"{folder}/checkpoint")
     times = {c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "completed_at", "failed_at", "next_retry_at")}
     return store.read().withColumns(times).drop("seq", "error_message")
+
+
+# Latest rows that stand -------------------------------------------------------------------------------------------------
+
+
+def _standing(spark: SparkSession, rows: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
+    """The standing latest rows after the parts of a history, which come in the given order."""
+    store = standing.latest_store(spark, shared_path(spark, "latest"), rows, keys, buckets=8)
+    for i, part in enumerate(parts):
+        standing.merge_latest(store, f"batch-{i}", rows.where(part))
+    return store.read()
+
+
+@query(ctes("performance") + "SELECT company_id, id, performance_score, seo_score, observed_at FROM performance QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY observed_at DESC, id DESC) = 1")
+def a3_standing_performance(spark, sf_dir):
+    """Three batches, the latest of them first, and one of them twice."""
+    rows = frame(spark, sf_dir, "performance").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    late = _standing(spark, rows, ["company_id"], ["id % 3 = 2", "id % 3 = 0", "id % 3 = 2", "id % 3 = 1"])
+    return late.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+
+
+@query(ctes("stages") + "SELECT company_id, max(completed_at) AS completed_at FROM stages GROUP BY company_id")
+def a4_standing_completion(spark, sf_dir):
+    rows = frame(spark, sf_dir, "stages").select("company_id", F.col("completed_at").cast("timestamp").alias("completed_at"), "id")
+    store = Store(spark, shared_path(spark, "completed"), "company_id long, completed_at timestamp", ["company_id"], buckets=8)
+    for run in (1, 0):
+        standing.merge_largest(store, f"batch-{run}", rows.where(F.col("id") % 2 == run), "completed_at")
+    return store.read().withColumn("completed_at", F.col("completed_at").cast("timestamp_ntz"))
+
+
+@query(ctes("observations") + "SELECT person_id, id, role_group, decision_maker_score FROM observations WHERE decision_maker_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY observed_at DESC, id DESC) = 1")
+def a5_standing_scores(spark, sf_dir):
+    """Each person's latest observation that has a score."""
+    rows = frame(spark, sf_dir, "observations").where("decision_maker_score is not null").select("person_id", "id", "role_group", "decision_maker_score", F.col("observed_at").cast("timestamp").alias("observed_at"))
+    return _standing(spark, rows, ["person_id"], ["id % 2 = 1", "id % 2 = 0"]).drop("observed_at")
+
+
+@query("SELECT user_id AS company_id, event_type AS url, arg_max(event_id, (ts, event_id)) AS crawl_id FROM events GROUP BY ALL")
+def a6_standing_crawls(spark, sf_dir):
+    """The latest crawl of each company and url."""
+    rows = read(spark, sf_dir, "events").selectExpr("user_id AS company_id", "event_type AS url", "event_id AS id", "CAST(ts AS timestamp) AS observed_at")
+    return _standing(spark, rows, ["company_id", "url"], ["id % 2 = 1", "id % 2 = 0"]).select("company_id", "url", F.col("id").alias("crawl_id"))
+
+
+# Sets of ids ------------------------------------------------------------------------------------------------------------
+
+
+@query(ctes("companies", "contacts") + "SELECT company_id, id, kind FROM contacts WHERE company_id IN (SELECT id FROM companies WHERE website <> '' AND country LIKE '%A%')")
+def j6_load_by_bitmap(spark, sf_dir):
+    """The contacts of chosen companies: the choice goes to them as a bitmap, and they stay where they lie."""
+    chosen = frame(spark, sf_dir, "companies").where("website <> '' and country like '%A%'")
+    return bitmaps.members(frame(spark, sf_dir, "contacts"), "company_id", bitmaps.bitmap(chosen, "id")).select("company_id", "id", "kind")
+
+
+@query(ctes("companies", "people") + "SELECT id, company_id FROM people WHERE id NOT IN (SELECT id FROM companies)")
+def j6_not_in_bitmap(spark, sf_dir):
+    return bitmaps.members(frame(spark, sf_dir, "people"), "id", bitmaps.bitmap(frame(spark, sf_dir, "companies"), "id"), inside=False).select("id", "company_id")
+
+
+@query("SELECT coalesce(event_type, 'any') AS stage, count(DISTINCT user_id) AS companies FROM events WHERE value > 60 GROUP BY ROLLUP (event_type)")
+def j6_distinct_over_stages(spark, sf_dir):
+    """How many companies completed each stage, and any of them: the bitmaps of the stages are united, no id is counted again."""
+    done = bitmaps.bitmap(read(spark, sf_dir, "events").where("value > 60"), "user_id", ["event_type"])
+    each = bitmaps.sizes(done, ["event_type"]).select(F.col("event_type").alias("stage"), F.col("ids").alias("companies"))
+    return each.unionByName(bitmaps.sizes(bitmaps.united(done), []).select(F.lit("any").alias("stage"), F.col("ids").alias("companies")))
+
+
+# Stored crawls ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH s AS (SELECT page_id % 40 AS company_id, max(page_id) AS crawl_id FROM pages GROUP BY ALL) SELECT company_id, crawl_id, url, octet_length(encode(html)) AS n, "
+    "list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS links FROM s JOIN pages ON page_id = crawl_id"
+)
+def g8_last_crawls(spark, sf_dir):
+    """The page and the links of each company's last crawl, from bucketed tables."""
+    pages = read(spark, sf_dir, "pages")
+    null = F.lit(None).cast("string")
+    crawls = pages.select(F.col("page_id").alias("id"), "url", F.lit(200).alias("status_code"), "html", null.alias("text"), null.alias("title"), null.alias("meta_description"), F.lit(None).cast("timestamp").alias("collected_at"))
+    links = pages.select(F.col("page_id").alias("website_crawl_id"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("url"))
+    folder = shared_path(spark, "crawls")
+    name = "crawls_" + folder.rpartition("-")[2]
+    crawl_tables.write_crawls(crawls, links, name, folder, buckets=8)
+    states = pages.groupBy((F.col("page_id") % 40).alias("company_id")).agg(F.max("page_id").alias("last_crawl_id"))
+    return crawl_tables.last_crawls(spark, name, states).select("company_id", "crawl_id", "url", F.octet_length("html").cast("long").alias("n"), "links")
+
+
+# Identity keys ----------------------------------------------------------------------------------------------------------
+
+_ROLE = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'primary' WHEN '2' THEN 'secondary' WHEN '3' THEN 'professional' ELSE 'unknown' END"
+_SURE = "CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END"
+_PROFILE = "CASE WHEN {0} % 3 = 0 THEN 'linkedin.com/in/p' || CAST({0} % 700 AS STRING) END"
+
+
+@query(
+    f"WITH c AS (SELECT o_orderkey AS n, {_PROFILE.format('o_orderkey')} AS linkedin, CASE WHEN o_orderkey % 7 <> 0 THEN 'person ' || CAST(o_custkey % 900 AS STRING) END AS name, {_ROLE} AS role_group, {_SURE} AS confidence, o_orderkey % 4 = 0 AS is_decision_maker FROM orders), "
+    "k AS (SELECT 'linkedin' AS field, linkedin AS value, * FROM c WHERE linkedin IS NOT NULL UNION ALL SELECT 'name', name, * FROM c WHERE name IS NOT NULL), "
+    "b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY field, value ORDER BY is_decision_maker DESC, CASE role_group WHEN 'primary' THEN 0 WHEN 'secondary' THEN 1 WHEN 'professional' THEN 2 ELSE 4 END, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, n) = 1), "
+    f"p AS (SELECT c_custkey AS person_id, {_PROFILE.format('c_custkey')} AS linkedin, 'person ' || CAST(c_custkey % 1100 AS STRING) AS name FROM customer) "
+    "SELECT person_id, coalesce(l.role_group, n.role_group, 'unknown') AS role_group, coalesce(l.confidence, n.confidence, 'low') AS confidence, coalesce(l.is_decision_maker, n.is_decision_maker, false) AS is_decision_maker, coalesce(l.field, n.field) AS matched_by "
+    "FROM p LEFT JOIN b l ON l.field = 'linkedin' AND l.value = p.linkedin LEFT JOIN b n ON n.field = 'name' AND n.value = p.name"
+)
+def g14_classify_by_keys(spark, sf_dir):
+    """Classifications found by profile, or else by name."""
+    keys = lambda name: F.expr(f"filter(array(named_struct('field', 'linkedin', 'value', linkedin), named_struct('field', 'name', 'value', {name})), k -> k.value is not null)")
+    c = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS ordinal", f"{_PROFILE.format('o_orderkey')} AS linkedin", "CASE WHEN o_orderkey % 7 <> 0 THEN concat('person ', o_custkey % 900) END AS name", f"{_ROLE} AS role_group", f"{_SURE} AS confidence", "o_orderkey % 4 = 0 AS is_decision_maker")
+    p = read(spark, sf_dir, "customer").selectExpr("c_custkey AS person_id", f"{_PROFILE.format('c_custkey')} AS linkedin", "concat('person ', c_custkey % 1100) AS name")
+    found = outreach.classify(p.select("person_id", keys("name").alias("keys")), c.select("ordinal", keys("name").alias("keys"), "role_group", "confidence", "is_decision_maker"))
+    return found.drop("keys")
