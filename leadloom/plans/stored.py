@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import companies as C
-from ..operators import bitmaps, outreach, standing, state
+from ..operators import bitmaps, outreach, schedule, standing, state
 from ..sources import crawl_tables
 from ..sources.store import Store, shared_path
 from ..streaming import crawl_states
@@ -232,3 +232,22 @@ def g14_classify_by_keys(spark, sf_dir):
     p = read(spark, sf_dir, "customer").selectExpr("c_custkey AS person_id", f"{_PROFILE.format('c_custkey')} AS linkedin", "concat('person ', c_custkey % 1100) AS name")
     found = outreach.classify(p.select("person_id", keys("name").alias("keys")), c.select("ordinal", keys("name").alias("keys"), "role_group", "confidence", "is_decision_maker"))
     return found.drop("keys")
+
+
+# Requests ---------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH r AS (SELECT event_id, event_type AS client, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS slot FROM events), "
+    "d AS (SELECT *, CASE WHEN client = 'click' THEN 100 ELSE 900 END AS cap, CASE WHEN client = 'click' THEN 2 ELSE 1 END AS spacing FROM r) "
+    "SELECT event_id, client, slot, CASE WHEN slot // cap > 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(slot // cap AS INTEGER)) + to_seconds((slot % cap) * spacing) "
+    "ELSE TIMESTAMP '2024-01-01 12:00:00' + to_seconds(slot * spacing + CASE WHEN client = 'view' AND slot >= 50 THEN 600 ELSE 0 END) END AS slot_at FROM d"
+)
+def s17_request_slots(spark, sf_dir):
+    """Requests of several clients dealt to slots: rates, daily caps, and a cooldown of one of them."""
+    noon = datetime(2024, 1, 1, 12)
+    cooldown = (noon + timedelta(seconds=50), noon + timedelta(seconds=650))
+    requests = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("client"))
+    limits = {r[0]: schedule.Limits(30, 100) if r[0] == "click" else schedule.Limits(60, 900, [cooldown] if r[0] == "view" else []) for r in requests.select("client").distinct().collect()}
+    calendars = {c: schedule.Calendar(x, noon) for c, x in limits.items()}
+    return schedule.deal(requests, calendars, order="event_id").withColumn("slot_at", F.col("slot_at").cast("timestamp_ntz"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 import time
 from collections import deque
 from collections.abc import Iterable
+from datetime import UTC, datetime
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DailyLimitError
+from ..operators.schedule import Calendar, Limits, deal
+from .store import materialized
 
 
 class Provider(Protocol):
@@ -55,35 +58,62 @@ class Limiter:
         self.blocked_until = max(self.blocked_until, self.clock() + seconds)
 
 
-def call(provider: Provider, requests: DataFrame, tasks: int | None = None, per_minute: float | None = None, attempts: int = 3) -> DataFrame:
-    """provider's answers over at most `tasks` tasks, each of which keeps its share of the rate. A request that fails in every attempt gives a row with
-    error_type and error_message, and harms no other."""
-    share = None if per_minute is None else per_minute / (tasks or requests.sparkSession.sparkContext.defaultParallelism)
-    rows = requests if tasks is None else requests.repartition(tasks)
+def _asked(provider: Provider, attempts: int, keys: list[str], wait):
+    """For mapInPandas: the provider's answers, or a row with the error; `keys` of the request stand in each row. wait(request) comes before each attempt."""
     names = [f.strip().split(" ")[0] for f in provider.schema.split(",")]
 
     def run(batches):
-        import time
-
         import pandas as pd
 
-        last = 0.0
         for batch in batches:
             out = []
             for request in batch.to_dict("records"):
+                own = {k: request[k] for k in keys}
                 for attempt in range(1, attempts + 1):
-                    if share:
-                        time.sleep(max(0.0, last + 60 / share - time.monotonic()))
-                        last = time.monotonic()
+                    wait(request)
                     try:
-                        out += [{n: r.get(n) for n in names} | {"error_type": None, "error_message": None} for r in provider.answer([request])]
+                        out += [{n: r.get(n) for n in names} | {"error_type": None, "error_message": None} | own for r in provider.answer([request])]
                         break
                     except Exception as e:  # noqa: BLE001  one request's failure is a row
                         if attempt == attempts:
-                            out.append({n: request.get(n) for n in names} | {"error_type": type(e).__name__, "error_message": str(e)})
-            yield pd.DataFrame(out, columns=[*names, "error_type", "error_message"])
-
-    return rows.mapInPandas(run, f"{provider.schema}, error_type string, error_message string")
+                            out.append({n: request.get(n) for n in names} | {"error_type": type(e).__name__, "error_message": str(e)} | own)
+            yield pd.DataFrame(out, columns=[*names, "error_type", "error_message", *keys])
+
+    return run
+
+
+def call(provider: Provider, requests: DataFrame, tasks: int | None = None, limits: dict[str, Limits] | None = None, attempts: int = 3, start: datetime | None = None) -> DataFrame:
+    """provider's answers over at most `tasks` tasks. A request that fails in every attempt gives a row with error_type and error_message, and harms no other.
+
+    With `limits` requests (client, ordinal, ...) are dealt to time slots first, from `start` (now) on; each task waits for the slots of its requests, so all tasks together keep each
+    client's rate, daily cap and cooldowns. A further attempt is a request like any other: the failed ones of a round get slots behind those of the round, and a client's calendar goes
+    on. There must be as many free cores as tasks, or slots would come late."""
+    if limits is None:
+        rows = requests if tasks is None else requests.repartition(tasks)
+        return rows.mapInPandas(_asked(provider, attempts, [], lambda request: None), f"{provider.schema}, error_type string, error_message string")
+    sc = requests.sparkSession.sparkContext
+    tasks = tasks or sc.defaultParallelism
+    if tasks > sc.defaultParallelism:
+        raise ValueError(f"{tasks} tasks on {sc.defaultParallelism} cores would miss their slots")
+    calendars = {c: Calendar(x, start or datetime.now(UTC)) for c, x in limits.items()}
+    schema = f"{provider.schema}, error_type string, error_message string, __client string, __ordinal long"
+    todo, out = requests, None
+
+    def wait(request):
+        time.sleep(max(0.0, request["__at"] / 1e6 - time.time()))
+
+    for attempt in range(1, attempts + 1):
+        slots = deal(todo, calendars).withColumns({"__client": F.col("client"), "__ordinal": F.col("ordinal").cast("long"), "__at": F.unix_micros("slot_at")})
+        dealt = slots.repartition(tasks, "slot").sortWithinPartitions("slot_at")
+        answers = materialized(dealt.mapInPandas(_asked(provider, 1, ["__client", "__ordinal"], wait), schema), "answers")
+        failed = answers.where("error_type is not null").select(F.col("__client").alias("client"), F.col("__ordinal").alias("ordinal"))
+        last = attempt == attempts or failed.isEmpty()
+        done = answers if last else answers.where("error_type is null")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            break
+        todo = materialized(todo.join(failed, ["client", "ordinal"], "left_semi"), "failed")
+    return out.drop("__client", "__ordinal")
 
 
 def fixture(requests: DataFrame, answers: DataFrame, key: str) -> DataFrame:
