@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import companies as C
 from ..operators import bitmaps, outreach, schedule, standing, state
-from ..sources import crawl_tables
+from ..sources import crawl_tables, landed
 from ..sources.store import Store, shared_path
 from ..streaming import crawl_states
 from . import jobs
@@ -251,3 +251,15 @@ def s17_request_slots(spark, sf_dir):
     limits = {r[0]: schedule.Limits(30, 100) if r[0] == "click" else schedule.Limits(60, 900, [cooldown] if r[0] == "view" else []) for r in requests.select("client").distinct().collect()}
     calendars = {c: schedule.Calendar(x, noon) for c, x in limits.items()}
     return schedule.deal(requests, calendars, order="event_id").withColumn("slot_at", F.col("slot_at").cast("timestamp_ntz"))
+
+
+# Landed files -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'Shop \"' || c_custkey || '\"' || chr(10) || c_mktsegment AS title, CASE WHEN c_custkey % 3 = 0 THEN 'https://s' || c_custkey || '.com' END AS website, c_name || ', ' || c_nationkey AS address, CAST(NULL AS VARCHAR) AS cid, CAST(c_custkey AS VARCHAR) AS place_id FROM customer")
+def s1_landed_listings(spark, sf_dir):
+    """Listings from CSV files with quotes and line ends inside values, a column that isn't wanted, and one that is missing."""
+    folder = shared_path(spark, "landed")
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey AS place_id", "concat('Shop \"', c_custkey, '\"\n', c_mktsegment) AS title", "'x' AS other", "CASE WHEN c_custkey % 3 = 0 THEN concat('https://s', c_custkey, '.com') END AS website", "concat(c_name, ', ', c_nationkey) AS address")
+    rows.repartition(4, "place_id").write.option("header", True).option("escape", '"').csv(folder)
+    return landed.read_landed(spark, folder).select("title", "website", "address", "cid", "place_id")
