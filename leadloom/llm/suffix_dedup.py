@@ -6,9 +6,9 @@
 3. Suffix array. In pieces of about a megabyte (whole anchor groups) the contexts are sorted by the difference-cover algorithm: sampled positions
    (1 and 2 modulo 3) are sorted by triples, their names are sorted recursively, the remaining suffixes are merged in, and neighbours in suffix order are compared over
    LENGTH bytes. Names cover 3, 9, 27, 81 and 243 bytes, so five levels settle a LENGTH of 200.
-4. An anchor with more than HOT texts is dealt in parts by text. What is repeated within a part is found there; of the rest, and of one window of each
-   class found, 128-bit names are counted over the parts with partial aggregation. That is exact too, and spreads a passage that a third of all documents
-   share over all tasks.
+4. An anchor with more than HOT contexts, whether of one text or of many, is dealt in parts by context. What is repeated within a part is found there; of the rest, and of one window
+   of each class found, 128-bit names are counted over the parts with partial aggregation. That is exact too, and spreads a passage that a third of all documents share, or a line
+   that one very long text repeats, over all tasks. A context has at most 2 * LENGTH - GRAM bytes, so this bounds what is sorted at once, whatever the texts are.
 
 Equal contexts are repeated as a whole, so each is sorted once. Windows of one text that repeat within it are found there, so long runs of a pattern send one context each.
 
@@ -75,8 +75,8 @@ def anchors(text):
 
 
 def suffix_ranks(s, levels: int = 4):
-    """For each suffix of s (values of 1 or more, under 2**20 of them), how many suffixes are less; suffixes that agree in their first
-    3 ** (levels + 1) values may share a rank."""
+    """For each suffix of s (values of 1 or more), how many suffixes are less; suffixes that agree in their first 3 ** (levels + 1) values may share a rank. Three names make one
+    64-bit key, so names may have 21 bits; longer arrays are an error."""
     import numpy as np
 
     n = len(s)
@@ -84,6 +84,8 @@ def suffix_ranks(s, levels: int = 4):
         return np.array([sum(tuple(s[j:]) < tuple(s[i:]) for j in range(n)) for i in range(n)], np.int64)
     t = np.concatenate([s, np.zeros(3, np.int64)])
     width = max(1, int(s.max()).bit_length())
+    if max(3 * width, 2 * width + n.bit_length()) > 63:
+        raise OverflowError(f"{n} suffixes of {width}-bit values are too many for one sort")
     one = np.arange(1, n + (n % 3 == 1), 3)  # with a last, empty suffix where its triple is needed as an end mark
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
@@ -157,7 +159,7 @@ def repeated_windows(contexts: list[tuple[int, int, bytes]]):
 
 
 def contexts(text, hits: dict[int, int]):
-    """([(anchor, texts with it, start, bytes)], intervals) of a text: contexts of its repeated anchors, those that occur several times in the
+    """([(anchor, contexts of it in all, start, bytes)], intervals) of a text: contexts of its repeated anchors, those that occur several times in the
     text once only, and the intervals covered by such."""
     import numpy as np
 
@@ -184,19 +186,19 @@ def _anchor_rows(batches):
     import numpy as np
     import pyarrow as pa
 
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("many", pa.bool_())])
+    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("times", pa.int64())])
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
-            found, many, rows = [], [], []
+            found, times, rows = [], [], []
             for i, text in enumerate(part.column("text")):
                 x, n = np.unique(anchors(np.frombuffer(text.as_py() or b"", np.uint8))[0], return_counts=True)
                 found.append(x.view(np.int64))
-                many.append(n > 1)
+                times.append(n)
                 rows.append(np.full(len(x), i))
             rows = pa.array(np.concatenate(rows))
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column("doc_id").take(rows), part.column("h").take(rows), pa.array(np.concatenate(many))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column("doc_id").take(rows), part.column("h").take(rows), pa.array(np.concatenate(times))], schema=schema)
 
 
 def _context_rows(batches):
@@ -280,7 +282,7 @@ class Piece:
         self.__init__()
 
 
-def _sorted_runs(hot_texts: int, most: int):
+def _sorted_runs(most_contexts: int, most: int):
     """Contexts come sorted by anchor and part; whole groups are gathered into pieces of `most` bytes and sorted."""
 
     def run(batches):
@@ -291,7 +293,7 @@ def _sorted_runs(hot_texts: int, most: int):
                     if piece.contexts and piece.size + size > most or len(piece.marks) > 50_000:
                         yield from piece.settle()
                     piece.add(group, hot)
-                    group, last, hot, size = [], (anchor, part), n > hot_texts, 0
+                    group, last, hot, size = [], (anchor, part), n > most_contexts, 0
                 group.append(tuple(row))
                 size += len(row[3]) + 1
         if piece.contexts and piece.size + size > most:
@@ -333,13 +335,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = rows.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
     texts = materialize(texts, "texts")
     keyed = keyed.drop("id")
-    found = materialize(keyed.mapInArrow(_anchor_rows, "anchor long, doc_id long, h long, many boolean"), "anchors")
-    repeated = found.groupBy("anchor").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("many").alias("many"), F.count("*").alias("n")).where("low <> high or many").select("anchor", "n")
+    found = materialize(keyed.mapInArrow(_anchor_rows, "anchor long, doc_id long, h long, times long"), "anchors")
+    repeated = found.groupBy("anchor").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("times").alias("most"), F.sum("times").alias("n")).where("low <> high or most > 1").select("anchor", "n")
     hits = found.join(repeated, "anchor").groupBy("doc_id", "h").agg(F.collect_set(F.struct("anchor", "n")).alias("hits"))
     hits = hits.join(texts.where(f"n_bytes >= {LENGTH}").select(F.col("rep").alias("doc_id"), "h"), ["doc_id", "h"])
     wanted = materialize(keyed.join(hits, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]), "candidates")
     runs = materialize(wanted.mapInArrow(_context_rows, "anchor long, n long, doc_id long, h long, start int, run binary"), "contexts")
-    parts = F.pmod(F.xxhash64("doc_id", "h"), F.expr(f"(n + {HOT} - 1) div {HOT}"))
+    parts = F.pmod(F.xxhash64("doc_id", "h", "start"), F.expr(f"(n + {HOT} - 1) div {HOT}"))
     groups = runs.where("anchor is not null").withColumn("part", parts).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     seen = materialize(groups.select("anchor", "part", "n", "doc_id", "h", "start", "run").mapInArrow(_sorted_runs(HOT, PIECE), FOUND), "found")
     names = seen.where("x is not null")

@@ -730,3 +730,51 @@ def test_small_batches_leave_the_session_as_it_was(spark):
         spark.conf.unset(name)
         if before is not None:
             spark.conf.set(name, before)
+
+
+def lines_between_noise(n=20_000, planted=200):
+    """A 64-byte line between random bytes, n times, and passages of 324 bytes that come twice: many contexts of one anchor."""
+    rng = random.Random(11)
+    line = bytes(rng.randrange(97, 123) for _ in range(64))
+    parts = [bytes(rng.choices(range(33, 127), k=140)) + line for _ in range(n)]
+    for i in rng.sample(range(0, n - 10, 5), planted):
+        at = rng.randrange(len(parts))
+        parts[at] = parts[at] + (parts[i] + parts[i + 1])[:324]
+    return parts
+
+
+def removed_by_names(texts):
+    """Bytes removed of each text, from two hashes of every window."""
+    import numpy as np
+
+    data = [np.frombuffer(t, np.uint8) for t in texts]
+    names = [np.stack([suffix_dedup.rolling(d, suffix_dedup.LENGTH, seed) for seed in (0, 5)], 1) for d in data]
+    _, back, count = np.unique(np.concatenate(names), axis=0, return_inverse=True, return_counts=True)
+    again, out, at = count[back.ravel()] > 1, [], 0
+    for d, x in zip(data, names):
+        edge = np.zeros(len(d) + 1, np.int64)
+        hit = np.flatnonzero(again[at : at + len(x)])
+        edge[hit] += 1
+        np.add.at(edge, hit + suffix_dedup.LENGTH, -1)
+        out.append(int((np.cumsum(edge)[:-1] > 0).sum()))
+        at += len(x)
+    return out
+
+
+@pytest.mark.parametrize("documents", [1, 600])
+def test_suffix_dedup_of_many_contexts(spark, documents):
+    """One anchor with more contexts than one sort can take, in one text or over many."""
+    parts = lines_between_noise()
+    step = -(-len(parts) // documents)
+    texts = [b"".join(parts[i : i + step]) for i in range(0, len(parts), step)]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = removed_by_names(texts)
+    assert sum(want) > 100_000
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed").collect()} == dict(enumerate(want))
+
+
+def test_suffix_ranks_refuse_what_overflows():
+    import numpy as np
+
+    with pytest.raises(OverflowError):
+        suffix_dedup.suffix_ranks(np.arange(1, 3_000_000, dtype=np.int64))
