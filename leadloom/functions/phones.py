@@ -1,42 +1,14 @@
-"""Phone numbers as column expressions. Validity is by a table of numbering plans, and so approximate."""
+"""Phone numbers as column expressions. Validity and type are by the ranges of numbering.PLANS, and so approximate."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbering import DIGITS, PLANS, number_type
 from .text import blank_to_null, lookup, unquote
 from .vocabulary import PHONE_TEXT
 
-#: region: (country code, trunk prefix, pattern of a national number, pattern of a mobile number)
-PLANS = {
-    "PK": ("92", "0", r"3\d{9}|[2-9]\d{8,9}", r"3\d{9}"),
-    "GB": ("44", "0", r"[1-35789]\d{9}|[18]\d{8}", r"7[1-57-9]\d{8}"),
-    "US": ("1", "1", r"[2-9]\d{2}[2-9]\d{6}", "$^"),
-    "CA": ("1", "1", r"[2-9]\d{2}[2-9]\d{6}", "$^"),
-    "AU": ("61", "0", r"[23478]\d{8}|1[38]\d{4,8}", r"4\d{8}"),
-    "NL": ("31", "0", r"[1-9]\d{8}", r"6[1-58]\d{7}"),
-    "DE": ("49", "0", r"[1-9]\d{5,10}", r"1[5-7]\d{8,9}"),
-    "FR": ("33", "0", r"[1-9]\d{8}", r"[67]\d{8}"),
-    "BE": ("32", "0", r"[1-9]\d{7}|4\d{8}", r"4\d{8}"),
-    "ES": ("34", "", r"[5-9]\d{8}", r"[67]\d{8}"),
-    "IT": ("39", "", r"0\d{5,10}|3\d{8,9}|8\d{5,9}", r"3\d{8,9}"),
-    "PT": ("351", "", r"[2-9]\d{8}", r"9[1236]\d{7}"),
-    "IE": ("353", "0", r"[1-9]\d{6,8}", r"8[35-9]\d{7}"),
-    "AT": ("43", "0", r"[1-9]\d{3,12}", r"6[5-9]\d{6,11}"),
-    "CH": ("41", "0", r"[2-9]\d{8}", r"7[5-9]\d{7}"),
-    "SE": ("46", "0", r"[1-9]\d{6,9}", r"7[02369]\d{7}"),
-    "NO": ("47", "", r"[2-9]\d{7}", r"[49]\d{7}"),
-    "DK": ("45", "", r"[2-9]\d{7}", "$^"),
-    "FI": ("358", "0", r"[1-9]\d{4,11}", r"[45]\d{5,10}"),
-    "PL": ("48", "", r"[1-9]\d{8}", r"(?:4[5-9]|5[0137]|6[069]|7[2389]|88)\d{7}"),
-    "CZ": ("420", "", r"[2-9]\d{8}", r"(?:60[1-8]|7[2379]\d)\d{6}"),
-    "HU": ("36", "06", r"[1-9]\d{7,8}", r"[237]0\d{7}"),
-    "RO": ("40", "0", r"[237-9]\d{8}", r"7\d{8}"),
-    "GR": ("30", "", r"[26-9]\d{9}", r"69\d{8}"),
-    "AE": ("971", "0", r"5[024-68]\d{7}|[2-79]\d{7}|800\d{2,9}", r"5[024-68]\d{7}"),
-}
-
 
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c, r"\D", "")
@@ -48,32 +20,31 @@ def e164(value: Column, region: Column | str | None = None) -> Column:
         code = region.strip().upper() or None
         if code and code not in PLANS:
             raise ValueError(f"unsupported phone region {region!r}")
-        cc, trunk, national = (F.lit(x) for x in PLANS[code][:3]) if code else (F.lit(None).cast("string"),) * 3
+        cc, trunk = (F.lit(x) for x in PLANS[code][:2]) if code else (F.lit(None).cast("string"),) * 2
         known = F.lit(True)
     else:
         code = blank_to_null(F.upper(F.trim(region))) if region is not None else F.lit(None).cast("string")
-        cc, trunk, national = (lookup({k: v[i] for k, v in PLANS.items()}, code) for i in range(3))
+        cc, trunk = (lookup({k: v[i] for k, v in PLANS.items()}, code) for i in range(2))
         known = code.isNull() | cc.isNotNull()
     v = F.trim(value)
     digits = _digits(F.regexp_replace(F.replace(v, F.lit("(0)"), F.lit("")), r"(?i)\s*(?:ext|x|;).*$", ""))
     full = F.when(v.startswith("00"), F.substring(digits, 3, 20)).otherwise(digits)
-    anywhere = "^(?:" + "|".join(dict.fromkeys(f"{c}(?:{n})" for c, _, n, _ in PLANS.values())) + ")$"
     rest = F.when((trunk != "") & digits.startswith(trunk), F.substring(digits, F.length(trunk) + 1, F.lit(20))).otherwise(digits)
-    whole = lambda p: F.concat(F.lit("^(?:"), p, F.lit(")$"))
-    local = F.when(F.regexp_like(rest, whole(national)), F.concat(F.lit("+"), cc, rest)).when(F.regexp_like(digits, F.concat(F.lit("^"), cc, F.lit("(?:"), national, F.lit(")$"))), F.concat(F.lit("+"), digits))
     abroad = v.startswith("+") | v.startswith("00")
-    found = F.when(~known, F.raise_error(F.concat(F.lit("unsupported phone region "), code if isinstance(code, Column) else F.lit(""))).cast("string")).when(abroad, F.when(full.rlike(anywhere), F.concat(F.lit("+"), full))).otherwise(local)
+    # with a plus or 00 the number says its country; else it is one of the region, or has its country code without a mark
+    tried = F.when(abroad, F.array(full)).otherwise(F.array(F.concat(cc, rest), F.when(digits.startswith(cc), digits)))
+    valid = F.get(F.filter(tried, lambda n: number_type(n).isNotNull()), F.lit(0))
+    found = F.when(~known, F.raise_error(F.concat(F.lit("unsupported phone region "), code if isinstance(code, Column) else F.lit(""))).cast("string")).otherwise(F.concat(F.lit("+"), valid))
     return F.when(v.rlike("[A-Za-z]{3,}") & ~v.rlike("(?i)ext"), None).otherwise(found)
 
 
 def phone_type(value: Column, region: Column | str | None = None) -> Column:
-    """A best effort: mobile, fixed_line, fixed_line_or_mobile for plans that don't tell, toll_free or unknown."""
-    number = e164(value, region)
-    mobile = "|".join(rf"\+{cc}(?:{m})" for cc, _, _, m in PLANS.values() if m != "$^")
-    return (
-        F.when(number.isNull(), None).when(number.rlike(r"^\+(?:1(?:800|888|877|866|855|844|833)|44800|31800|49800|61180|33800)"), "toll_free").when(number.rlike(r"^\+(?:1|45)"), "fixed_line_or_mobile")
-        .when(number.rlike(f"^(?:{mobile})$"), "mobile").otherwise("fixed_line")
-    )
+    """What the plan has the number for (numbering.TYPES), or null for one that no plan has."""
+    return number_type(F.substring(e164(value, region), 2, DIGITS))
+
+
+def is_valid_phone(value: Column, region: Column | str | None = None) -> Column:
+    return e164(value, region).isNotNull()
 
 
 def normalize_phones(values: Column, region: Column | str | None = None) -> Column:

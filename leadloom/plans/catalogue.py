@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import emails, person, phones, policies, social, text, urls
+from ..functions import emails, numbering, person, phones, policies, social, text, urls
 from ..functions import vocabulary as V
 from ..operators import companies as C
 from ..operators import extraction, identity, leads, ledger, observations, outreach, plan, state
@@ -342,6 +342,23 @@ def n17_phone_regions(spark, sf_dir):
     return rows.select("s_suppkey", "region", phones.e164(F.col("v"), F.col("region")).alias("e164"))
 
 
+#: Numbers of all plans: the country code and digits that vary, so that valid and invalid ones of each type are among them.
+COUNTRY_CODES = tuple(dict.fromkeys(v[0] for v in numbering.PLANS.values()))
+DIALLED = f"{pick(COUNTRY_CODES, 'c_custkey')} || lpad(CAST(c_custkey * 7368787 % 10000000000 AS STRING), CAST(7 + c_custkey % 4 AS INT), '8')"
+
+
+def _ranges_sql() -> str:
+    """Each prefix with its type and lengths, as rows; DuckDB takes the longest that fits."""
+    return "(VALUES " + ", ".join(f"('{p}', '{k}', {list(n)})" for p, k, n in numbering.ranges()) + ") r(prefix, type, lengths)"
+
+
+@query(f"WITH d AS (SELECT c_custkey, {DIALLED.replace('STRING', 'VARCHAR')} AS digits FROM customer), m AS (SELECT c_custkey, digits, type, lengths FROM d LEFT JOIN {_ranges_sql()} ON starts_with(digits, prefix) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY length(prefix) DESC) = 1) SELECT c_custkey, CASE WHEN list_contains(lengths, length(digits)) THEN '+' || digits END AS e164, CASE WHEN list_contains(lengths, length(digits)) THEN type END AS phone_type FROM m")
+def n19_number_types(spark, sf_dir):
+    """Validity and type of valid, invalid, mobile and special numbers of all plans; the index of ranges against the longest prefix."""
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey", f"concat('+', {DIALLED}) AS v")
+    return rows.select("c_custkey", phones.e164(F.col("v")).alias("e164"), phones.phone_type(F.col("v")).alias("phone_type"))
+
+
 SOCIAL = "CASE s_suppkey % 7 WHEN 0 THEN 'https://www.linkedin.com/company/acme-' || CAST(s_suppkey AS STRING) || '/?x=1' WHEN 1 THEN 'http://twitter.com//acme' || CAST(s_suppkey AS STRING) || '/' WHEN 2 THEN 'https://facebook.com/login' WHEN 3 THEN 'https://www.youtube.com/@acme?utm_source=a&t=1' WHEN 4 THEN 'https://example.com/in/x' WHEN 5 THEN 'https://instagram.com/' ELSE 'https://linkedin.com/in/john-smith/?trk=p' END"
 
 

@@ -105,3 +105,41 @@ def test_policies(spark):
     sent = lambda *v: spark.createDataFrame([v], "s boolean, a boolean, t string, c double").select(policies.send_decision(*[F.col(c) for c in "satc"], 0.5, ["deliverable"]).alias("d")).first()["d"]["reason"]
     assert [sent(True, True, "x", 0.1), sent(False, True, "x", 0.1), sent(None, None, None, 0.9), sent(False, False, "deliverable", None), sent(False, False, "deliverable", 0.4), sent(False, False, "deliverable", 0.5)] == [
         "suppressed", "already_sent", "verification_status_not_allowed", "verification_confidence_missing", "verification_confidence_too_low", "eligible"]
+
+
+DIALLED = [
+    ("0300 1234567", "PK", "mobile"), ("042 35761999", "PK", "fixed_line"), ("07400 123456", "GB", "mobile"), ("0808 157 0192", "GB", "toll_free"), ("0844 800 0000", "GB", "shared_cost"), ("0909 879 0001", "GB", "premium_rate"),
+    ("056 1234 5678", "GB", "voip"), ("070 1234 5678", "GB", "personal_number"), ("076 4012 3456", "GB", "pager"), ("0300 123 4567", "GB", "uan"), ("(212) 555-0123", "US", "fixed_line_or_mobile"), ("1-800-234-5678", "US", "toll_free"),
+    ("900 234 5678", "US", "premium_rate"), ("112 555 0123", "US", None), ("416-555-0123", "CA", "fixed_line_or_mobile"), ("0412 345 678", "AU", "mobile"), ("1800 123 456", "AU", "toll_free"), ("13 1450", "AU", "shared_cost"),
+    ("06 12345678", "NL", "mobile"), ("0800 1234", "NL", "toll_free"), ("0900 1234567", "NL", "premium_rate"), ("088 1234567", "NL", "uan"), ("066 1234567", "NL", "pager"), ("06 12345", "NL", None), ("0151 23456789", "DE", "mobile"),
+    ("030 123456", "DE", "fixed_line"), ("0800 1234567890", "DE", "toll_free"), ("06 12 34 56 78", "FR", "mobile"), ("09 12 34 56 78", "FR", "voip"), ("0470 12 34 56", "BE", "mobile"), ("612 34 56 78", "ES", "mobile"), ("900 123 456", "ES", "toll_free"),
+    ("312 345 6789", "IT", "mobile"), ("02 1234 5678", "IT", "fixed_line"), ("912 345 678", "PT", "mobile"), ("085 012 3456", "IE", "mobile"), ("1800 123 456", "IE", "toll_free"), ("0664 123456", "AT", "mobile"), ("078 123 45 67", "CH", "mobile"),
+    ("0860 123 456 789", "CH", "voicemail"), ("070-123 45 67", "SE", "mobile"), ("406 12 345", "NO", "mobile"), ("800 12 345", "NO", "toll_free"), ("32 12 34 56", "DK", "fixed_line_or_mobile"), ("041 2345678", "FI", "mobile"), ("512 345 678", "PL", "mobile"),
+    ("601 123 456", "CZ", "mobile"), ("06 20 123 4567", "HU", "mobile"), ("0712 034 567", "RO", "mobile"), ("691 234 5678", "GR", "mobile"), ("050 123 4567", "AE", "mobile"), ("+7 495 123 45 67", None, None), ("123", "AE", None), (None, "NL", None),
+]
+
+
+def test_phone_types(spark):
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(DIALLED)], "i int, v string, r string, want string").coalesce(1)
+    got = rows.select("*", phones.phone_type(F.col("v"), F.col("r")).alias("type"), phones.is_valid_phone(F.col("v"), F.col("r")).alias("ok")).collect()
+    assert [(r["v"], r["r"], r["type"], r["ok"]) for r in got] == [(v, c, want, want is not None) for v, c, want in DIALLED]
+    assert {c for _, c, _ in DIALLED if c} == set(phones.PLANS)
+
+
+def test_number_index_equals_longest_prefix():
+    """Every range, at its first and last number, one before and one after, by the index and by the prefixes one by one."""
+    from bisect import bisect_right
+
+    from leadloom.functions import numbering
+
+    lows, masks, types = numbering.index()
+    known = {p: (k, n) for p, k, n in numbering.ranges()}
+    assert lows == sorted(set(lows)) and set(types) <= set(numbering.TYPES)
+    for prefix in known:
+        for edge in (int(prefix.ljust(15, "0")), int(prefix.ljust(15, "9"))):
+            for number in (edge - 1, edge, edge + 1):
+                digits = str(number).zfill(15)
+                for n in (8, 11, 12, 13):
+                    best = next((known[digits[:i]] for i in range(n, 0, -1) if digits[:i] in known), (None, ()))
+                    at = bisect_right(lows, int(digits[:n].ljust(15, "0"))) - 1
+                    assert (types[at] if masks[at] >> n & 1 else None) == (best[0] if n in best[1] else None)
