@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import emails, person
@@ -104,6 +104,16 @@ def store_emails(people: Store, run: str, seen: DataFrame) -> None:
     people.update(run, mine.withColumn("id", F.col("person_id")), lambda current, deltas: outreach.update_emails(current, deltas))
 
 
+def found_people(pages: DataFrame) -> DataFrame:
+    """The people of each company, resolved, from its pages (company_id, page, url, text, html): candidates in order of page, url and place on it."""
+    found = F.col("found_people") if "found_people" in pages.columns else extraction.page_people(F.col("text"), F.col("html"))
+    placed = pages.select("company_id", "page", F.col("url").alias("source_url"), F.posexplode(found).alias("place", "p")).select("company_id", "page", "source_url", "place", "p.*")
+    order = F.row_number().over(Window.partitionBy("company_id").orderBy("page", "source_url", "place")).cast("long")
+    named = placed.withColumns({"ordinal": order, "name": person.normalize_person_name(F.col("name")), "title": person.normalize_person_title(F.col("title"))})
+    people = identity.resolve_people(named.select("company_id", "ordinal", "name", "title", "linkedin_url", "source_url"))
+    return people.withColumn("person_id", durable_id("company_id", "name", "linkedin_url"))
+
+
 def enrich(companies: DataFrame, crawls: DataFrame, states: DataFrame, now: datetime, max_age: timedelta = timedelta(days=30), region: str | None = None) -> dict[str, DataFrame]:
     """Contacts and people of the companies whose stages aren't completed, from crawls (company_id, page, url, text, html, collected_at).
 
@@ -116,11 +126,7 @@ def enrich(companies: DataFrame, crawls: DataFrame, states: DataFrame, now: date
     pages = extraction.parsed(pages)
     found = extraction.contacts(pages)
     contacts = extraction.normalize_contacts(found, region)
-    candidates = extraction.people(pages).withColumn("ordinal", F.col("page").cast("long") * 100_000 + F.col("ordinal"))
-    urls = pages.select("company_id", "page", F.col("url").alias("source_url"))
-    named = candidates.join(urls, ["company_id", "page"]).withColumns({"name": person.normalize_person_name(F.col("name")), "title": person.normalize_person_title(F.col("title"))})
-    people = identity.resolve_people(named.select("company_id", "ordinal", "name", "title", "linkedin_url", "source_url"))
-    people = people.withColumn("person_id", durable_id("company_id", "name", "linkedin_url"))
+    people = found_people(pages)
     ranked = outreach.rank_people(fallback_classification(people))
     done = pages.select("company_id").distinct().select("company_id", F.lit("people_analysis").alias("stage"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error_message"))
     lost = stale.select("company_id", F.lit("people_analysis").alias("stage"), F.lit(False).alias("ok"), F.lit("CrawlingProviderError").alias("error_type"), F.lit("no crawl").alias("error_message"))
@@ -129,13 +135,13 @@ def enrich(companies: DataFrame, crawls: DataFrame, states: DataFrame, now: date
 
 def run_stage(stage: str, companies: DataFrame, states: DataFrame, operation, now: datetime) -> dict[str, DataFrame]:
     """A stage over the companies (company_id) that haven't completed it: operation(companies) returns (rows, lost), where lost (company_id, error_type, error_message) are
-    companies whose part failed. Their failure harms no other, and doesn't undo what they had. Returns rows and the new states."""
+    companies whose part failed. Their failure harms no other, and doesn't undo what they had. Returns rows, outcomes and the new states."""
     todo = state.pending(companies, states, stage)
     rows, lost = operation(todo)
     failed = lost.select("company_id", F.lit(False).alias("ok"), "error_type", "error_message")
     done = todo.select("company_id").distinct().join(lost.select("company_id"), "company_id", "left_anti").select("company_id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error_message"))
     outcomes = done.unionByName(failed).withColumn("stage", F.lit(stage))
-    return {"rows": rows.join(lost.select("company_id"), "company_id", "left_anti"), "states": state.advance(states, outcomes, now)}
+    return {"rows": rows.join(lost.select("company_id"), "company_id", "left_anti"), "states": state.advance(states, outcomes, now), "outcomes": outcomes}
 
 
 def _without(todo: DataFrame, evidence: DataFrame, error: str, message: str) -> DataFrame:
@@ -185,6 +191,15 @@ def contacts_stage(companies: DataFrame, pages: DataFrame, states: DataFrame, no
     return run_stage("contacts", companies, states, operation, now) | counters
 
 
+def people_stage(companies: DataFrame, pages: DataFrame, states: DataFrame, now: datetime) -> dict[str, DataFrame]:
+    """Ranked people from crawled pages (company_id, page, url, text, html), with the roles that are known without a language model."""
+    def operation(todo):
+        own = pages.join(todo, "company_id", "left_semi")
+        return outreach.rank_people(fallback_classification(found_people(own))), _without(todo, own, "CrawlingProviderError", "no crawl")
+
+    return run_stage("people_analysis", companies, states, operation, now)
+
+
 def email_stage(people: DataFrame, person_observations: DataFrame, companies: DataFrame, verdicts: DataFrame, known: DataFrame, now: datetime) -> dict[str, DataFrame]:
     """The e-mail stage: targets, addresses to try, what trying them in turn saw (verdicts by email), observations, people with the address found, counters."""
     domains = companies.select(F.col("id").alias("company_id"), "domain")
@@ -214,7 +229,43 @@ def dry_run(observations: DataFrame, messages: DataFrame, results: list[str], mi
     return outreach.recipients(observations, messages, results, minimum, limit)
 
 
-def prompt(context: str, candidates: list[tuple[str, str | None]]) -> str:
-    """A request to a language model for the people of a company, in our own words; answers are JSON of name, title, role group, confidence and decision maker."""
-    lines = "\n".join(f"- {n}" + (f" | {t}" if t else "") for n, t in candidates) or "- none"
-    return f"Candidates found by rules:\n{lines}\n\nPages:\n{context}\n\nReturn only people of this company as JSON with name, title, role_group (primary, secondary, professional, other, unknown), confidence (high, medium, low), is_decision_maker and reason."
+def run_all(spark: SparkSession, folder: str, run: str, listings: DataFrame, landed: dict[str, DataFrame], now: datetime, region: str | None = None) -> dict[str, DataFrame]:
+    """From listings to the wide export in one run, over the stored companies and stage states below `folder`.
+
+    `landed` has what providers gave, by domain: technologies (domain, report), performance (domain, report), crawls (domain, page, url, text, html, links), and verdicts by email
+    (email, valid, status, score, smtp_verdict, catch_all). Stages come in their order, each over the companies with a website that haven't completed it; its rows are stored, and then its
+    outcomes, so a run that is repeated takes up where it was lost. A company whose part is missing fails that stage only. Returns the counters, what each stage found, the
+    companies without a website, people with the addresses found, and the export of all that this and earlier runs found."""
+    stored, index = company_stores(spark, f"{folder}/companies")
+    states = state_store(spark, f"{folder}/states")
+    out = {"counters": acquire_run(stored, index, run, listings)}
+    companies = stored.read()
+    has = F.coalesce(F.col("website") != "", F.lit(False))
+    out["without_website"] = companies.where(~has).select(F.col("id").alias("company_id"))
+    todo = companies.where(has).select(F.col("id").alias("company_id"))
+    named = companies.where(has & F.col("domain").isNotNull()).groupBy("domain").agg(F.min("id").alias("company_id"))
+    own = {n: landed[n].join(named, "domain").drop("domain") for n in ("technologies", "performance", "crawls")}
+    stages = {
+        "technology_detection": lambda s: technology_stage(todo, own["technologies"], s, now), "performance_seo": lambda s: performance_stage(todo, own["performance"], s, now),
+        "business_pages": lambda s: business_pages_stage(todo, own["crawls"], s, now), "contacts": lambda s: contacts_stage(todo, own["crawls"], s, now, region),
+        "people_analysis": lambda s: people_stage(todo, own["crawls"], s, now),
+    }
+    for name, stage in stages.items():
+        done = stage(states.read())
+        out[name] = states.planned(f"{run}-{name}-rows", lambda: done["rows"])  # noqa: B023
+        outcomes = states.planned(f"{run}-{name}", lambda: done["outcomes"])  # noqa: B023
+        store_outcomes(states, f"{run}-{name}", outcomes, now)
+    people = out["people_analysis"].select(F.col("person_id").alias("id"), "company_id", "name", "title", "linkedin_url", F.lit(None).cast("string").alias("email"))
+    unseen = spark.createDataFrame([], "id long, person_id long, title string, linkedin_url string, observed_at timestamp")
+    unknown = spark.createDataFrame([], "person_id long, normalized_email string, verification_result string")
+    mail = email_stage(people, unseen, companies, landed["verdicts"], unknown, now)
+    out["people"] = states.planned(f"{run}-people-rows", lambda: mail["people"])
+    out |= {"email_counters": mail["counters"], "person_email": states.planned(f"{run}-person_email-rows", lambda: mail["observations"]), "states": states.read()}
+    every = lambda name, *keys: states.all_planned(f"-{name}-rows").withColumn("id", durable_id(*keys))
+    scored = every("people_analysis", "person_id").select("id", "person_id", F.col("score").alias("decision_maker_score"), "role_group", "confidence", F.lit(now).alias("observed_at"))
+    tables = {
+        "performance": every("performance_seo", "company_id"), "technologies": every("technology_detection", "company_id", "name"), "contacts": every("contacts", "company_id", "kind", "value"),
+        "people": states.all_planned("-people-rows"), "observations": scored,
+    }
+    out["export"] = leads.wide_rows(companies, tables["performance"], tables["technologies"], tables["contacts"], tables["people"], tables["observations"])
+    return out

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import companies as C
-from ..operators import bitmaps, outreach, schedule, standing, state
-from ..sources import crawl_tables, landed
+from ..operators import bitmaps, extraction, outreach, schedule, standing, state
+from ..sources import answers, crawl_tables, landed, providers, readers
 from ..sources.store import Store, shared_path
 from ..streaming import crawl_states
 from . import jobs
@@ -263,3 +263,38 @@ def s1_landed_listings(spark, sf_dir):
     rows = read(spark, sf_dir, "customer").selectExpr("c_custkey AS place_id", "concat('Shop \"', c_custkey, '\"\n', c_mktsegment) AS title", "'x' AS other", "CASE WHEN c_custkey % 3 = 0 THEN concat('https://s', c_custkey, '.com') END AS website", "concat(c_name, ', ', c_nationkey) AS address")
     rows.repartition(4, "place_id").write.option("header", True).option("escape", '"').csv(folder)
     return landed.read_landed(spark, folder).select("title", "website", "address", "cid", "place_id")
+
+
+# Providers --------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 OR s_suppkey % 5 = 1 THEN NULL ELSE CAST(s_suppkey % 101 AS INTEGER) END AS performance, CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 1 AND s_suppkey % 2 = 0 THEN 50 END AS seo, "
+    "CASE WHEN s_suppkey % 7 = 0 THEN 'FileNotFoundError' END AS error_type FROM supplier"
+)
+def s11_called_reports(spark, sf_dir):
+    """Lab reports asked of a provider whose answers are files: some lack, some aren't JSON, some have no second score. Failures are rows."""
+    folder = shared_path(spark, "reports")
+    s = read(spark, sf_dir, "supplier").select("s_suppkey")
+    report = "CASE WHEN s_suppkey % 5 = 1 THEN 'not json' ELSE concat('{\"categories\": {\"performance\": {\"score\": ', CAST(s_suppkey % 101 / 100.0D AS STRING), '}', if(s_suppkey % 2 = 0, ', \"seo\": {\"score\": 0.5}', ''), '}}') END"
+    s.where("s_suppkey % 7 <> 0").selectExpr("concat(s_suppkey, '.json') AS name", f"{report} AS report").repartition(8, "name").write.partitionBy("name").text(folder)
+    asked = s.select(F.concat(F.lit("name="), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("key"))
+    got = providers.call(providers.FileAnswers(folder), asked, tasks=4, attempts=2)
+    score = lambda c: readers.category_score(F.col("report"), c).alias(c)
+    return got.select(F.regexp_extract("key", r"\d+", 0).cast("long").alias("s_suppkey"), score("performance"), score("seo"), "error_type")
+
+
+@query(
+    "WITH d AS (SELECT source, doc_id, 'PAGE URL: doc/' || doc_id || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) AS chunk FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''), "
+    "b AS (SELECT *, coalesce(sum(length(chunk)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d), "
+    "c AS (SELECT source, trim(string_agg(substr(chunk, 1, CAST(12000 - before AS BIGINT)), chr(10) || chr(10) ORDER BY doc_id), ' ' || chr(9) || chr(10) || chr(13)) AS context FROM b WHERE before < 12000 GROUP BY source), "
+    "k AS (SELECT 'src' || CAST(c_custkey % 7 AS VARCHAR) AS source, string_agg('- ' || c_name || CASE WHEN c_custkey % 3 = 0 THEN ' | ' || c_mktsegment ELSE '' END, chr(10) ORDER BY c_custkey) AS lines FROM customer GROUP BY 1) "
+    "SELECT source, md5('Candidates found by rules:' || chr(10) || coalesce(lines, '- none') || chr(10) || chr(10) || 'Pages:' || chr(10) || context || chr(10) || chr(10) || "
+    "'Return only people of this company as JSON: people, a list of name, title, linkedin_url, source_url, decision_maker, role_group (primary, secondary, professional, other, unknown), decision_maker_confidence (high, medium, low), decision_maker_reason and evidence.') AS prompt FROM c LEFT JOIN k USING (source)"
+)
+def s16_prompts(spark, sf_dir):
+    """Requests to a language model: the candidates and the pages of each source."""
+    d = read(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), "text")
+    contexts = extraction.model_context(d, "source", "doc_id").withColumnRenamed("source", "company_id")
+    candidates = read(spark, sf_dir, "customer").selectExpr("concat('src', c_custkey % 7) AS company_id", "c_custkey AS ordinal", "c_name AS name", "CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS title")
+    return answers.prompts(contexts, candidates).select(F.col("company_id").alias("source"), F.md5("prompt").alias("prompt"))

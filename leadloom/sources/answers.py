@@ -43,3 +43,16 @@ def refine_people(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     kept = candidates.join(read.where("found is not null").select("company_id"), "company_id", "left_anti")
     kept = kept.select("company_id", F.col("ordinal").cast("long").alias("ordinal"), "name", "title", "linkedin_url", "source_url", F.lit(False).alias("is_decision_maker"), F.lit("unknown").alias("role_group"), F.lit("low").alias("confidence"), F.lit(None).cast("string").alias("reason"), F.lit(False).alias("refined"))
     return told.unionByName(kept)
+
+
+def prompts(contexts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """company_id, prompt: a request to a language model for the people of each company that has a context (company_id, context), in our own words. Candidates (company_id, ordinal, name,
+    title) found by rules come first, in order; answers are JSON of the form that parse_answer reads."""
+    line = F.concat(F.lit("- "), F.col("name"), F.coalesce(F.concat(F.lit(" | "), F.nullif("title", F.lit(""))), F.lit("")))
+    lines = candidates.where("name is not null").groupBy("company_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    told = contexts.where("context <> ''").join(lines, "company_id", "left")
+    said = F.concat(
+        F.lit("Candidates found by rules:\n"), F.coalesce("lines", F.lit("- none")), F.lit("\n\nPages:\n"), F.col("context"),
+        F.lit(f"\n\nReturn only people of this company as JSON: people, a list of name, title, linkedin_url, source_url, decision_maker, role_group ({', '.join(ROLE_GROUPS)}), decision_maker_confidence ({', '.join(CONFIDENCES)}), decision_maker_reason and evidence."),
+    )
+    return told.select("company_id", said.alias("prompt"))

@@ -116,6 +116,31 @@ def call(provider: Provider, requests: DataFrame, tasks: int | None = None, limi
     return out.drop("__client", "__ordinal")
 
 
+class FileAnswers:
+    """Answers that have landed as files, one for each key: folder/<key> or folder/<key>/part-*. A key without a file is an error, as a service's failure is."""
+
+    def __init__(self, folder: str, key: str = "key"):
+        self.folder, self.key = folder.rstrip("/"), key
+        self.schema = f"{key} string, report string"
+
+    def answer(self, requests: Iterable[dict]) -> Iterable[dict]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(self.folder) if ":" in self.folder.split("/")[0] else (fs.LocalFileSystem(), self.folder)
+        for request in requests:
+            key = str(request[self.key])
+            if "/" in key or key in ("", ".", ".."):
+                raise ValueError(f"{key!r} is no name of a file")
+            info = system.get_file_info(f"{base}/{key}")
+            found = [info] if info.type == fs.FileType.File else []
+            if info.type == fs.FileType.Directory:
+                found = [f for f in system.get_file_info(fs.FileSelector(info.path)) if f.base_name.startswith("part-")]
+            if not found:
+                raise FileNotFoundError(f"no answer for {key}")
+            text = b"".join(system.open_input_stream(f.path).read() for f in sorted(found, key=lambda f: f.path)).decode("utf-8", "replace")
+            yield {self.key: key, "report": text.strip()}
+
+
 def fixture(requests: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     """Answers from a table in place of a service."""
     return requests.join(answers, key, "left")

@@ -96,6 +96,11 @@ class Store:
             self._note(run, "planned")
         return self.spark.read.parquet(path)
 
+    def all_planned(self, ending: str) -> DataFrame:
+        """The planned rows of all runs whose name ends so."""
+        runs = self.spark.read.schema("run string, step string").parquet(f"{self.path}/log").where(F.col("step") == "planned").where(F.col("run").endswith(ending)).select("run").distinct()
+        return self.spark.read.parquet(*[f"{self.path}/plans/{r[0]}" for r in runs.collect()])
+
     def update(self, run: str, deltas: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """Put merge(current, deltas) in place of the buckets that the deltas' keys fall in. `current` are those buckets' rows; merge keeps every one of them (changed or not)
         and adds new ones. `run` names the update: repeated, it changes nothing."""
