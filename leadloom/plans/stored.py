@@ -205,7 +205,7 @@ def g8_last_crawls(spark, sf_dir):
     links = pages.select(F.col("page_id").alias("website_crawl_id"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("url"))
     folder = shared_path(spark, "crawls")
     name = "crawls_" + folder.rpartition("-")[2]
-    crawl_tables.write_crawls(crawls, links, name, folder, buckets=8)
+    crawl_tables.write_crawls(crawls, links, name, folder)
     states = pages.groupBy((F.col("page_id") % 40).alias("company_id")).agg(F.max("page_id").alias("last_crawl_id"))
     return crawl_tables.last_crawls(spark, name, states).select("company_id", "crawl_id", "url", F.octet_length("html").cast("long").alias("n"), "links")
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 CONTENT = ["url", "status_code", "html", "text", "title", "meta_description", "collected_at"]
 
 
-def write_crawls(crawls: DataFrame, links: DataFrame, name: str, path: str, buckets: int = 64) -> None:
-    """crawls (id, company_id, CONTENT) and links (website_crawl_id, url) as the tables name_crawls and name_links, in files below path. Both have the same buckets."""
+def write_crawls(crawls: DataFrame, links: DataFrame, name: str, path: str, buckets: int | None = None) -> None:
+    """crawls (id, company_id, CONTENT) and links (website_crawl_id, url) as the tables name_crawls and name_links, in files below path. Both have the same buckets: as many as the session's shuffle partitions, unless told
+    otherwise, for a task reads one of them."""
+    buckets = buckets or int(crawls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for df, key, what in ((crawls, "id", "crawls"), (links.distinct(), "website_crawl_id", "links")):
         df.repartition(buckets, key).write.mode("overwrite").option("path", f"{path}/{what}").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{name}_{what}")
 
