@@ -84,6 +84,11 @@ def normalize_person_title(c: Column) -> Column:
     return _vectorised(person_title)(c)
 
 
+def normalize_person(name: Column, title: Column, linkedin: Column, source_url: Column) -> Column:
+    """struct(name, title, linkedin_url, source_url): a candidate in its usual form. The page that it was found on stays as it is."""
+    return F.struct(normalize_person_name(name).alias("name"), normalize_person_title(title).alias("title"), normalize_linkedin_url(linkedin).alias("linkedin_url"), source_url.alias("source_url"))
+
+
 def person_identity(name: Column, linkedin: Column) -> Column:
     """struct(field, value): the profile, or else the name."""
     url = F.lower(normalize_linkedin_url(linkedin))

@@ -77,6 +77,13 @@ def rank_people(people: DataFrame, keep: int | None = None) -> DataFrame:
     return rows
 
 
+def by_score(people: DataFrame, keys: list[str]) -> DataFrame:
+    """Classified people with score, reasons and position among those of their keys: by score, the highest first, then by name and id. Who decides doesn't count on its own."""
+    s = policies.score_person(F.col("name"), F.col("role_group"), F.col("is_decision_maker"), F.col("confidence"), F.coalesce(F.col("linkedin_url") != "", F.lit(False)))
+    rows = people.withColumn("__s", s).select(*people.columns, F.col("__s.score").alias("score"), F.col("__s.reasons").alias("reasons"))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.lower("name"), F.col("person_id"))))
+
+
 def classification_lookup(classified: DataFrame) -> DataFrame:
     """The best classification for each identity key (field, value): decision makers, then role, then confidence, then the first."""
     rank = F.struct((~F.col("is_decision_maker")).cast("int").alias("a"), policies.role_rank(F.col("role_group")).alias("b"), policies.confidence_rank(F.col("confidence")).alias("c"), F.col("ordinal").alias("d"))

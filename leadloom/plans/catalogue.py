@@ -198,6 +198,13 @@ def w3_rank_people(spark, sf_dir):
     return outreach.rank_people(one).select("person_id", "company_id", "name", "confidence", "is_decision_maker", "score", "rank")
 
 
+@query(ctes("people", "observations") + f", {PERSON_IN} SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY score DESC, lower(name), person_id) AS position FROM (SELECT id AS person_id, company_id, name, confidence, maker AS is_decision_maker, {SCORE} AS score FROM pv QUALIFY row_number() OVER (PARTITION BY id ORDER BY {SCORE} DESC, maker DESC, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END) = 1)")
+def w6_score_order(spark, sf_dir):
+    s = policies.score_person(F.col("name"), F.col("role_group"), F.col("is_decision_maker"), F.col("confidence"), F.col("linkedin_url").isNotNull())["score"]
+    one = latest_per(_people_in(spark, sf_dir).withColumn("s", s), ["person_id"], F.col("s").desc(), F.col("is_decision_maker").desc(), policies.confidence_rank(F.col("confidence"))).drop("s")
+    return outreach.by_score(one, ["company_id"]).select("person_id", "company_id", "name", "confidence", "is_decision_maker", "score", "position")
+
+
 STATUS, VERDICTS = ("deliverable", "risky", "undeliverable", "unknown"), ("deliverable", "undeliverable", "catch_all", "greylisted", "blocked", "timeout", "skipped")
 VERDICT_ROWS = {"id": "event_id", "person_id": "user_id", "attempt": "event_id", "valid": "event_id % 13 <> 0", "status": pick(STATUS, "event_id"), "score": "CAST(event_id * 7 % 130 AS INT)", "smtp_verdict": pick(VERDICTS, "event_id % 31"), "from_pattern": "event_id % 2 = 0", "catch_all": "event_id % 5 = 0"}
 
@@ -493,6 +500,13 @@ def n24_person_names(spark, sf_dir):
     return p.select("id", person.normalize_person_name(F.col("name")).alias("name"), person.normalize_person_title(F.col("title")).alias("title"), person.title_role(F.col("title")).alias("role"))
 
 
+@query(f"SELECT c_custkey AS id, {pick(FIRST_FORMS, 'c_custkey')} || ' ' || {pick(LAST_FORMS, 'c_custkey % 13')} AS name, nullif({pick(TITLE_FORMS, 'c_custkey % 11')}, '') AS title, CASE WHEN c_custkey % 4 = 0 THEN 'https://www.linkedin.com/in/p-' || CAST(c_custkey % 50 AS VARCHAR) END AS linkedin_url, 'page ' || c_custkey AS source_url FROM customer")
+def n28_normalize_person(spark, sf_dir):
+    p = frame(spark, sf_dir, "people")
+    one = person.normalize_person(F.col("name"), F.col("title"), F.col("linkedin_url"), F.concat(F.lit("page "), F.col("id").cast("string")))
+    return p.select("id", one.alias("p")).select("id", "p.*")
+
+
 @query(ctes("source_records") + "SELECT * FROM source_records QUALIFY external_id IS NULL OR row_number() OVER (PARTITION BY source_id, external_id ORDER BY collected_at DESC, id DESC) = 1")
 def k6_provenance(spark, sf_dir):
     return C.provenance(frame(spark, sf_dir, "source_records"))
