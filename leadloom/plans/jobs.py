@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import emails, person
 from ..operators import companies as C
 from ..operators import extraction, identity, leads, ledger, observations, outreach, state
-from ..sources import readers
+from ..sources import landed, readers
 from ..sources.providers import fallback_classification
 from ..sources.schemas import durable_id
 from ..sources.store import Store, least
@@ -70,6 +70,13 @@ def acquire_run(companies: Store, index: Store, run: str, listings: DataFrame) -
     return deltas.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("found"), F.count_if("is_new").alias("new")).withColumn("duplicates", F.col("found") - F.col("new"))
 
 
+def import_run(companies: Store, index: Store, run: str, path: str, base: int, city: str | None = None, country: str | None = None) -> DataFrame:
+    """A run over results that another search left as CSV files at path: listings once for each id, those with a title, in order of file and row, with ordinals from `base` on, which must
+    be above those of all runs before. Returns the run's counters."""
+    rows = landed.read_landed(companies.spark, path, final=True).withColumn("ordinal", F.lit(base).cast("long") + F.monotonically_increasing_id())
+    return acquire_run(companies, index, run, readers.business_records(C.deduplicate_listings(rows), city, country, keep=("ordinal",)))
+
+
 PROVENANCE = "id long, company_id long, source_id int, external_id string, collected_at timestamp, lone long"
 
 
@@ -229,10 +236,10 @@ def dry_run(observations: DataFrame, messages: DataFrame, results: list[str], mi
     return outreach.recipients(observations, messages, results, minimum, limit)
 
 
-def run_all(spark: SparkSession, folder: str, run: str, listings: DataFrame, landed: dict[str, DataFrame], now: datetime, region: str | None = None) -> dict[str, DataFrame]:
+def run_all(spark: SparkSession, folder: str, run: str, listings: DataFrame, given: dict[str, DataFrame], now: datetime, region: str | None = None) -> dict[str, DataFrame]:
     """From listings to the wide export in one run, over the stored companies and stage states below `folder`.
 
-    `landed` has what providers gave, by domain: technologies (domain, report), performance (domain, report), crawls (domain, page, url, text, html, links), and verdicts by email
+    `given` has what providers gave, by domain: technologies (domain, report), performance (domain, report), crawls (domain, page, url, text, html, links), and verdicts by email
     (email, valid, status, score, smtp_verdict, catch_all). Stages come in their order, each over the companies with a website that haven't completed it; its rows are stored, and then its
     outcomes, so a run that is repeated takes up where it was lost. A company whose part is missing fails that stage only. Returns the counters, what each stage found, the
     companies without a website, people with the addresses found, and the export of all that this and earlier runs found."""
@@ -244,7 +251,7 @@ def run_all(spark: SparkSession, folder: str, run: str, listings: DataFrame, lan
     out["without_website"] = companies.where(~has).select(F.col("id").alias("company_id"))
     todo = companies.where(has).select(F.col("id").alias("company_id"))
     named = companies.where(has & F.col("domain").isNotNull()).groupBy("domain").agg(F.min("id").alias("company_id"))
-    own = {n: landed[n].join(named, "domain").drop("domain") for n in ("technologies", "performance", "crawls")}
+    own = {n: given[n].join(named, "domain").drop("domain") for n in ("technologies", "performance", "crawls")}
     stages = {
         "technology_detection": lambda s: technology_stage(todo, own["technologies"], s, now), "performance_seo": lambda s: performance_stage(todo, own["performance"], s, now),
         "business_pages": lambda s: business_pages_stage(todo, own["crawls"], s, now), "contacts": lambda s: contacts_stage(todo, own["crawls"], s, now, region),
@@ -258,7 +265,7 @@ def run_all(spark: SparkSession, folder: str, run: str, listings: DataFrame, lan
     people = out["people_analysis"].select(F.col("person_id").alias("id"), "company_id", "name", "title", "linkedin_url", F.lit(None).cast("string").alias("email"))
     unseen = spark.createDataFrame([], "id long, person_id long, title string, linkedin_url string, observed_at timestamp")
     unknown = spark.createDataFrame([], "person_id long, normalized_email string, verification_result string")
-    mail = email_stage(people, unseen, companies, landed["verdicts"], unknown, now)
+    mail = email_stage(people, unseen, companies, given["verdicts"], unknown, now)
     out["people"] = states.planned(f"{run}-people-rows", lambda: mail["people"])
     out |= {"email_counters": mail["counters"], "person_email": states.planned(f"{run}-person_email-rows", lambda: mail["observations"]), "states": states.read()}
     every = lambda name, *keys: states.all_planned(f"-{name}-rows").withColumn("id", durable_id(*keys))

@@ -298,3 +298,17 @@ def s16_prompts(spark, sf_dir):
     contexts = extraction.model_context(d, "source", "doc_id").withColumnRenamed("source", "company_id")
     candidates = read(spark, sf_dir, "customer").selectExpr("concat('src', c_custkey % 7) AS company_id", "c_custkey AS ordinal", "c_name AS name", "CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS title")
     return answers.prompts(contexts, candidates).select(F.col("company_id").alias("source"), F.md5("prompt").alias("prompt"))
+
+
+@query(
+    "SELECT DISTINCT 'Shop ' || s_suppkey % 60 AS name, 'https://shop' || s_suppkey % 60 || '.nl' AS website, 'shop' || s_suppkey % 60 || '.nl' AS domain, '+' || s_suppkey % 60 AS phone, 'Netherlands' AS country, 'Delft' AS city, 1 AS rows FROM supplier WHERE s_suppkey % 60 <> 7"
+)
+def s3_imported_results(spark, sf_dir):
+    """Results that an earlier search left as files, as stored companies: repeated ids count once, rows without a title don't count."""
+    folder = shared_path(spark, "results")
+    shop = "CAST(s_suppkey % 60 AS STRING)"
+    rows = read(spark, sf_dir, "supplier").selectExpr(f"if(s_suppkey % 60 = 7, ' ', concat('Shop  ', {shop})) AS title", f"concat('HTTPS://www.shop', {shop}, '.nl/') AS website", f"concat('+', {shop}) AS phone", f"{shop} AS place_id")
+    rows.repartition(4, "place_id").write.option("header", True).csv(folder)
+    companies, index = jobs.company_stores(spark, shared_path(spark, "companies"), buckets=8)
+    jobs.import_run(companies, index, "import", folder, 0, "Delft", "nederland")
+    return companies.read().select("name", "website", "domain", "phone", "country", "city", F.col("rows").cast("int").alias("rows"))

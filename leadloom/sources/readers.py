@@ -40,12 +40,14 @@ def count_listings(spark: SparkSession, path: str) -> int:
 
 
 def read_final(spark: SparkSession, path: str, attempts: int = 3, pause: float = 0.5) -> DataFrame:
-    """The listings of a finished search. A file that can't be read yet is tried again; one that never can, or that has no rows, is an error."""
+    """The listings of a finished search, its last one even without a line end. A file that can't be read yet is tried again; one that never can, or that has no rows, is an error."""
     from pyspark.errors import PySparkException
 
+    from .landed import read_landed
+
     for attempt in range(1, attempts + 1):
         try:
-            rows = read_listings(spark, path)
+            rows = read_landed(spark, path, final=True)
             if not rows.isEmpty():
                 return rows
             raise LoadError(f"no listings in {path}")
@@ -56,13 +58,13 @@ def read_final(spark: SparkSession, path: str, attempts: int = 3, pause: float =
     raise ValueError("attempts must be 1 or more")
 
 
-def business_records(rows: DataFrame, city: str | None, country: str | None, source: str = "google_maps") -> DataFrame:
-    """Records of listings with a title; city and country are those of the query."""
+def business_records(rows: DataFrame, city: str | None, country: str | None, source: str = "google_maps", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records of listings with a title; city and country are those of the query. Columns of `keep` stay beside them."""
     return rows.select(
         text.optional_text(F.col("title")).alias("name"), text.optional_text(F.col("website")).alias("website"), urls.extract_domain(F.col("website")).alias("domain"),
         text.optional_text(F.col("phone")).alias("phone"), F.lit(country).cast("string").alias("country"), F.lit(city).cast("string").alias("city"),
         F.coalesce(text.optional_text(F.col("address")), text.optional_text(F.col("complete_address"))).alias("address"), text.optional_text(F.col("category")).alias("category"),
-        F.lit(source).alias("source_name"), F.coalesce(*[text.optional_text(F.col(c)) for c in ("place_id", "cid", "data_id")]).alias("external_id"),
+        F.lit(source).alias("source_name"), F.coalesce(*[text.optional_text(F.col(c)) for c in ("place_id", "cid", "data_id")]).alias("external_id"), *keep,
     ).where("name is not null")
 
 
