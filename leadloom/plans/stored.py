@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import companies as C
 from ..operators import bitmaps, extraction, outreach, schedule, standing, state
 from ..sources import answers, crawl_tables, landed, providers, readers
@@ -312,3 +313,24 @@ def s3_imported_results(spark, sf_dir):
     companies, index = jobs.company_stores(spark, shared_path(spark, "companies"), buckets=8)
     jobs.import_run(companies, index, "import", folder, 0, "Delft", "nederland")
     return companies.read().select("name", "website", "domain", "phone", "country", "city", F.col("rows").cast("int").alias("rows"))
+
+
+_LISTED = "SELECT o_orderkey AS ordinal, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE ' ' || o_orderpriority END AS title, CASE o_orderkey % 3 WHEN 0 THEN 'p' || o_custkey % 300 END AS place_id, CASE WHEN o_orderkey % 4 = 0 THEN 'c' || o_custkey % 100 END AS cid FROM orders"
+
+
+@query(
+    f"WITH l AS ({_LISTED}), e AS (SELECT ordinal, trim(title) AS name, coalesce(place_id, cid) AS external_id FROM l QUALIFY coalesce(place_id, cid) IS NULL OR row_number() OVER (PARTITION BY coalesce(place_id, cid) ORDER BY ordinal) = 1), "
+    "k AS (SELECT * FROM e ORDER BY ordinal LIMIT 400) SELECT name, external_id, 'Delft' AS city, count(*) AS n FROM k WHERE name <> '' GROUP BY ALL"
+)
+def w9_limit_after_dedupe(spark, sf_dir):
+    """The first 400 listings after repeated ids are gone, those without a title among them; these then don't become records."""
+    null = F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS ordinal", "CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE ' ' || o_orderpriority END AS title", "CASE o_orderkey % 3 WHEN 0 THEN 'p' || o_custkey % 300 END AS place_id", "CASE WHEN o_orderkey % 4 = 0 THEN 'c' || o_custkey % 100 END AS cid")
+    rows = rows.select("*", *[null.alias(c) for c in ("website", "address", "complete_address", "phone", "category", "data_id")])
+    return readers.load_results(rows, "Delft", None, 400).groupBy("name", "external_id", "city").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, trim(o_orderpriority) AS name FROM orders WHERE o_orderpriority <> ''")
+def f10_required_text(spark, sf_dir):
+    """A text that must be there: trimmed, and an error where it lacks (tests)."""
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.required_text(F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit("\t")), "priority").alias("name"))

@@ -143,3 +143,10 @@ def test_number_index_equals_longest_prefix():
                     best = next((known[digits[:i]] for i in range(n, 0, -1) if digits[:i] in known), (None, ()))
                     at = bisect_right(lows, int(digits[:n].ljust(15, "0"))) - 1
                     assert (types[at] if masks[at] >> n & 1 else None) == (best[0] if n in best[1] else None)
+
+
+def test_required_text(spark):
+    rows = spark.createDataFrame([(" a ",), ("\t",)], "v string")
+    assert rows.where("v <> '\t'").select(text.required_text(F.col("v"), "name").alias("x")).first()["x"] == "a"
+    with pytest.raises(Exception, match="Missing required field: name"):
+        rows.select(text.required_text(F.col("v"), "name").alias("x")).collect()
