@@ -137,9 +137,12 @@ def model_context(pages: DataFrame, key: str, order: str, most: int = 12_000) ->
     bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
     rows = pages.withColumn("bare", bare).where("bare <> ''")
     rows = rows.withColumn("chunk", F.concat(F.lit("PAGE URL: "), F.coalesce("url", F.lit("")), F.lit("\n"), F.col("bare"), F.lit("\n")))
-    # a chunk has 13 characters or more, so few pages of a key can be in it; Spark drops the others before they are shuffled, and of each no more than fits is sent
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    rows = rows.select(key, order, F.substring("chunk", 1, most).alias("chunk")).withColumn("__rank", rank).where(F.col("__rank") <= most // 13 + 1)
+    # a chunk has 13 characters or more, so few pages of a key can be in it; Spark drops the others before they are shuffled, and of each no more than fits is sent. A key's pages are
+    # dealt to 64 groups first: what has too much before it in its own group has too much before it in all
+    group = Window.partitionBy(key, "__group").orderBy(order)
+    rows = rows.select(key, order, F.substring("chunk", 1, most).alias("chunk"), F.pmod(F.xxhash64(order), F.lit(64)).alias("__group"))
+    rows = rows.withColumn("__rank", F.row_number().over(group)).where(F.col("__rank") <= most // 13 + 1)
+    rows = rows.withColumn("__ahead", F.sum(F.length("chunk")).over(group.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("__ahead", F.lit(0)) < most)
     before = F.coalesce(F.sum(F.length("chunk")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = rows.withColumn("before", before).where(F.col("before") < most).withColumn("chunk", F.substring("chunk", F.lit(1), (F.lit(most) - F.col("before")).cast("int")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("chunk")))), lambda x: x["chunk"])
