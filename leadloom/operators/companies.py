@@ -86,7 +86,7 @@ def _least_before(held: DataFrame, asked: DataFrame, chunks: int, low: int, high
     # what was got at a time counts after it only: a row that asks comes first
     inside = Window.partitionBy("key", "chunk").orderBy("at", "held").rowsBetween(Window.unboundedPreceding, -1)
     seen = both.withColumn("within", F.min("company").over(inside)).where("held = 0")
-    return seen.join(carried, ["key", "chunk"], "left").select("key", "at", "priority", F.least("within", "earlier").alias("found"))
+    return seen.join(carried.hint("merge"), ["key", "chunk"], "left").select("key", "at", "priority", F.least("within", "earlier").alias("found"))
 
 
 def fold_companies(candidates: DataFrame, ordinal: str = "ordinal", stored: DataFrame | None = None, chunks: int = CHUNKS) -> DataFrame:
@@ -95,18 +95,20 @@ def fold_companies(candidates: DataFrame, ordinal: str = "ordinal", stored: Data
     candidates') are there from the start; they are never folded into each other. Ordinals are unique.
 
     What a candidate takes depends on candidates before it only. So the fold is the one assignment that gives itself: from any assignment follow the fields that each company has
-    and since when, from these what each candidate finds at its turn, and that is the next assignment, until nothing changes. Each round settles at least the first open candidate
-    of every group that hangs together; usually all settle in a few. A round is joins and windows over keys, split by time: no group is gathered in one task.
+    and since when, from these what each candidate finds at its turn, and that is the next assignment, until nothing changes. A company whose first row has itself joined another
+    is found as that other, so a chain of wrong joins doesn't take a round for each of its links; in the assignment that gives itself there is none. Each round settles at least the
+    first open candidate of every group that hangs together; usually all settle in a few. A round is joins and windows over keys, split by time: no group is gathered in one task,
+    and, since tables of rows are small files and large hash tables, no side is broadcast.
 
     Returns company_ordinal (of the row that began it), the company's columns and the number of rows, the stored one included."""
     columns = ["name", "normalized_name", *FILLED]
     rows = candidates.select(F.col(ordinal).cast("long").alias("o"), *columns, F.lit(False).alias("fixed"))
     if stored is not None:
         rows = rows.unionByName(stored.select(F.col(ordinal).cast("long").alias("o"), *columns, F.lit(True).alias("fixed")))
-    # only rows that share a value with another row can meet
-    values = rows.select("o", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in ("domain", "phone", "normalized_name")])).alias("k")).where("k.v is not null")
-    meeting = values.join(values.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k", "left_semi").groupBy("o").agg(F.lit(True).alias("meets"))
-    rows = materialized(rows.join(meeting, "o", "left").withColumn("meets", F.coalesce("meets", F.lit(False))), "fold")
+    # only rows that share a value with another row can meet, and only those with a key look for a company or are found
+    values = rows.where(F.size(lookup_keys()) > 0).select("o", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in ("domain", "phone", "normalized_name")])).alias("k")).where("k.v is not null")
+    meeting = values.join(values.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), "k", "left_semi").groupBy("o").agg(F.lit(True).alias("meets"))
+    rows = materialized(rows.join(meeting.hint("merge"), "o", "left").withColumn("meets", F.coalesce("meets", F.lit(False))), "fold")
     low, high = rows.where("meets and not fixed").agg(F.min("o"), F.max("o")).first()
     first = lambda f: F.min(F.when(F.col(f).isNotNull(), F.struct("o", F.col(f).alias("v")))).alias(f)
     key = F.struct(*[F.col(f"k.{k}") for k in KEY]).alias("key")
@@ -114,9 +116,11 @@ def fold_companies(candidates: DataFrame, ordinal: str = "ordinal", stored: Data
     asked = rows.where("meets and not fixed").select(F.col("o").alias("at"), F.explode(lookup_keys()).alias("k")).select("at", "k.priority", key)
     while low is not None:
         has = now.groupBy("company").agg(*[first(f) for f in ("normalized_name", *FILLED)])
+        moved = now.where("company <> o").select(F.col("o").alias("company"), F.col("company").alias("joined"))
+        has = has.join(moved.hint("merge"), "company", "left").withColumn("company", F.coalesce("joined", "company"))
         held = has.select("company", F.explode(held_keys(lambda f: F.col(f"{f}.v"), lambda f: F.col(f"{f}.o"))).alias("k")).select("company", "k.since", key)
         best = _least_before(held, asked, chunks, low, high).where("found is not null").groupBy(F.col("at").alias("o")).agg(F.min(F.struct("priority", "found"))["found"].alias("found"))
-        took = now.drop("company").join(best, "o", "left").withColumn("company", F.coalesce("found", "o")).drop("found")
+        took = now.drop("company").join(best.hint("merge"), "o", "left").withColumn("company", F.coalesce("found", "o")).drop("found")
         told = Observation()
         now = materialized(took.observe(told, F.sum(F.xxhash64("o", "company").cast("decimal(20,0)")).alias("state")), "fold")
         if told.get["state"] == seen:

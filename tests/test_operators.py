@@ -72,6 +72,17 @@ def test_company_fold_against_brute_force(spark):
     assert sorted(repr([r[k] for k in key]) for r in got) == sorted(repr([r[k] for k in key]) for r in brute_fold(rows))
 
 
+def test_company_fold_broadcasts_nothing_and_settles(spark, monkeypatch):
+    """Companies that were joined by mistake in a round don't cost a round for each link of their chain."""
+    nations = [r[0] for r in catalogue.read(spark, SF, "customer").select("c_nationkey").orderBy("c_custkey").collect()]
+    plans, keep = [], companies.materialized
+    monkeypatch.setattr(companies, "materialized", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    many = spark.range(9000).select(F.col("id").alias("c_custkey"), F.concat(F.lit("N"), "id").alias("c_name"), F.get(F.lit(nations), (F.col("id") % len(nations)).cast("int")).alias("c_nationkey"), F.lit("m").alias("c_mktsegment"))
+    monkeypatch.setattr(catalogue, "read", lambda *a: many)
+    assert catalogue.QUERIES["d3_company_fold"](spark, SF).agg(F.sum("rows")).first()[0] == 9000
+    assert len(plans) <= 5 and not any("Broadcast" in p for p in plans)  # the rows and their rounds
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, k) for k in range(1001, 1300)] + [(k, k + 1) for k in range(2000, 2100)]
