@@ -7,6 +7,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 #: region: (country code, trunk prefix, ranges). Ranges are `type prefix[-prefix],...:length[-length]`, of national numbers; the longest prefix that fits decides. Our own reading of the
 #: public plans, and so approximate.
 PLANS = {
@@ -111,11 +113,11 @@ def _numbers(values: list[int], kind: str) -> Column:
 def number_type(digits: Column) -> Column:
     """The type of a number given as its digits with the country code, or null if no plan has it."""
     lows, masks, types = index()
-    key = F.rpad(digits, DIGITS, "0").cast("long")
     # the last range that begins at or before the number: from the highest power of two down, step where the range there isn't beyond it
     steps = [1 << k for k in reversed(range(len(lows).bit_length()))]
     begins = _numbers(lows, "bigint")
-    at = F.aggregate(F.lit(steps), F.lit(0), lambda i, step: F.when(F.coalesce(F.get(begins, i + step) <= key, F.lit(False)), i + step).otherwise(i))
-    one = F.struct(F.get(_numbers(masks, "int"), at).alias("mask"), F.get(_numbers([TYPES.index(t) for t in types], "int"), at).alias("type"))
-    fits = lambda r: F.when((F.length(digits) <= DIGITS) & digits.rlike(r"^\d+$") & (F.bit_get(r["mask"], F.least(F.length(digits), F.lit(31))) == 1), F.get(F.lit(list(TYPES)), r["type"]))
-    return F.get(F.transform(F.array(one), fits), F.lit(0))
+    at = lambda key: F.aggregate(F.lit(steps), F.lit(0), lambda i, step: F.when(F.coalesce(F.get(begins, i + step) <= key, F.lit(False)), i + step).otherwise(i))
+    kind = lambda i: F.get(F.lit(list(TYPES)), F.get(_numbers([TYPES.index(t) for t in types], "int"), i))
+    fits = lambda d, i: F.when(F.bit_get(F.get(_numbers(masks, "int"), i), F.length(d)) == 1, kind(i))
+    found = lambda d: bound(F.rpad(d, DIGITS, "0").cast("long"), lambda key: bound(at(key), lambda i: fits(d, i)))
+    return bound(digits, lambda d: F.when((F.length(d) <= DIGITS) & d.rlike(r"^\d+$"), found(d)))

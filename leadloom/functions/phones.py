@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbering import DIGITS, PLANS, number_type
-from .text import blank_to_null, lookup, unquote
+from .text import blank_to_null, bound, lookup, unquote
 from .vocabulary import PHONE_TEXT
 
 
@@ -26,16 +26,20 @@ def e164(value: Column, region: Column | str | None = None) -> Column:
         code = blank_to_null(F.upper(F.trim(region))) if region is not None else F.lit(None).cast("string")
         cc, trunk = (lookup({k: v[i] for k, v in PLANS.items()}, code) for i in range(2))
         known = code.isNull() | cc.isNotNull()
-    v = F.trim(value)
-    digits = _digits(F.regexp_replace(F.replace(v, F.lit("(0)"), F.lit("")), r"(?i)\s*(?:ext|x|;).*$", ""))
-    full = F.when(v.startswith("00"), F.substring(digits, 3, 20)).otherwise(digits)
-    rest = F.when((trunk != "") & digits.startswith(trunk), F.substring(digits, F.length(trunk) + 1, F.lit(20))).otherwise(digits)
-    abroad = v.startswith("+") | v.startswith("00")
-    # with a plus or 00 the number says its country; else it is one of the region, or has its country code without a mark
-    tried = F.when(abroad, F.array(full)).otherwise(F.array(F.concat(cc, rest), F.when(digits.startswith(cc), digits)))
-    valid = F.get(F.filter(tried, lambda n: number_type(n).isNotNull()), F.lit(0))
-    found = F.when(~known, F.raise_error(F.concat(F.lit("unsupported phone region "), code if isinstance(code, Column) else F.lit(""))).cast("string")).otherwise(F.concat(F.lit("+"), valid))
-    return F.when(v.rlike("[A-Za-z]{3,}") & ~v.rlike("(?i)ext"), None).otherwise(found)
+
+    def tried(v: Column, digits: Column) -> Column:
+        """With a plus or 00 the number says its country; else it is one of the region, or has its country code without a mark."""
+        full = F.when(v.startswith("00"), F.substring(digits, 3, 20)).otherwise(digits)
+        rest = F.when((trunk != "") & digits.startswith(trunk), F.substring(digits, F.length(trunk) + 1, F.lit(20))).otherwise(digits)
+        return F.when(v.startswith("+") | v.startswith("00"), F.array(full)).otherwise(F.array(F.concat(cc, rest), F.when(digits.startswith(cc), digits)))
+
+    def number(v: Column) -> Column:
+        digits = _digits(F.regexp_replace(F.replace(v, F.lit("(0)"), F.lit("")), r"(?i)\s*(?:ext|x|;).*$", ""))
+        valid = F.get(F.filter(bound(digits, lambda d: tried(v, d)), lambda n: number_type(n).isNotNull()), F.lit(0))
+        found = F.when(~known, F.raise_error(F.concat(F.lit("unsupported phone region "), code if isinstance(code, Column) else F.lit(""))).cast("string")).otherwise(F.concat(F.lit("+"), valid))
+        return F.when(v.rlike("[A-Za-z]{3,}") & ~v.rlike("(?i)ext"), None).otherwise(found)
+
+    return bound(F.trim(value), number)
 
 
 def phone_type(value: Column, region: Column | str | None = None) -> Column:

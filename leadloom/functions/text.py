@@ -16,6 +16,11 @@ def lookup(table: dict, key: Column, default: Column | None = None) -> Column:
     return found if default is None else F.coalesce(found, default)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), where value is computed once, however often f has it; within a lambda Spark computes an expression anew for each place and each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

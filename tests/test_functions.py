@@ -126,6 +126,20 @@ def test_phone_types(spark):
     assert {c for _, c, _ in DIALLED if c} == set(phones.PLANS)
 
 
+def places(spark, column, name):
+    """In how many places of the plan the column of that name is computed with."""
+    rows = spark.createDataFrame([("+31 20 123 4567", "Ann Lee")], "v string, w string").select(column.alias("x"))
+    return rows._jdf.queryExecution().analyzed().toString().splitlines()[0].count(f"{name}#")
+
+
+def test_numbers_are_read_once(spark):
+    """Each step of the search through the index had read the whole number anew, and a type had normalised it at each step."""
+    from leadloom.functions import numbering
+
+    assert places(spark, numbering.number_type(F.col("v")), "v") == 1
+    assert places(spark, phones.e164(F.col("v")), "v") == 1 and places(spark, phones.phone_type(F.col("v")), "v") == 1
+
+
 def test_number_index_equals_longest_prefix():
     """Every range, at its first and last number, one before and one after, by the index and by the prefixes one by one."""
     from bisect import bisect_right
