@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, unquote
+from .text import blank_to_null, bound, unquote
 from .vocabulary import EMAIL_TEXT, EMAIL_WHOLE, FREE_EMAIL_PROVIDERS, HONORIFICS, ROLE_EMAIL_PREFIXES
 
 
@@ -13,7 +13,7 @@ def normalize_email(c: Column) -> Column:
     """Decoded, trimmed, in lower case, without mailto:, query and fragment; null if it isn't an address."""
     v = F.regexp_replace(F.lower(F.trim(unquote(c))), "^mailto:", "")
     v = F.trim(F.substring_index(F.substring_index(v, "?", 1), "#", 1))
-    return F.when(v.rlike(EMAIL_WHOLE), v)
+    return bound(v, lambda x: F.when(x.rlike(EMAIL_WHOLE), x))
 
 
 def normalize_emails(c: Column) -> Column:
@@ -70,7 +70,7 @@ def pattern_domain(c: Column) -> Column:
     v = F.regexp_replace(F.lower(F.trim(c)), "^[a-z][a-z0-9+.-]*://", "")
     v = F.regexp_replace(F.regexp_extract(v, "^[^/?#]*", 0), r"^www\.", "")
     v = F.regexp_replace(F.regexp_replace(v, r"^(.+):[0-9]+$", "$1"), r"^\.+|\.+$", "")
-    return F.when(v.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$"), v)
+    return bound(v, lambda x: F.when(x.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$"), x))
 
 
 FOLD_FROM = "àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöōőŕřśšťùúûüūůűýÿžźżğ"
@@ -85,17 +85,21 @@ def name_parts(c: Column) -> Column:
 
 def email_patterns(name: Column, domain: Column, limit: int = 8) -> Column:
     """Guessed addresses in order of preference, at most `limit`."""
-    host, parts = pattern_domain(domain), name_parts(name)
-    first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
-    one, end = F.substring(first, 1, 1), F.substring(last, 1, 1)
-    many = F.array(
-        F.concat_ws(".", first, last), first, F.concat(one, last), F.concat(first, end), F.concat(first, last), F.array_join(parts, "."), F.array_join(parts, ""),
-        F.concat_ws("_", first, last), F.concat_ws("-", first, last),
-    )
-    local = F.when(F.size(parts) == 1, F.array(first)).when(F.size(parts) > 1, F.array_distinct(many))
-    found = F.slice(F.transform(local, lambda p: F.concat(p, F.lit("@"), host)), 1, max(limit, 1))
     empty = F.array().cast("array<string>")
-    return empty if limit < 1 else F.when(host.isNotNull() & (F.size(parts) > 0), found).otherwise(empty)
+
+    def locals_(parts: Column) -> Column:
+        first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
+        one, end = F.substring(first, 1, 1), F.substring(last, 1, 1)
+        many = F.array(
+            F.concat_ws(".", first, last), first, F.concat(one, last), F.concat(first, end), F.concat(first, last), F.array_join(parts, "."), F.array_join(parts, ""),
+            F.concat_ws("_", first, last), F.concat_ws("-", first, last),
+        )
+        return F.when(F.size(parts) == 1, F.array(first)).when(F.size(parts) > 1, F.array_distinct(many)).otherwise(empty)
+
+    # names and hosts are taken apart once, not once for each address
+    local = F.slice(bound(name_parts(name), locals_), 1, max(limit, 1))
+    found = bound(pattern_domain(domain), lambda host: F.when(host.isNotNull(), F.transform(local, lambda p: F.concat(p, F.lit("@"), host))))
+    return empty if limit < 1 else F.coalesce(found, empty)
 
 
 def mailbox(c: Column) -> Column:

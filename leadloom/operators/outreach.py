@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import emails, policies
+from ..functions.text import bound
 from .latest import latest_per
 
 
@@ -19,10 +20,12 @@ def email_targets(people: DataFrame, observations: DataFrame, latest_only: bool
 
 def verification_candidates(targets: DataFrame, domain: Column, limit: int = 8) -> DataFrame:
     """person_id, email, attempt (from 0), from_pattern: the known address first, then guessed ones."""
-    known = emails.normalize_email(F.col("email"))
-    guessed = F.filter(emails.email_patterns(F.col("name"), domain, limit), lambda e: known.isNull() | (e != known))
-    one = F.concat(F.when(known.isNotNull(), F.array(known)).otherwise(F.array().cast("array<string>")), guessed)
-    return targets.select("person_id", "company_id", F.posexplode(one).alias("attempt", "email"), known.alias("known")).select("person_id", "company_id", "email", "attempt", (~F.col("known").eqNullSafe(F.col("email"))).alias("from_pattern"))
+    address = lambda email, guess: F.struct(email.alias("email"), F.lit(guess).alias("from_pattern"))
+    # the first is the known one if there is one; what is guessed is never the known one
+    guessed = lambda known: F.filter(emails.email_patterns(F.col("name"), domain, limit), lambda e: known.isNull() | (e != known))
+    every = lambda known: F.concat(F.filter(F.array(address(known, False)), lambda a: a["email"].isNotNull()), F.transform(guessed(known), lambda e: address(e, True)))
+    one = bound(emails.normalize_email(F.col("email")), every)
+    return targets.select("person_id", "company_id", F.posexplode(one).alias("attempt", "a")).select("person_id", "company_id", "a.email", "attempt", "a.from_pattern")
 
 
 def without_verified(candidates: DataFrame, observations: DataFrame) -> DataFrame:

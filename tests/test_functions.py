@@ -140,6 +140,12 @@ def test_numbers_are_read_once(spark):
     assert places(spark, phones.e164(F.col("v")), "v") == 1 and places(spark, phones.phone_type(F.col("v")), "v") == 1
 
 
+def test_guesses_take_names_apart_once(spark):
+    """Each guess had taken the name apart anew, and checked the host anew."""
+    guesses = emails.email_patterns(F.col("w"), F.col("v"))
+    assert places(spark, guesses, "w") == 1 and places(spark, guesses, "v") == 1
+
+
 def test_number_index_equals_longest_prefix():
     """Every range, at its first and last number, one before and one after, by the index and by the prefixes one by one."""
     from bisect import bisect_right
