@@ -13,7 +13,7 @@ from ..operators import extraction, identity, leads, ledger, observations, outre
 from ..sources import landed, readers
 from ..sources.providers import fallback_classification
 from ..sources.schemas import durable_id
-from ..sources.store import Store, least
+from ..sources.store import Store, least, materialized
 
 
 #: Ids of stored companies, less this, come before every ordinal of a listing.
@@ -50,9 +50,11 @@ def acquire_run(companies: Store, index: Store, run: str, listings: DataFrame) -
     columns = ["name", "normalized_name", *C.FILLED]
 
     def changes():
-        new = C.normalize_records(listings).select("ordinal", *columns)
+        # each of these is read several times, and is made once
+        new = materialized(C.normalize_records(listings).select("ordinal", *columns), "new")
         asked = new.select(F.explode(C.lookup_keys()).alias("k")).select(*[F.col(f"k.{k}") for k in C.KEY]).distinct()
-        known = companies.among(index.among(asked).select("id"))
+        named = materialized(index.among(materialized(asked, "asked")).select("id").distinct(), "named")
+        known = materialized(companies.among(named), "known")
         folded = C.fold_companies(new, stored=known.withColumn("ordinal", F.col("id") - STORED).select("ordinal", *columns))
         old = F.col("company_ordinal") < 0
         found = folded.withColumns({"id": F.when(old, F.col("company_ordinal") + STORED).otherwise(F.col("company_ordinal")), "found": F.col("rows") - old.cast("int")}).where("found > 0")

@@ -77,6 +77,19 @@ def test_runs_read_what_they_touch(spark, tmp_path):
     assert "LeftSemi" in plan and "PartitionFilters: [isnotnull(bucket" in plan.replace("PartitionFilters: [bucket", "PartitionFilters: [isnotnull(bucket") and companies.among(found.select("id")).count() == 1
 
 
+def test_a_run_reads_its_listings_once(spark, tmp_path):
+    """They had been read and normalised anew for each look into the stored tables and each part of the fold."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        seen.add(1)
+        return name
+
+    rows = spark.createDataFrame(listings(20, 7), LISTING).withColumn("name", F.udf(counted, "string").asNondeterministic()("name"))
+    jobs.acquire_run(*jobs.company_stores(spark, str(tmp_path / "s"), buckets=4), "first", rows)
+    assert seen.value == 20
+
+
 def test_lost_run_is_repeated(spark, tmp_path, monkeypatch):
     """A run that ends between the tables is repeated as a whole."""
     rows = spark.createDataFrame(listings(80, 6), LISTING)
